@@ -23,10 +23,10 @@ k as (select name, 'f:' || nullif(replace(regexp_replace(regexp_replace(trim(reg
   '^(?:(?:{_MARKS}) )+', ''), '(?: (?:{_MARKS}))+$', ''), ' ', ''), '') as f, 'g:' || g as g, 'c:' || c as c from r),
 edge as (select f as a, g as b from k union select f, c from k union select g, c from k),
 link as (select a, b from edge where a is not null and b is not null union select b, a from edge where a is not null and b is not null),
-reach(root, at) as (select distinct f, f from k where f is not null union select root, link.b from reach join link on link.a = reach.at),
-same as (select distinct root, at from reach where starts_with(at, 'f:')),
+reach(root, ent) as (select distinct f, f from k where f is not null union select root, link.b from reach join link on link.a = reach.ent),
+same as (select distinct root, ent from reach where starts_with(ent, 'f:')),
 names as (select distinct name, f from k where f is not null)
-select x.name as family_id_a, y.name as family_id_b from names x join same on same.root = x.f join names y on y.f = same.at where x.name < y.name
+select x.name as family_id_a, y.name as family_id_b from names x join same on same.root = x.f join names y on y.f = same.ent where x.name < y.name
 """
 
 _CAT = "replace(replace(lower(trim({c}, E' \\t\\n\\r')), '-', ''), '_', '')"
