@@ -21,7 +21,7 @@ def label_counts(df: DataFrame, first: str, second: str, label: str) -> DataFram
     """Records by first x label, second x label and both x label: three reports in one pass of grouping sets."""
     df.createOrReplaceTempView("_driftmill_labels")
     return df.sparkSession.sql(
-        f"SELECT CASE grouping_id({first}, {second}) WHEN 1 THEN '{first}' WHEN 2 THEN '{second}' ELSE '{first}:{second}' END AS report, {first}, {second}, {label} AS label, count(*) AS n "
+        f"SELECT CASE WHEN grouping({second}) = 1 THEN '{first}' WHEN grouping({first}) = 1 THEN '{second}' ELSE '{first}:{second}' END AS report, {first}, {second}, {label} AS label, count(*) AS n "
         f"FROM _driftmill_labels GROUP BY GROUPING SETS (({first}, {label}), ({second}, {label}), ({first}, {second}, {label}))"
     )
 
