@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmill.operators.skew import lookup
-from driftmill.runtime import cut, spread
+from driftmill.runtime import bounded_broadcast, cut, spread
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Feature places that hold policy slots, and the width of a full feature row. Fixed values.
 POLICY_SLOTS = (*range(24, 48), *range(59, 62))
 WIDTH = 76
+#: Record numbers or class keys that are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 PLACES = tuple(i for i in range(WIDTH) if i not in POLICY_SLOTS)
 
 
@@ -124,30 +126,30 @@ def vector_chunks(df: DataFrame, id_col: str, values: Column, salt: Column, wind
     return _chunked(spread(df.select(id_col, values.alias("content"), salt.alias("salt"))), id_col, "vector", window, reach, segments)
 
 
-def sharing_pairs(chunked: DataFrame, id_col: str, left: Column, right: Column, tolerance: Column) -> DataFrame:
-    """(left_id, right_id, overlap): rows of both sides that share a chunk among their rarest ones.
+def sharing_pairs(listed: DataFrame, id_col: str = "id") -> DataFrame:
+    """(left_id, right_id, overlap): rows of both sides that can share all but ``tolerance`` of their chunks.
 
-    Two rows that differ in at most ``tolerance`` of their chunks share one among the tolerance + 1 chunks that
-    are rarest in the whole table (every other order would do as well; the rarest keep frequent chunks, and with
-    them quadratic groups, out of the join). ``overlap`` is the shared chunks' length over the left row's length.
+    listed: id, chunks, is_left, is_right, tolerance. Two such rows share one among the tolerance + 1 chunks that are
+    rarest in the whole table (any order would do; the rarest keep frequent chunks, and with them quadratic groups, out
+    of the join). A chunk the other side lacks counts against the tolerance before anything is joined, so rows with too
+    many of them go no further. ``overlap`` is the shared chunks' length over the left row's length. A row that stands
+    on both sides is paired with itself.
     """
-    listed = chunked.select(id_col, "chunks", left.alias("is_left"), right.alias("is_right"), tolerance.alias("tolerance"))
-    listed = cut(listed, "p3-chunks")
-    each = listed.select(id_col, "is_left", "is_right", "tolerance", F.explode("chunks").alias("c")).select(id_col, "is_left", "is_right", "tolerance", "c.digest")
-    seen = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("is_left").alias("on_left"), F.max("is_right").alias("on_right"))
-    # a chunk that one side lacks stays in the order, since it counts against the tolerance, but is joined with nothing
-    ranked = lookup(each, seen, ["digest"], "inner").groupBy(id_col, "is_left", "is_right", "tolerance").agg(F.sort_array(F.collect_list(F.struct("n", "digest", (F.col("on_left") & F.col("on_right")).alias("both")))).alias("all"))
-    rare = ranked.select(id_col, "is_left", "is_right", F.explode(F.slice("all", 1, F.col("tolerance") + 1)).alias("c")).filter("c.both").select(id_col, "is_left", "is_right", "c.digest")
-    rare = cut(rare, "p3-rare")
-    a = rare.filter("is_left").select("digest", F.col(id_col).alias("left_id"))
-    b = rare.filter("is_right").select("digest", F.col(id_col).alias("right_id"))
-    pairs = a.join(b, "digest").filter("left_id <> right_id").select("left_id", "right_id").distinct()
-    full = listed.select(id_col, "chunks")
-    both = pairs.join(full.select(F.col(id_col).alias("left_id"), F.col("chunks").alias("lc")), "left_id").join(full.select(F.col(id_col).alias("right_id"), F.col("chunks").alias("rc")), "right_id")
-    there = F.transform("rc", lambda c: c["digest"])
-    shared = F.aggregate(F.filter("lc", lambda c: F.array_contains(there, c["digest"])), F.lit(0).cast("long"), lambda s, c: s + c["size"])
-    length = F.aggregate("lc", F.lit(0).cast("long"), lambda s, c: s + c["size"])
-    return both.select("left_id", "right_id", F.round(shared / length, 6).alias("overlap"))
+    length = F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + c["size"])
+    each = listed.select(F.col(id_col).alias("id"), "is_left", "is_right", "tolerance", F.size("chunks").alias("k"), length.alias("length"), F.explode("chunks").alias("c")).select("id", "is_left", "is_right", "tolerance", "k", "length", "c.digest", "c.size")
+    seen = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("is_left").alias("l"), F.max("is_right").alias("r")).filter("l and r").select("digest", "n")
+    met = lookup(each, seen, ["digest"], "inner").groupBy("id", "is_left", "is_right", "tolerance", "k", "length").agg(F.array_sort(F.collect_list(F.struct("n", "digest", "size"))).alias("all"))
+    met = met.withColumn("spare", F.col("tolerance") - (F.col("k") - F.size("all"))).filter("spare >= 0")
+    met = cut(met.select("id", "is_left", "is_right", "spare", "length", "all"), "p3-met")
+    rare = met.select("id", "is_left", "is_right", F.explode(F.slice("all", 1, F.col("spare") + 1)).alias("c")).select("id", "is_left", "is_right", "c.digest")
+    a = rare.filter("is_left").select("digest", F.col("id").alias("left_id"))
+    b = rare.filter("is_right").select("digest", F.col("id").alias("right_id"))
+    pairs = cut(a.join(b, "digest").select("left_id", "right_id").distinct(), "p3-pairs")
+    held = met.select("id", "length", F.explode("all").alias("c")).select("id", "length", "c.digest", "c.size")
+    left = held.select(F.col("id").alias("left_id"), "length", "digest", "size")
+    right = held.select(F.col("id").alias("right_id"), "digest").distinct()
+    shared = pairs.join(left, "left_id").join(right, ["right_id", "digest"])
+    return shared.groupBy("left_id", "right_id").agg(F.round(F.sum("size") / F.max("length"), 6).alias("overlap"))
 
 
 def overlap_fractions(chunked: DataFrame, id_col: str, evaluation: Column, training: Column) -> DataFrame:
@@ -160,42 +162,69 @@ def overlap_fractions(chunked: DataFrame, id_col: str, evaluation: Column, train
     return hit.groupBy(id_col).agg(total.alias("length"), F.round(F.coalesce(F.sum(F.col("size") * F.coalesce("known", F.lit(0))), F.lit(0)) / F.when(total > 0, total), 6).alias("overlap"))
 
 
+def _classes(chunked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): records with the same chunks are one class, named by its least record number.
+
+    chunked: record_no, is_left, is_right, tolerance, salt, chunks.
+    """
+    keyed = chunked.withColumn("key", F.xxhash64("salt", F.transform("chunks", lambda c: c["digest"])))
+    keyed = cut(keyed.select("record_no", "is_left", "is_right", "tolerance", "chunks", "key"), "p3-keyed")
+    classes = keyed.groupBy("key").agg(F.min("record_no").alias("id"), F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"), F.max("tolerance").alias("tolerance"), F.min("chunks").alias("chunks"))
+    return classes, keyed.select("record_no", "is_left", "is_right", "key")
+
+
+def _member_pairs(chunked: DataFrame, least: float) -> DataFrame:
+    """(ch, st, overlap) of the records whose classes share enough chunks."""
+    classes, members = _classes(chunked)
+    pairs = sharing_pairs(classes.drop("key")).filter(F.col("overlap") >= least)
+    # the class of a record is found again by its key: only classes in a pair are looked up
+    named = classes.select("key", "id")
+    left = pairs.join(named.withColumnRenamed("id", "left_id"), "left_id").withColumnRenamed("key", "lk")
+    both = left.join(named.withColumnRenamed("id", "right_id"), "right_id").withColumnRenamed("key", "rk").select("lk", "rk", "overlap")
+    both = cut(both, "p3-matched")
+    used = bounded_broadcast(both.select(F.explode(F.array("lk", "rk")).alias("key")).distinct(), BROADCAST_ROWS)
+    few = cut(members.join(used, "key", "left_semi").distinct(), "p3-members")
+    c = few.filter("is_left").select(F.col("key").alias("lk"), F.col("record_no").alias("ch"))
+    s = few.filter("is_right").select(F.col("key").alias("rk"), F.col("record_no").alias("st"))
+    return both.join(c, "lk").join(s, "rk").filter("ch <> st").select("ch", "st", "overlap")
+
+
+def _needed(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose record_no occurs in ``pairs``."""
+    ids = pairs.select(F.explode(F.array("ch", "st")).alias("record_no")).distinct()
+    return df.join(bounded_broadcast(ids, BROADCAST_ROWS), "record_no", "left_semi")
+
+
 def contract_overlaps(evidence: DataFrame, prepared: DataFrame) -> DataFrame:
-    """(record_no_a, record_no_b, kind, overlap) of challenge and standard records that are the same or almost.
+    """(record_no_a, record_no_b, kind, overlap, challenge_no) of challenge and standard records, the same or almost.
 
     kind ``fingerprint``: equal fingerprints. kind ``features``: same policy pack, full feature rows, structural
-    places that differ in at most one. Records with equal content are one class while chunks are joined; classes
-    found to match by chunks are then compared in full, and only then are their members listed. Null fingerprints
-    match nothing, feature rows of another width are no candidates, repeated rows count once, negative zero is zero.
+    places that differ in at most one. Both come from chunks: of the fingerprint without its spelling, and of the
+    structural values. Records are chunked where they are read; records with equal chunks are one class while chunks are
+    joined; what is found is then compared in full, on the few records concerned. Null fingerprints match nothing,
+    feature rows of another width are no candidates, negative zero is zero, rows repeated under one number count once;
+    a null role means standard, other roles take no part.
     """
-    roles = evidence.filter("record_no is not null").groupBy("record_no").agg(F.max(role_key(F.col("dataset_role"))).alias("role"), F.min(fingerprint_key(F.col("pair_fingerprint"))).alias("fp"))
-    roles = cut(roles.filter(F.col("role").isin("challenge", "standard")), "p3-roles")
+    role = role_key(F.col("dataset_role"))
+    rows = evidence.filter(F.col("record_no").isNotNull() & role.isin("challenge", "standard"))
+    sided = rows.select("record_no", (role == "challenge").alias("is_left"), (role == "standard").alias("is_right"), fingerprint_key(F.col("pair_fingerprint")).alias("fp"))
     # (i) fingerprints
-    classes = roles.filter("fp is not null").groupBy("fp").agg(F.max(F.col("role") == "challenge").alias("ch"), F.max(F.col("role") == "standard").alias("st"))
-    sides = classes.select(F.concat("fp", F.lit("|c")).alias("cls"), "fp", F.lit(True).alias("l"), F.lit(False).alias("r")).filter("ch") .unionByName(classes.filter("st").select(F.concat("fp", F.lit("|s")).alias("cls"), "fp", F.lit(False).alias("l"), F.lit(True).alias("r")))
-    sides = cut(sides, "p3-fp")
-    chunks = text_chunks(sides, "cls", F.col("fp")).join(sides, "cls")
-    same = sharing_pairs(chunks, "cls", F.col("l"), F.col("r"), F.lit(0)).filter("overlap = 1").select(F.regexp_replace("left_id", r"\|c$", "").alias("fp"), F.regexp_replace("right_id", r"\|s$", "").alias("fp_r"), "overlap").filter("fp = fp_r").drop("fp_r")
-    c = lookup(roles.filter("role = 'challenge'").select("record_no", "fp"), same, ["fp"], "inner").select("fp", "overlap", F.col("record_no").alias("ch"))
-    s = roles.filter("role = 'standard'").select("fp", F.col("record_no").alias("st"))
-    by_print = c.join(s, "fp").select("ch", "st", F.lit("fingerprint").alias("kind"), "overlap")
+    prints = sided.filter("fp is not null").withColumn("rec", F.struct("record_no", "is_left", "is_right"))
+    chunks = text_chunks(prints, "rec", F.col("fp"), window=8, reach=20).select("rec.*", F.lit(0).alias("tolerance"), F.lit(0).cast("long").alias("salt"), "chunks")
+    found = cut(_member_pairs(chunks, 1.0), "p3-prints")
+    text = cut(_needed(sided.select("record_no", "fp"), found).distinct(), "p3-texts")
+    by_print = found.join(text.select(F.col("record_no").alias("ch"), F.col("fp").alias("fl")), "ch").join(text.select(F.col("record_no").alias("st"), F.col("fp").alias("fr")), "st").filter("fl = fr")
+    by_print = by_print.select("ch", "st", F.lit("fingerprint").alias("kind"), "overlap")
     # (ii) structural features
     full = prepared.filter((F.size("features") == WIDTH) & F.col("policy_pack").isNotNull() & ~F.exists("features", lambda x: x.isNull()))
     places = F.array(*[F.when(F.col("features")[i] == 0, F.lit(0.0)).otherwise(F.col("features")[i]) for i in PLACES])
-    held = full.select("record_no", "policy_pack", places.alias("v")).distinct().join(roles.select("record_no", "role"), "record_no")
-    held = cut(held.withColumn("cls", F.sha2(F.concat_ws("|", F.col("policy_pack"), F.to_json("v")), 256)), "p3-held")
-    groups = cut(held.groupBy("cls").agg(F.first("policy_pack").alias("policy_pack"), F.first("v").alias("v"), F.max(F.col("role") == "challenge").alias("l"), F.max(F.col("role") == "standard").alias("r")), "p3-classes")
-    chunked = vector_chunks(groups, "cls", F.col("v"), F.xxhash64("policy_pack")).join(groups.select("cls", "l", "r"), "cls")
-    pairs = sharing_pairs(chunked, "cls", F.col("l"), F.col("r"), F.col("widest"))
-    v = groups.select("cls", "policy_pack", "v")
-    near = pairs.join(v.select(F.col("cls").alias("left_id"), F.col("policy_pack").alias("pl"), F.col("v").alias("vl")), "left_id").join(v.select(F.col("cls").alias("right_id"), F.col("policy_pack").alias("pr"), F.col("v").alias("vr")), "right_id")
+    held = full.select("record_no", "policy_pack", places.alias("v"))
+    marked = held.withColumn("salt", F.xxhash64("policy_pack")).withColumn("rec", F.struct("record_no", "salt"))
+    cut_up = vector_chunks(marked, "rec", F.col("v"), F.col("salt")).select("rec.*", "chunks", F.col("widest").alias("tolerance"))
+    flags = sided.groupBy("record_no").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
+    found = cut(_member_pairs(cut_up.join(flags, "record_no"), 0.0), "p3-rows")
+    values = cut(_needed(held, found).distinct(), "p3-values")
+    near = found.join(values.select(F.col("record_no").alias("ch"), F.col("policy_pack").alias("pl"), F.col("v").alias("vl")), "ch").join(values.select(F.col("record_no").alias("st"), F.col("policy_pack").alias("pr"), F.col("v").alias("vr")), "st")
     apart = F.aggregate(F.zip_with("vl", "vr", lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda a, b: a + b)
-    near = near.filter((F.col("pl") == F.col("pr")) & (apart <= 1)).select("left_id", "right_id", "overlap")
-    within = groups.filter("l and r").select(F.col("cls").alias("left_id"), F.col("cls").alias("right_id"), F.lit(1.0).alias("overlap"))
-    linked = near.unionByName(within)
-    by_features = (
-        linked.join(held.filter("role = 'challenge'").select(F.col("cls").alias("left_id"), F.col("record_no").alias("ch")), "left_id")
-        .join(held.filter("role = 'standard'").select(F.col("cls").alias("right_id"), F.col("record_no").alias("st")), "right_id")
-        .select("ch", "st", F.lit("features").alias("kind"), "overlap")
-    )
-    return by_print.unionByName(by_features).select(F.least("ch", "st").alias("record_no_a"), F.greatest("ch", "st").alias("record_no_b"), "kind", "overlap", F.col("ch").alias("challenge_no"))
+    near = near.filter((F.col("pl") == F.col("pr")) & (apart <= 1)).select("ch", "st", F.lit("features").alias("kind"), "overlap")
+    return by_print.unionByName(near).distinct().select(F.least("ch", "st").alias("record_no_a"), F.greatest("ch", "st").alias("record_no_b"), "kind", "overlap", F.col("ch").alias("challenge_no"))
