@@ -28,11 +28,17 @@ def names_something(col: Column) -> Column:
 
 
 def family_key(col: Column) -> Column:
-    """The family a written value names: no letter case, blanks, separators, or marks at either end."""
+    """The family a written value names: no letter case, blanks, separators, or marks at either end.
+
+    Marks are words of their own; in a value whose separators are gone they are cut off the one word that is left
+    (an ``openapi`` at its start is a name, not a mark). A value of marks only names itself.
+    """
     marks = "|".join(FAMILY_MARKS)
     words = F.trim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", " "))
     bare = F.regexp_replace(F.regexp_replace(words, rf"^(?:(?:{marks}) )+", ""), rf"(?: (?:{marks}))+$", "")
-    return F.when(names_something(col) & (bare != ""), F.regexp_replace(bare, " ", ""))
+    glued = F.regexp_replace(F.regexp_replace(bare, rf"^(?:(?:{marks})(?<!open(?=api)))+", ""), rf"(?:{marks})+$", "")
+    one = F.when(~bare.contains(" ") & (glued != ""), glued).otherwise(F.regexp_replace(bare, " ", ""))
+    return F.when(names_something(col) & (bare != ""), one)
 
 
 @dataclass
