@@ -2,76 +2,165 @@
 
 from __future__ import annotations
 
-import math
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmill.llm.overlap import mix
 from driftmill.runtime import spread
 
 BUCKETS = 1 << 16  # of hashed words and word pairs
 #: Labelled documents the classifier is fitted on at most; more are thinned by a hash of their id.
 MAX_LABELLED = 5000
 BEAM = 4
-MAX_AREAS = 2  # a document has one or two areas
 COMMON = 0.2  # terms in more than this share of all documents say nothing
-LINE = re.compile(r"\n+|(?<=[.!?])\s+")
-HUMP = re.compile(r"(?<=[a-z0-9ß-ÿ])(?=[A-ZÀ-Þ])")
-MARKS = re.compile("[̀-ͯ]+")
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters whose terms are found at once; a longer single text is taken alone.
+PIECE = 1 << 18
+BASE = 0x9E3779B97F4A7C15
+SKIP = 1  # value of a combining mark: it neither ends a word nor belongs to it
 
 
-def words(line: str) -> list[str]:
-    """Letters only, in lower case, without accents; names in camel case, snake case or with dots fall into words."""
-    text = HUMP.sub(" ", line)
-    if not text.isascii():
-        text = MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("ß", "ss")
-    return WORD.findall(text.lower())
+class Alphabet:
+    """Code point -> folded letter (lower case, no accent), 0 where a word ends. Filled as characters are met."""
 
+    def __init__(self) -> None:
+        self.fold = np.zeros(sys.maxunicode + 1, np.uint32)
+        self.upper, self.known = np.zeros(sys.maxunicode + 1, bool), np.zeros(sys.maxunicode + 1, bool)
+        self.learn(np.arange(128))
 
-class Terms:
-    """Hashed words and word pairs of texts, with a bounded memory of the hashes."""
+    def learn(self, points: np.ndarray) -> None:
+        for c in points.tolist():
+            ch = chr(c)
+            plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)).lower()
+            if unicodedata.combining(ch):
+                self.fold[c] = SKIP
+            elif ch.isalpha():
+                self.fold[c] = ord(plain[0]) if plain else ord(ch.lower()[0])
+            self.upper[c], self.known[c] = ch.isupper(), True
+
+    def meet(self, cp: np.ndarray) -> None:
+        if cp.dtype != np.uint8:
+            new = ~self.known[cp]
+            if new.any():
+                self.learn(np.unique(cp[new]))
 
-    def __init__(self) -> None:
-        self.memory: dict[str, int] = {}
-
-    def bucket(self, term: str) -> int:
-        b = self.memory.get(term)
-        if b is None:
-            if len(self.memory) > 300_000:
-                self.memory.clear()
-            b = self.memory[term] = crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
-        return b
-
-    def lines(self, text: str | None) -> list[np.ndarray]:
-        """The different terms of each line or sentence of the whole text."""
-        out = []
-        for part in LINE.split(text or ""):
-            w = words(part)
-            if w:
-                terms = {*w, *map(" ".join, zip(w, w[1:]))}
-                out.append(np.fromiter({self.bucket(t) for t in terms}, np.int64))
-        return out
+
+@lru_cache(1)
+def alphabet() -> Alphabet:
+    return Alphabet()
+
+
+@dataclass
+class Lines:
+    """The different terms of each line or sentence: those of line i are bucket[start[i]:start[i + 1]]."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    bucket: np.ndarray
+
+    def of(self, d: int) -> np.ndarray:
+        lo, hi = np.searchsorted(self.doc, [d, d + 1])
+        return self.bucket[self.start[lo] : self.start[hi]]
+
+
+def find_lines(texts: list[str | None]) -> Lines:
+    """Words are runs of letters without accents in lower case; names in camel case fall into words. A line ends at a
+    line break or at a blank behind a full stop, exclamation or question mark. Terms are words and pairs of neighbours."""
+    docs, starts, buckets, total = [], [], [], 0
+    at, size = 0, 0
+    for i in range(len(texts) + 1):
+        n = len(texts[i] or "") if i < len(texts) else 0
+        if i == len(texts) or (i > at and size + n > PIECE):
+            if i > at:
+                d, s, b = _find(texts[at:i])
+                docs.append(d + at)
+                starts.append(s + total)
+                buckets.append(b)
+                total += len(b)
+            at, size = i, 0
+        size += n
+    empty = np.zeros(0, np.int64)
+    return Lines(np.concatenate([empty, *docs]), np.append(np.concatenate([empty, *starts]), total), np.concatenate([empty, *buckets]))
+
+
+def _distinct(key: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; sorting beats the hashed np.unique here several times over."""
+    key.sort()
+    return key[np.diff(key, prepend=-1) != 0]
+
+
+def _find(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    whole = "\n".join(t or "" for t in texts)
+    ends = np.cumsum([len(t or "") + 1 for t in texts])  # the break behind each text
+    if not whole:
+        return none, none, none
+    cp = np.frombuffer(whole.encode(), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    abc = alphabet()
+    abc.meet(cp)
+    value = abc.fold[cp]
+    letter, upper = value > 0, abc.upper[cp]
+    before = np.concatenate([[False], letter[:-1]])
+    hump = upper & before & ~np.concatenate([[False], upper[:-1]])
+    first = letter & (~before | hump)
+    word = np.flatnonzero(first)
+    if not len(word):
+        return none, none, none
+    counted = value > SKIP
+    rank = np.concatenate([[0], np.cumsum(counted)])
+    power, inverse = _powers(int(rank[-1]) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(np.where(counted, value.astype(np.uint64) * power[rank[:-1]], np.uint64(0)), dtype=np.uint64)])
+    stop = np.concatenate([word[1:], [len(cp)]])  # what lies between two words adds nothing
+    gap = np.flatnonzero(letter & ~np.concatenate([letter[1:], [False]])) + 1
+    stop = np.minimum(stop, gap[np.searchsorted(gap, word, "right")])
+    hashed = mix((sums[stop] - sums[word]) * inverse[rank[word]] + (rank[stop] - rank[word]).astype(np.uint64))
+    space = (cp == 32) | (cp == 9) | (cp == 13)
+    mark = (cp == 46) | (cp == 33) | (cp == 63)
+    ends_line = (cp == 10) | (space & np.concatenate([[False], mark[:-1]]))
+    line = np.cumsum(ends_line)[word]
+    pair = line[1:] == line[:-1]
+    both = mix(hashed[:-1][pair] * np.uint64(3) + hashed[1:][pair])
+    key = np.concatenate([line, line[1:][pair]]).astype(np.int64) << 16
+    key |= (np.concatenate([hashed, both]) >> np.uint64(48)).astype(np.int64)
+    key = _distinct(key)
+    of = key >> 16
+    new = np.flatnonzero(np.diff(of, prepend=-1))
+    at = word[np.searchsorted(line, of[new])]
+    return np.searchsorted(ends, at, "right"), new, key & (BUCKETS - 1)
+
+
+@lru_cache(2)
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n + 1, np.uint64(base))
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _grown(1 << max(PIECE.bit_length() - 1, n.bit_length()))
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each bucket occurs, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, seen, n = Terms(), np.zeros(BUCKETS, np.int64), 0
+        seen, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            for t in b.column("_text").to_pylist():
-                lines = terms.lines(t)
-                n += 1
-                if lines:
-                    seen[np.unique(np.concatenate(lines))] += 1
+            found = find_lines(b.column("_text").to_pylist())
+            n += b.num_rows
+            each = _distinct((np.repeat(found.doc, np.diff(found.start)) << 16) | found.bucket)
+            seen += np.bincount(each & (BUCKETS - 1), minlength=BUCKETS)
         hit = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(seen[hit], n))], names=["bucket", "n"])
 
@@ -126,32 +215,37 @@ def fit_terms(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: i
     return weights
 
 
-def _weighted(lines: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    i, n = np.unique(np.concatenate(lines), return_counts=True)
+def _weighted(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i = _distinct(terms.copy())
+    n = np.bincount(np.searchsorted(i, terms), minlength=len(i))
     v = np.log1p(n) * idf[i]
     i, v = i[v > 0], v[v > 0]
     return i, (v / (np.linalg.norm(v) or 1)).astype(np.float32)
 
 
-def evidence(lines: list[np.ndarray], scaled: np.ndarray) -> np.ndarray:
-    """(areas, 4): of each area the share of the lines that speak for it, of the summed weights, the lines, and lines at all.
+def evidence(lines: Lines, n: int, scaled: np.ndarray) -> np.ndarray:
+    """(documents, areas, 4): of each area the share of the lines that speak for it, its share of the summed weights, its
+    lines, and lines at all.
 
     ``scaled`` is weight times idf. A passing mention or a footer is one line; what a text is about fills many.
     """
     areas = scaled.shape[1]
-    count, weight, told = np.zeros(areas), np.zeros(areas), 0
-    if lines:
-        starts = np.cumsum([0] + [len(i) for i in lines[:-1]])
-        z = np.add.reduceat(scaled[np.concatenate(lines)], starts, axis=0)
+    out = np.zeros((n, areas, 4))
+    if len(lines.doc):
+        z = np.add.reduceat(scaled[lines.bucket], lines.start[:-1], axis=0)
         top = z.argmax(1)
         sure = z[np.arange(len(z)), top] > 2.0
-        told = int(sure.sum())
-        count += np.bincount(top[sure], minlength=areas)
-        weight += np.maximum(z, 0).sum(0)
-    total = weight.sum()
-    return np.stack([count / max(told, 1), weight / total if total > 0 else weight, np.log1p(count), np.full(areas, math.log1p(len(lines)))], 1)
+        count = np.bincount(lines.doc[sure] * areas + top[sure], minlength=n * areas).reshape(n, areas)
+        told = np.bincount(lines.doc[sure], minlength=n)
+        at = np.flatnonzero(np.diff(lines.doc, prepend=-1))
+        weight = np.zeros((n, areas))
+        weight[lines.doc[at]] = np.add.reduceat(np.maximum(z, 0), at, axis=0)
+        total = weight.sum(1, keepdims=True)
+        out[:, :, 0] = count / np.maximum(told, 1)[:, None]
+        out[:, :, 1] = weight / np.where(total > 0, total, 1)
+        out[:, :, 2] = np.log1p(count)
+        out[:, :, 3] = np.log1p(np.bincount(lines.doc, minlength=n))[:, None]
+    return out
 
 
 @dataclass
@@ -166,14 +260,23 @@ class Chain:
     temperature: float
 
     def links(self, ev: np.ndarray, source: np.ndarray) -> np.ndarray:
-        """(areas, features) of the chain's links, without those of the areas decided before."""
-        share = (ev[:, 0] + ev[:, 1]) / 2
-        n = len(self.areas)
-        rank = np.argsort(np.argsort(-share, kind="stable"), kind="stable")
-        best = share.max() if n else 0.0
-        others = np.array([np.delete(share, j).max() if n > 1 else 0.0 for j in range(n)])
-        third = np.sort(share)[-3] if n > 2 else 0.0
-        return np.column_stack([np.ones(n), share, ev[:, 0], ev[:, 1], ev[:, 2], ev[:, 3], others, share - third, np.log(share + 0.02) - math.log(best + 0.02), np.log(share + 0.02) - math.log(third + 0.02), rank == 0, rank == 1, rank >= 2, source])
+        """(documents, areas, 14) features of the chain's links, without those of the areas decided before."""
+        share = (ev[:, :, 0] + ev[:, :, 1]) / 2
+        n, k = share.shape
+        order = np.argsort(-share, axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(k)[None, :].repeat(n, 0), 1)
+        ranked = np.take_along_axis(share, order, 1)
+        best = ranked[:, :1]
+        second = ranked[:, 1:2] if k > 1 else np.zeros((n, 1))
+        third = ranked[:, 2:3] if k > 2 else np.zeros((n, 1))
+        others = np.where(rank == 0, second, best)
+        say = np.log(share + 0.02)
+        return np.stack([np.ones((n, k)), share, ev[:, :, 0], ev[:, :, 1], ev[:, :, 2], ev[:, :, 3], others, share - third, say - np.log(best + 0.02), say - np.log(third + 0.02), rank == 0, rank == 1, rank >= 2, source], 2)
+
+    def source_odds(self, keys: list[str | None]) -> np.ndarray:
+        none = np.zeros(len(self.areas))
+        return np.array([self.sources.get(k or "", none) for k in keys]).reshape(len(keys), len(self.areas))
 
 
 def _context(chain_order: np.ndarray, y: np.ndarray, together: np.ndarray) -> np.ndarray:
@@ -188,11 +291,12 @@ def _context(chain_order: np.ndarray, y: np.ndarray, together: np.ndarray) -> np
     return out
 
 
-def fit_chain(docs: list[list[np.ndarray]], sources: list[str], y: np.ndarray, areas: list[str], idf: np.ndarray) -> Chain:
-    """Term weights are cross-fitted in three parts, so the chain learns from evidence on texts its terms have not seen."""
+def fit_chain(texts: list[str | None], sources: list[str], y: np.ndarray, areas: list[str], idf: np.ndarray) -> Chain:
+    """Term weights are cross-fitted in two parts, so the chain learns from evidence on texts its terms have not seen."""
     n, k = y.shape
-    rows = [_weighted(d, idf) for d in docs]
-    fold = np.arange(n) % 3
+    lines = find_lines(texts)
+    rows = [_weighted(lines.of(d), idf) for d in range(n)]
+    fold = np.arange(n) % 2
     prior = (y.sum(0) + 0.5) / (n + 1)
     table: dict[str, np.ndarray] = {}
     for s in set(sources):
@@ -203,25 +307,24 @@ def fit_chain(docs: list[list[np.ndarray]], sources: list[str], y: np.ndarray, a
     together = np.log((pair + 0.5) / (np.outer(y.sum(0), y.sum(0)) / max(n, 1) + 0.5))
     chain = Chain(areas, np.zeros((BUCKETS, k), np.float32), table, together, np.zeros(17), 1.0)
     feats, target = [], []
-    for f in range(3):
-        test = np.flatnonzero(fold == f)
+    for f in range(2):
+        test, train = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
         if not len(test):
             continue
-        train = np.flatnonzero(fold != f)
         scaled = fit_terms([rows[i] for i in train], y[train]) * idf[:, None].astype(np.float32) if len(train) else chain.scaled
-        for i in test:
-            ev = evidence(docs[i], scaled)
-            x = chain.links(ev, np.zeros(k))  # a source's odds hold the document's own label: they are left out here
-            order = np.argsort(-x[:, 1], kind="stable")
-            feats.append(np.column_stack([x[order], _context(order, y[i], together)]))
-            target.append(y[i][order])
+        # a source's odds hold the document's own label: they are left out here
+        x = chain.links(evidence(lines, n, scaled)[test], np.zeros((len(test), k)))
+        order = np.argsort(-x[:, :, 1], axis=1, kind="stable")
+        for r, i in enumerate(test):
+            feats.append(np.column_stack([x[r][order[r]], _context(order[r], y[i], together)]))
+            target.append(y[i][order[r]])
     x, t = np.concatenate(feats), np.concatenate(target)
     mean, std = x.mean(0), x.std(0)
     mean[0], std = 0.0, np.where(std > 1e-9, std, 1.0)
     w = np.zeros(x.shape[1])
     z = (x - mean) / std
     step = _adam(w.shape)
-    for i in range(1, 601):
+    for i in range(1, 401):
         w -= step(z.T @ (_squash(z @ w) - t) / len(t) + 1e-4 * w, i, 0.05)
     # calibration: one temperature on the cross-fitted scores
     score = z @ w
@@ -235,33 +338,40 @@ def fit_chain(docs: list[list[np.ndarray]], sources: list[str], y: np.ndarray, a
     return chain
 
 
-def decode(chain: Chain, lines: list[np.ndarray], source: str | None) -> list[tuple[int, float]]:
-    """The likeliest combination of one or two areas, by beam search along the chain; (area, probability)."""
-    k = len(chain.areas)
-    ev = evidence(lines, chain.scaled)
-    x = chain.links(ev, chain.sources.get(source or "", np.zeros(k)))
-    order = np.argsort(-x[:, 1], kind="stable")
-    base = x[order] @ chain.weights[:14]
-    wc = chain.weights[14:]
-    beam: list[tuple[float, tuple[int, ...], dict[int, float]]] = [(0.0, (), {})]
-    for step, j in enumerate(order):
-        grown = []
-        for logp, on, ps in beam:
-            z = base[step] + wc @ np.array([len(on), not on, sum(chain.together[i, j] for i in on)])
-            p = float(_squash(np.array(z / chain.temperature)))
-            grown.append((logp + math.log(1 - p + 1e-12), on, ps))
-            if len(on) < MAX_AREAS:
-                grown.append((logp + math.log(p + 1e-12), (*on, int(j)), {**ps, int(j): p}))
-        grown.sort(key=lambda g: -g[0])
-        beam = grown[:BEAM]
-        if step >= 5:  # areas without any evidence left
-            if not ev[order[step + 1 :], 0].any():
-                break
-    for _, on, ps in beam:
-        if on:
-            return [(j, ps[j]) for j in on]
-    j = int(order[0])
-    return [(j, float(_squash(np.array(base[0] / chain.temperature))))]
+def decode(chain: Chain, texts: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, 2) areas, the second -1 where there is one only, and their probabilities: for each document the
+    likeliest combination of one or two areas, by beam search along the chain (all documents of a batch at once)."""
+    n, k = len(texts), len(chain.areas)
+    x = chain.links(evidence(find_lines(texts), n, chain.scaled), chain.source_odds(sources))
+    order = np.argsort(-x[:, :, 1], axis=1, kind="stable")
+    base = np.take_along_axis(x @ chain.weights[:14], order, 1)
+    w_on, w_none, w_with = chain.weights[14:]
+    logp = np.full((n, BEAM), -np.inf)
+    logp[:, 0] = 0
+    on, prob = np.full((n, BEAM, 2), -1), np.zeros((n, BEAM, 2))
+    together = np.zeros((k + 1, k))  # a row of zeros for "none"
+    together[:k] = chain.together
+    for step in range(k):
+        j = order[:, step]
+        number = (on >= 0).sum(2)
+        z = base[:, step, None] + w_on * number + w_none * (number == 0) + w_with * (together[on[:, :, 0], j[:, None]] + together[on[:, :, 1], j[:, None]])
+        p = _squash(z / chain.temperature)
+        off, yes = logp + np.log(1 - p + 1e-12), np.where(number < 2, logp + np.log(p + 1e-12), -np.inf)
+        with_j, with_p = on.copy(), prob.copy()
+        r, c = np.nonzero(number < 2)
+        with_j[r, c, number[r, c]], with_p[r, c, number[r, c]] = j[r], p[r, c]
+        every = np.concatenate([off, yes], 1)
+        keep = np.argsort(-every, axis=1, kind="stable")[:, :BEAM]
+        logp = np.take_along_axis(every, keep, 1)
+        on = np.take_along_axis(np.concatenate([on, with_j], 1), keep[:, :, None], 1)
+        prob = np.take_along_axis(np.concatenate([prob, with_p], 1), keep[:, :, None], 1)
+    some = on[:, :, 0] >= 0
+    best = np.where(some, logp, -np.inf).argmax(1)
+    rows = np.arange(n)
+    areas, sure = on[rows, best], prob[rows, best]
+    none = ~some.any(1)
+    areas[none, 0], sure[none, 0] = order[none, 0], _squash(base[none, 0] / chain.temperature)
+    return areas, sure
 
 
 def source_key(s: str | None) -> str | None:
@@ -287,23 +397,23 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     idf = np.where((df > 0) & ((df <= COMMON * total) | (total < 50)), np.log((total + 1) / (1 + df)), 0.0)
     areas = sorted({a for r in rows for a in r["areas"]})
     y = np.array([[a in r["areas"] for a in areas] for r in rows], float)
-    terms = Terms()
-    chain = fit_chain([terms.lines(r["t"]) for r in rows], [source_key(r["s"]) or "" for r in rows], y, areas, idf)
+    chain = fit_chain([r["t"] for r in rows], [source_key(r["s"]) or "" for r in rows], y, areas, idf)
     common = int(y.sum(0).argmax())
     held = docs.sparkSession.sparkContext.broadcast(chain)  # BUCKETS x areas floats and a table by labelled source
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, terms = held.value, Terms()
-        for b in batches:
-            at, got, sure = [], [], []
-            for r, (t, s) in enumerate(zip(b.column("_text").to_pylist(), b.column("_source").to_pylist())):
-                lines = terms.lines(t)
-                for j, p in decode(model, lines, source_key(s)) if lines else [(common, 0.0)]:
-                    at.append(r)
-                    got.append(model.areas[j])
-                    sure.append(round(p, 6))
-            yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(at, pa.int64())), pa.array(got, pa.string()), pa.array(sure, pa.float64())], names=["_id", "subject_area", "probability"])
+        model = held.value
+        names = np.array(model.areas, object)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                texts = b.column("_text").to_pylist()
+                areas, sure = decode(model, texts, [source_key(s) for s in b.column("_source").to_pylist()])
+                bare = np.array([not t or not any(c.isalpha() for c in t[:200]) and not any(c.isalpha() for c in t) for t in texts], bool)
+                areas[bare], sure[bare] = [common, -1], 0.0
+                at, which = np.nonzero(areas >= 0)
+                yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(at)), pa.array(names[areas[at, which]], pa.string()), pa.array(np.round(sure[at, which], 6))], names=["_id", "subject_area", "probability"])
 
     rows_in = spread(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_source")))
     return rows_in.mapInArrow(run, f"_id {kind}, subject_area string, probability double").withColumnRenamed("_id", doc_id)
