@@ -22,13 +22,11 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     Keys with more than 1/1000 of the rows of ``left`` (and more than ``least`` rows), of which there can be
     no more than 1000, take a broadcast join with their rows of ``right``; all others a shuffle join.
     """
+    total = left.count()
+    if total <= least:
+        return left.join(right, on, how)
     counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.agg(F.sum("_n").alias("_all"))
-    hot = (
-        counted.crossJoin(F.broadcast(total))  # one row
-        .filter((F.col("_n") > F.lit(least)) & (F.col("_n") * HOT_KEYS > F.col("_all")))
-        .select(*on)
-    )
+    hot = counted.filter(F.col("_n") > max(least, total // HOT_KEYS)).select(*on)
     keys = hot.limit(HOT_KEYS).collect()
     if not keys:
         return left.join(right, on, how)

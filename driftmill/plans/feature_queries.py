@@ -230,3 +230,49 @@ def register(r: Registry) -> None:
         rows = training_rows(spark, sf_dir).join(records(spark, sf_dir).select("record_no", "source", "pair_fingerprint"), "record_no").withColumn("record_id", F.col("record_no").cast("string"))
         gated = external.contamination(rows.filter("role = 'challenge'").withColumn("external_use", F.lit("accuracy-bearing")), rows.filter("role = 'standard'"))
         return external.status_counts(gated)
+
+
+def register_commands(r: Registry) -> None:
+    from driftmill.operators import admission
+    from driftmill.plans import commands
+
+    @r.add("schema_admission")
+    def schema_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _pairs(spark, sf_dir).select("pair_no", admission.admission(F.col("base_schema")).alias("error"))
+
+    @r.add("source_profiles")
+    def source_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import pandas as pd
+
+        @F.pandas_udf("string")
+        def profile(s: pd.Series) -> pd.Series:
+            return s.map(candidates.root_profile)
+
+        return _pairs(spark, sf_dir).groupBy(profile("base_schema").alias("profile")).agg(F.count(F.lit(1)).alias("n"))
+
+    @r.add("isolation_manifest")
+    def isolation_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return admission.isolation_manifest(_pairs(spark, sf_dir).select(F.col("pair_no").cast("string").alias("family_id"), F.col("base_schema").alias("schema")), ["baseline", "strict"])
+
+    @r.add("generated_records")
+    def generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schemas = _pairs(spark, sf_dir).select(F.col("pair_no").cast("string").alias("unique_id"), F.col("base_schema").alias("json_schema"))
+        packs = policy.resolve(spark, {p: policy.NAMED_PACKS[p] for p in ("baseline", "strict", "relaxed")})
+        made = commands.generate(schemas, packs, ["BACKWARD"], None, 0.2, 20260826)
+        return made.groupBy("kind", "policy_pack", "dataset_role", "compatibility_label", "label_source").agg(F.count(F.lit(1)).alias("n"))
+
+    @r.add("refeatured_records")
+    def refeatured_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schemas = _pairs(spark, sf_dir).select(F.col("pair_no").cast("string").alias("unique_id"), F.col("base_schema").alias("json_schema"))
+        packs = policy.resolve(spark, policy.NAMED_PACKS)
+        old = candidates.candidate_table(schemas, ["unique_id"], "json_schema").select(F.concat_ws(":", "unique_id", "ordinal").alias("record_id"), F.col("unique_id").alias("family_id"), "kind", "variant", F.lit("baseline").alias("policy_pack"))
+        return commands.refeature(old, schemas, packs).select("record_id", "policy_pack", "features")
+
+    @r.add("coverage_status", "with rec as (select record_no, min(family_id) as family_id, min(lower(trim(mutation))) as mutation, min(lower(trim(policy_pack))) as policy_pack, coalesce(min(lower(trim(dataset_role))), 'standard') as role from generation_evidence group by 1) select 'records' as target, count(*) as reached, 100 as wanted, count(*) >= 100 as met from rec union all select 'standard_families', count(distinct family_id), 10, count(distinct family_id) >= 10 from rec where role = 'standard' union all select 'challenge_families', count(distinct family_id), 5, count(distinct family_id) >= 5 from rec where role = 'challenge' union all select 'complete_pairs', count(*), 1, count(*) >= 1 from (select family_id, mutation from rec group by 1, 2 having count(distinct policy_pack) >= 3)")
+    def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return commands.coverage_status(records(spark, sf_dir), "compatibility_label", 100, 10, 5, 1)
+
+    @r.add("feature_ablation", "with p as (select record_no, min(features) as f, max(breaking_change) as y from prepared_records where len(features) = 76 and breaking_change is not null group by 1), n as (select f[66] > 0 as b, sum(y) as ones, sum(1 - y) as zeros from p group by 1) select round(sum(greatest(ones, zeros)) / sum(ones + zeros), 6) as accuracy, count(*) as n_buckets from n")
+    def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = table(spark, sf_dir, "prepared_records").filter("size(features) = 76 and breaking_change is not null").groupBy("record_no").agg(F.min("features").alias("features"), F.max("breaking_change").alias("y"))
+        return commands.feature_ablation(p, 65, "y")

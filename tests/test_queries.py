@@ -16,6 +16,7 @@ def registry():
     r = Registry()
     for m in (compare_queries, feature_queries, record_queries):
         m.register(r)
+    feature_queries.register_commands(r)
     return r
 
 
