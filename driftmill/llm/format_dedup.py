@@ -18,7 +18,6 @@ from driftmill.runtime import cut, spread
 
 #: Members of a group that are confirmed in one task; a larger group is cut into slices of this size.
 SLICE = 20_000
-#: Batches of a task are cut to this many rows, so long texts do not add up in a Python worker.
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
 ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\(.)", re.S)
 
@@ -49,25 +48,46 @@ def same_folded(a: str, b: str) -> bool:
 
 
 def _scan(text: str) -> tuple[list[tuple[int, int]], list[int]] | None:
-    """Spans of the JSON tokens without commas, and for each opening bracket the token that closes it."""
+    """Spans of the JSON tokens without commas, and for each opening bracket the token that closes it; None for what is
+    no JSON, stray commas forgiven."""
     spans: list[tuple[int, int]] = []
     closed: list[int] = []
     stack: list[int] = []
+    # what the open container waits for: "e" element, "," comma or end, "k" name, ":" colon, "v" value
+    waits = ["e"]
     at = 0
     for m in TOKEN.finditer(text):
         if text[at : m.start()].strip(" \t\r\n"):
             return None
         at = m.end()
         c = text[m.start()]
+        now = waits[-1]
         if c == ",":
+            if now in ":v" or not stack:
+                return None
+            waits[-1] = "k" if text[spans[stack[-1]][0]] == "{" else "e"
             continue
-        if c in "}]":
-            if not stack or text[spans[stack[-1]][0]] != ("{" if c == "}" else "["):
+        if c == ":":
+            if now != ":":
+                return None
+            waits[-1] = "v"
+        elif c in "}]":
+            if not stack or now in ":v" or text[spans[stack[-1]][0]] != ("{" if c == "}" else "["):
                 return None
             closed[stack.pop()] = len(spans)
-        elif c in "{[":
-            stack.append(len(spans))
-        elif c not in '":' and literal(m[0]) is None:
+            waits.pop()
+        elif now == "k":
+            if c != '"' or len(m[0]) < 2:
+                return None
+            waits[-1] = ":"
+        elif now in "ev":
+            waits[-1] = ","
+            if c in "{[":
+                stack.append(len(spans))
+                waits.append("k" if c == "{" else "e")
+            elif c != '"' and literal(m[0]) is None:
+                return None
+        else:
             return None
         spans.append(m.span())
         closed.append(len(spans) - 1)
@@ -121,17 +141,17 @@ def same_content(a: str | None, b: str | None) -> bool:
     return True
 
 
-def _hashed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def _hashed(texts: DataFrame, fields: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             one, two = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
-            for i, f in enumerate(fields):
-                x, y = hash_texts(b.column(f).to_pylist())
+            for i in range(fields):
+                x, y = hash_texts(b.column(f"t{i}").to_pylist())
                 one, two = mix(one + x + np.uint64(i)), mix(two + y + np.uint64(31 * i))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[key, "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["_id", "h1", "h2"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return spread(df.select(key, *[F.col(f).cast("string") for f in fields])).mapInArrow(run, f"{key} {kind}, h1 bigint, h2 bigint")
+    kind = texts.schema["_id"].dataType.simpleString()
+    return spread(texts).mapInArrow(run, f"_id {kind}, h1 bigint, h2 bigint")
 
 
 def format_duplicates(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -147,41 +167,40 @@ def format_duplicates(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     one of punctuation only. Rows repeated under one key count once (the smallest content hash of the key stands for
     it). An empty table gives an empty result.
     """
-    df = df.filter(F.col(key).isNotNull())
-    seen = _hashed(df, key, fields)
-    once = cut(seen.groupBy(key).agg(F.min(F.struct("h1", "h2")).alias("h")).select(key, "h.h1", "h.h2"), "p4-hashes")
-    groups = once.groupBy("h1", "h2").agg(F.min(key).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = cut(lookup(once, groups, ["h1", "h2"], "inner").select(key, "kept", "h1", "h2", F.when(F.col("n") > SLICE, F.ceil(F.col("n") / SLICE)).otherwise(1).cast("int").alias("fan")), "p4-copies")
+    texts = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), *[F.col(f).cast("string").alias(f"t{i}") for i, f in enumerate(fields)])
+    seen = _hashed(texts, len(fields))
+    once = cut(seen.groupBy("_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("_id", "h.h1", "h.h2"), "p4-hashes")
+    groups = once.groupBy("h1", "h2").agg(F.min("_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = cut(lookup(once, groups, ["h1", "h2"], "inner").select("_id", "kept", F.ceil(F.col("n") / SLICE).cast("int").alias("fan")), "p4-copies")
     links, rest = None, copies
     while True:
-        checked = cut(_confirmed(df, rest, key, fields), "p4-checked")
-        good = checked.filter("same").select(key, "kept")
+        checked = cut(_confirmed(texts, rest, len(fields)), "p4-checked")
+        good = checked.filter("same").select("_id", "kept")
         links = good if links is None else links.unionByName(good)
-        failed = checked.filter("not same").select(key, F.col("kept").alias("_of"))
+        failed = checked.filter("not same").select("_id", F.col("kept").alias("_of"))
         if failed.isEmpty():
             break
-        again = failed.groupBy("_of").agg(F.min(key).alias("kept"), F.count(F.lit(1)).alias("n"))
-        rest = cut(failed.join(again, "_of").select(key, "kept", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.ceil(F.col("n") / SLICE).cast("int").alias("fan")), "p4-rest")
-    # a row that keeps itself and has no copy left is a group of one
-    placed = once.select(key).join(links.filter(F.col(key) != F.col("kept")), key, "left").select(key, F.coalesce("kept", F.col(key)).alias("kept"))
+        again = failed.groupBy("_of").agg(F.min("_id").alias("kept"), F.count(F.lit(1)).alias("n"))
+        rest = cut(failed.join(again, "_of").select("_id", "kept", F.ceil(F.col("n") / SLICE).cast("int").alias("fan")), "p4-rest")
+    placed = cut(once.select("_id").join(links, "_id", "left").select("_id", F.coalesce("kept", F.col("_id")).alias("kept")), "p4-placed")
     sizes = placed.groupBy("kept").agg(F.count(F.lit(1)).alias("n_copies"))
-    return lookup(placed, sizes, ["kept"]).select(key, "kept", "n_copies")
+    return lookup(placed, sizes, ["kept"]).select(F.col("_id").alias(key), F.col("kept").alias("kept"), "n_copies")
 
 
-def _confirmed(df: DataFrame, groups: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, kept, same) for the rows of ``groups`` (key, kept, fan)."""
-    own = groups.select(key, "kept", F.pmod(F.xxhash64(key), F.col("fan")).cast("int").alias("slice"), F.lit(False).alias("leads")).filter(F.col(key) != F.col("kept"))
-    first = groups.filter(F.col(key) == F.col("kept")).select(key, "kept", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"), F.lit(True).alias("leads"))
-    texts = df.select(F.col(key), *[F.col(f).cast("string").alias(f"t{i}") for i, f in enumerate(fields)])
-    rows = own.unionByName(first).join(texts, key).repartition("kept", "slice").sortWithinPartitions("kept", "slice", F.desc("leads"), key)
-    out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("kept", df.schema[key].dataType), T.StructField("same", T.BooleanType())])
+def _confirmed(texts: DataFrame, groups: DataFrame, fields: int) -> DataFrame:
+    """(_id, kept, same) for the rows of ``groups`` (_id, kept, fan) that do not lead their group."""
+    own = groups.select("_id", "kept", F.pmod(F.xxhash64("_id"), F.col("fan")).cast("int").alias("slice"), F.lit(False).alias("leads")).filter("_id <> kept")
+    first = groups.filter("_id = kept").select("_id", "kept", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"), F.lit(True).alias("leads"))
+    rows = own.unionByName(first).join(texts, "_id").repartition("kept", "slice").sortWithinPartitions("kept", "slice", F.desc("leads"), "_id")
+    kind = texts.schema["_id"].dataType
+    out = T.StructType([T.StructField("_id", kind), T.StructField("kept", kind), T.StructField("same", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead: list = []
         of = None
         for b in batches:
-            keys, kept, cut_, leads = (b.column(c).to_pylist() for c in (key, "kept", "slice", "leads"))
-            cols = [b.column(f"t{i}") for i in range(len(fields))]
+            keys, kept, cut_, leads = (b.column(c).to_pylist() for c in ("_id", "kept", "slice", "leads"))
+            cols = [b.column(f"t{i}") for i in range(fields)]
             k_out, r_out, s_out = [], [], []
             for r in range(b.num_rows):
                 row = [c[r].as_py() for c in cols]
@@ -193,7 +212,7 @@ def _confirmed(df: DataFrame, groups: DataFrame, key: str, fields: list[str]) ->
                 k_out.append(keys[r])
                 r_out.append(kept[r])
                 s_out.append(any(all(same_content(x, y) for x, y in zip(one, row)) for one in lead))
-            yield pa.RecordBatch.from_arrays([pa.array(k_out, b.column(key).type), pa.array(r_out, b.column("kept").type), pa.array(s_out, pa.bool_())], names=[key, "kept", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(k_out, b.column("_id").type), pa.array(r_out, b.column("kept").type), pa.array(s_out, pa.bool_())], names=["_id", "kept", "same"])
 
     # a key delivered more than once is a copy if one of its rows is
-    return rows.mapInArrow(run, out).groupBy(key, "kept").agg(F.max("same").alias("same"))
+    return rows.mapInArrow(run, out).groupBy("_id", "kept").agg(F.max("same").alias("same"))

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from driftmill.operators.skew import lookup
 from driftmill.runtime import cut, spread
 
+#: Queries that go against all rows at once; 4096 x 49 floats are 0.8 MB whatever the data's size.
+QUERY_BLOCK = 4096
 BITS = 62  # of a tree's hash string; it stays a non-negative long
 
 
@@ -183,6 +185,7 @@ def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k:
     vector's k places goes to other directions, again the smaller id first within one. Zero, empty and null vectors
     have no neighbours; an id with repeated rows counts once.
     """
+    vectors, id_col, vector = vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v"
     classes, members = unit_classes(vectors, id_col, vector)
     near = cut(forest_neighbours(classes, k, least=least, **forest), "p6-near")
     exact = classes.select("cls", "unit")
@@ -209,11 +212,56 @@ def _heads(members: DataFrame, id_col: str, k: int) -> DataFrame:
     return few.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(id_col)), 1, k).alias("heads"))
 
 
-def nearest(vectors: DataFrame, id_col: str, vector: str, k: int = 5, queries: Column | None = None, **forest: int) -> DataFrame:
-    """(id, other_id, cosine, rank): the k most similar other vectors of every vector, or of those where ``queries`` holds."""
-    classes, members = unit_classes(vectors, id_col, vector)
-    asked = members if queries is None else members.filter(queries)
+def complete(classes: DataFrame, asked: DataFrame, found: DataFrame, k: int, certain: float) -> DataFrame:
+    """``found`` with the exact answer for the asked classes whose k-th similarity lies below ``certain``.
+
+    A forest finds what is close; where a vector has no close ones, prefixes say nothing about who is nearest. Such
+    queries go against all rows, in blocks of bounded size, each task keeping the k best of its part.
+    """
+    kth = found.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least")).filter((F.col("n") >= k) & (F.col("least") >= certain))
+    open_ = cut(asked.select("cls").distinct().join(kth, "cls", "left_anti").join(classes, "cls"), "p6-open")
+    done = found.join(kth.select("cls"), "cls", "left_semi").select("cls", "other", "cosine", "rank")
+    spark, kind = classes.sparkSession, classes.schema["cls"].dataType.simpleString()
+    parts = max(1, -(-open_.count() // QUERY_BLOCK))
+    for i in range(parts):
+        block = open_.filter(F.pmod(F.xxhash64("cls"), F.lit(parts)) == i).collect()  # about QUERY_BLOCK rows
+        if not block:
+            continue
+        held = spark.sparkContext.broadcast((np.array([r["cls"] for r in block]), np.array([r["unit"] for r in block], np.float32)))
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, q = held.value
+            best, who = np.full((len(q), k), -2.0, np.float32), np.full((len(q), k), -1, np.int64)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 2000):
+                    b = whole.slice(lo, 2000)
+                    ids = b.column("cls").to_numpy()
+                    s = q @ np.asarray(b.column("unit").flatten(), np.float32).reshape(b.num_rows, -1).T
+                    s[names[:, None] == ids[None, :]] = -2
+                    both = np.concatenate([best, s], 1)
+                    top = np.argpartition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.argsort(-both, axis=1)
+                    who = np.take_along_axis(np.concatenate([who, np.broadcast_to(ids, s.shape)], 1), top, 1)
+                    best = np.take_along_axis(both, top, 1)
+            r, c = np.nonzero(best > -2)
+            yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(who[r, c]), pa.array(best[r, c].astype(np.float64))], names=["cls", "other", "cosine"])
+
+        near = classes.mapInArrow(scan, f"cls {kind}, other {kind}, cosine double")
+        rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), "other"))
+        done = done.unionByName(cut(near.withColumn("rank", rank).filter(F.col("rank") <= k), "p6-exact"))
+    return done
+
+
+def nearest(vectors: DataFrame, id_col: str, vector: str, k: int = 5, queries: Column | None = None, certain: float | None = None, **forest: int) -> DataFrame:
+    """(id, other_id, cosine, rank): the k most similar other vectors of every vector, or of those where ``queries`` holds.
+
+    ``certain`` (with ``queries``, and integer ids) sends queries with a lower k-th similarity against all rows.
+    """
+    wanted = None if queries is None else vectors.filter(queries).select(F.col(id_col).alias("_id")).distinct()
+    classes, members = unit_classes(vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v")
+    asked, name, id_col = members if wanted is None else members.join(wanted, "_id", "left_semi"), id_col, "_id"
     near = cut(forest_neighbours(classes, k, queries=None if queries is None else asked, **forest), "p6-near")
+    if certain is not None and queries is not None:
+        near = complete(classes, asked, near, k, certain)
     heads = _heads(members, id_col, k + 1)
     lists = near.join(heads.select(F.col("cls").alias("other"), F.col("heads").alias("m")), "other").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), F.col("other").alias("o"), "m"))).alias("others"))
     known = heads.join(lists, "cls", "left")
@@ -221,4 +269,4 @@ def nearest(vectors: DataFrame, id_col: str, vector: str, k: int = 5, queries: C
     entry = lambda c, m: F.struct(m.alias("id"), c.alias("cosine"))
     own = F.transform(F.filter("heads", lambda m: m != F.col(id_col)), lambda m: entry(F.lit(1.0), m))
     rest = F.flatten(F.transform(F.coalesce("others", F.array().cast(lists.schema["others"].dataType)), lambda o: F.transform(o["m"], lambda m: entry(-o["d"], m))))
-    return rows.select(id_col, F.posexplode(F.slice(F.concat(own, rest), 1, k)).alias("rank", "x")).select(id_col, F.col("x.id").alias("other_id"), F.round("x.cosine", 6).alias("cosine"), (F.col("rank") + 1).alias("rank"))
+    return rows.select(id_col, F.posexplode(F.slice(F.concat(own, rest), 1, k)).alias("rank", "x")).select(F.col(id_col).alias(name), F.col("x.id").alias("other_id"), F.round("x.cosine", 6).alias("cosine"), (F.col("rank") + 1).alias("rank"))

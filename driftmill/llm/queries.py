@@ -150,6 +150,10 @@ def register(r: Registry) -> None:
     def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return knn_forest.similar_pairs(_vectors(spark, sf_dir), "vec_id", "vector", 0.98, 5).toDF("vec_id_a", "vec_id_b")
 
+    @r.add("p6_nearest")
+    def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return knn_forest.nearest(_vectors(spark, sf_dir), "vec_id", "vector", 5, queries=F.col("vec_id") % 50 == 0, certain=0.9)
+
     @r.add("p7_found")
     def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         sizes = packing.sized(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -136,8 +136,9 @@ def same_component_names(records: DataFrame, written: str, keys: list[str]) -> D
 
     ``keys[0]`` must be the key column of ``written``. Rows whose key is null give no name.
     """
-    found = components(records.select(written, *keys).distinct(), keys)
-    names = found.keyed.filter(F.col(keys[0]).isNotNull()).select(F.col(written).alias("name"), F.col("e0").alias("entity")).distinct()
+    own = [f"_k{i}" for i in range(len(keys))]
+    found = components(records.select(F.col(written).alias("_w"), *[F.col(k).alias(n) for k, n in zip(keys, own)]).distinct(), own)
+    names = found.keyed.filter("_k0 is not null").select(F.col("_w").alias("name"), F.col("e0").alias("entity")).distinct()
     placed = lookup(names, found.labels, ["entity"]).select("name", F.col("label").alias("component"))
     placed = cut(placed, "p1-names")
     other = placed.select(F.col("name").alias("name_b"), "component")

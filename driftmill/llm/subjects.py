@@ -387,10 +387,12 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     document with contradicting labels teaches all of them. A text without words gets the commonest area. Null ids
     are kept. Raises ValueError where there are no usable labels; an empty ``docs`` has none.
     """
-    named = labels.filter(F.col(area).isNotNull()).select(doc_id, area).distinct()
-    per_doc = named.groupBy(doc_id).agg(F.collect_set(area).alias("areas"))
-    sample = per_doc.join(docs.select(doc_id, text, source), doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(max_labelled)
-    rows = sample.select(doc_id, "areas", F.col(text).alias("t"), F.col(source).alias("s")).collect()
+    named = labels.filter(F.col(area).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(area).alias("_area")).distinct()
+    per_doc = named.groupBy("_id").agg(F.sort_array(F.collect_set("_area")).alias("areas"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"), F.col(source).alias("s"))
+    # ids first: only the sample's texts are moved
+    few = per_doc.join(texts.select("_id"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    rows = few.join(texts, "_id").orderBy(F.xxhash64("_id"), "_id", "t").limit(max_labelled).collect()
     if not rows:
         raise ValueError("no labelled documents")
     df, total = document_frequencies(docs, text)

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from decimal import Decimal
 from fractions import Fraction
 
 import pytest
@@ -31,7 +32,7 @@ def canon(text):
         return None
     for t in (text, re.sub(r",(\s*[}\]])", r"\1", text)):
         try:
-            return walk(json.loads(t, object_pairs_hook=Pairs, parse_float=str, parse_int=str))
+            return walk(json.loads(t, object_pairs_hook=Pairs, parse_float=Decimal))
         except ValueError:
             continue
     return ("t", fold(text))
@@ -96,16 +97,17 @@ def test_groups_against_canonical_form(spark, monkeypatch):
     for n, *texts in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         first.setdefault(tuple(map(canon, texts)), n)
     want = {n: first[tuple(map(canon, t))] for n, *t in rows if n is not None}
-    df = spark.createDataFrame(rows, "n long, c string, d string, e string")
-    got = format_dedup.format_duplicates(df, "n", ["c", "d", "e"]).collect()
+    df = spark.createDataFrame(rows, "n long, kept string, t0 string, h1 string")
+    fields = ["kept", "t0", "h1"]
+    got = format_dedup.format_duplicates(df, "n", fields).collect()
     assert {r["n"]: r["kept"] for r in got} == want and len(got) == len(want)
     assert all(r["n_copies"] == list(want.values()).count(r["kept"]) for r in got)
-    assert format_dedup.format_duplicates(df.filter("false"), "n", ["c", "d", "e"]).count() == 0
+    assert format_dedup.format_duplicates(df.filter("false"), "n", fields).count() == 0
 
 
 def test_hash_collisions_are_told_apart(spark, monkeypatch):
     real = format_dedup._hashed
-    monkeypatch.setattr(format_dedup, "_hashed", lambda *a: real(*a).selectExpr("n", "0L as h1", "0L as h2"))
+    monkeypatch.setattr(format_dedup, "_hashed", lambda *a: real(*a).selectExpr("_id", "0L as h1", "0L as h2"))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "c"), (5, "B"), (6, "d")], "n long, t string")
     got = {r["n"]: r["kept"] for r in format_dedup.format_duplicates(df, "n", ["t"]).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 2, 6: 6}

@@ -37,6 +37,21 @@ def test_same_direction_and_queries(spark):
     assert near[0]["other_id"] == 22 and {r["id"] for r in near} == {21}
 
 
+def test_queries_without_close_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(knn_forest, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 24))
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in knn_forest.nearest(df, "id", "v", 3, queries=F.col("id") % 50 == 0, certain=0.9).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other_id"]))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 400, 50):
+        s = u @ u[i]
+        s[i] = -2
+        assert [o for _, o in sorted(got[i])] == np.argsort(-s)[:3].tolist()
+
+
 def test_dense(spark):
     df = spark.createDataFrame([([(3, 1.5), (1, None), (None, 2.0)],), ([],), (None,)], "c array<struct<i:int,x:double>>")
     got = [r[0] for r in df.select(knn_forest.dense(F.col("c"), "i", "x", [1, 3])).collect()]

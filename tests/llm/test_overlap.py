@@ -20,7 +20,8 @@ def test_chunks_cover_and_survive_an_insertion():
 
 
 def test_fractions(spark):
-    text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(3000))
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
     rows = [(1, text, False), (2, text[:1500] + text[::-1][:1500], True), (3, text, True), (4, None, True), (5, "", True)]
     df = spark.createDataFrame(rows, "id int, text string, ev boolean")
     c = overlap.text_chunks(df, "id", F.col("text")).join(df.select("id", "ev"), "id")
