@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def register(r: Registry) -> None:
         p = _prepared(spark, sf_dir)
         return p.agg(F.countDistinct(signatures.signature_key(signatures.full_signature(F.col("features")))).alias("n_full"), F.countDistinct(signatures.signature_key(signatures.structural(F.col("features")))).alias("n_structural"))
 
-    @r.add("schema_diff_counts", _JSON + " select k.pair_no, len(ck) as field_count, len(list_filter(ck, lambda x: not list_contains(bk, x))) as fields_added, len(list_filter(bk, lambda x: not list_contains(ck, x))) as fields_removed, len(list_distinct(cr)) as required_field_count, len(list_filter(list_distinct(cr), lambda x: not list_contains(br, x))) as required_fields_added, len(list_filter(list_distinct(br), lambda x: not list_contains(cr, x))) as required_fields_removed, coalesce(type_changes, 0) as type_changes, coalesce(enum_values_added, 0) as enum_values_added, coalesce(enum_values_removed, 0) as enum_values_removed from k left join s using (pair_no)")
+    @r.add("schema_diff_counts", _JSON + " select k.pair_no, len(ck) as field_count, len(list_filter(ck, lambda x: not list_contains(bk, x))) as fields_added, len(list_filter(bk, lambda x: not list_contains(ck, x))) as fields_removed, len(list_distinct(cr)) as required_field_count, len(list_filter(list_distinct(cr), lambda x: not list_contains(br, x))) as required_fields_added, len(list_filter(list_distinct(br), lambda x: not list_contains(cr, x))) as required_fields_removed, coalesce(type_changes, 0)::bigint as type_changes, coalesce(enum_values_added, 0)::bigint as enum_values_added, coalesce(enum_values_removed, 0)::bigint as enum_values_removed from k left join s using (pair_no)")
     def schema_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = schema_diff.extract(_pairs(spark, sf_dir), ["pair_no"], "base_schema", "candidate_schema", "v2")
         at = {n: i for i, n in enumerate(schema_diff.STRUCTURE_NAMES)}
@@ -198,7 +199,7 @@ def register(r: Registry) -> None:
     def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _pairs(spark, sf_dir).select("pair_no", F.sha2(hashing.canonical_json(F.col("base_schema")), 256).alias("base_sha256"))
 
-    @r.add("fixture_features", "select * from (values " + ", ".join(f"('{x[0]}', {x[3]}.0, {dict(compatible=0.0, unknown=0.5, incompatible=1.0)[x[7]]}, {0.8 if x[10] else 0.15})" for x in fixtures.ROWS) + ") t(record_id, field_count, score, risk_score)")
+    @r.add("fixture_features", "select record_id, field_count::double as field_count, score::double as score, risk_score::double as risk_score from (values " + ", ".join(f"('{x[0]}', {x[3]}.0, {dict(compatible=0.0, unknown=0.5, incompatible=1.0)[x[7]]}, {0.8 if x[10] else 0.15})" for x in fixtures.ROWS) + ") t(record_id, field_count, score, risk_score)")
     def fixture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fixtures.prepared(fixtures.contract_changes(spark)).select("record_id", F.col("features")[0].alias("field_count"), F.col("features")[4].alias("score"), "risk_score")
 
@@ -242,8 +243,6 @@ def register_commands(r: Registry) -> None:
 
     @r.add("source_profiles")
     def source_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import pandas as pd
-
         @F.pandas_udf("string")
         def profile(s: pd.Series) -> pd.Series:
             return s.map(candidates.root_profile)
@@ -268,7 +267,7 @@ def register_commands(r: Registry) -> None:
         old = candidates.candidate_table(schemas, ["unique_id"], "json_schema").select(F.concat_ws(":", "unique_id", "ordinal").alias("record_id"), F.col("unique_id").alias("family_id"), "kind", "variant", F.lit("baseline").alias("policy_pack"))
         return commands.refeature(old, schemas, packs).select("record_id", "policy_pack", "features")
 
-    @r.add("coverage_status", "with rec as (select record_no, min(family_id) as family_id, min(lower(trim(mutation))) as mutation, min(lower(trim(policy_pack))) as policy_pack, coalesce(min(lower(trim(dataset_role))), 'standard') as role from generation_evidence group by 1) select 'records' as target, count(*) as reached, 100 as wanted, count(*) >= 100 as met from rec union all select 'standard_families', count(distinct family_id), 10, count(distinct family_id) >= 10 from rec where role = 'standard' union all select 'challenge_families', count(distinct family_id), 5, count(distinct family_id) >= 5 from rec where role = 'challenge' union all select 'complete_pairs', count(*), 1, count(*) >= 1 from (select family_id, mutation from rec group by 1, 2 having count(distinct policy_pack) >= 3)")
+    @r.add("coverage_status", "with rec as (select record_no, min(family_id) as family_id, min(lower(trim(mutation))) as mutation, min(lower(trim(policy_pack))) as policy_pack, coalesce(min(lower(trim(dataset_role))), 'standard') as role from generation_evidence group by 1) select 'records' as target, count(*) as reached, 100::bigint as wanted, count(*) >= 100 as met from rec union all select 'standard_families', count(distinct family_id), 10, count(distinct family_id) >= 10 from rec where role = 'standard' union all select 'challenge_families', count(distinct family_id), 5, count(distinct family_id) >= 5 from rec where role = 'challenge' union all select 'complete_pairs', count(*), 1, count(*) >= 1 from (select family_id, mutation from rec group by 1, 2 having count(distinct policy_pack) >= 3)")
     def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         return commands.coverage_status(records(spark, sf_dir), "compatibility_label", 100, 10, 5, 1)
 

@@ -139,11 +139,11 @@ def register(r: Registry) -> None:
 
     f, p, c = THRESHOLDS
 
-    @r.add("evidence_cells", CELLS + f" select mutation, mode, policy_pack, families, checks, accepted, n_labels, families >= {f} and accepted >= {-(-c // p)} and n_labels = 1 as invariant from cell")
+    @r.add("evidence_cells", CELLS + f" select mutation, mode, policy_pack, families, checks, accepted, n_labels::int as n_labels, families >= {f} and accepted >= {-(-c // p)} and n_labels = 1 as invariant from cell")
     def evidence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         return evidence.cells(_runs(spark, sf_dir), *THRESHOLDS).select("mutation", "mode", "policy_pack", "families", "checks", "accepted", F.size("labels").alias("n_labels"), "invariant")
 
-    @r.add("cross_policy", CELLS + f" select mutation, mode, families, policies, accepted, n_labels, n_labels = 1 and families >= {f} and policies >= {p} and accepted >= {c} as invariant from crossed")
+    @r.add("cross_policy", CELLS + f" select mutation, mode, families, policies, accepted, n_labels::int as n_labels, n_labels = 1 and families >= {f} and policies >= {p} and accepted >= {c} as invariant from crossed")
     def cross_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         return evidence.cross_policy(_runs(spark, sf_dir), *THRESHOLDS).select("mutation", "mode", "families", "policies", "accepted", F.size("labels").alias("n_labels"), "invariant")
 
@@ -216,12 +216,12 @@ def register(r: Registry) -> None:
         empty = lambda c: F.coalesce(c, F.lit(""))
         return e.select("record_no", hashing.pair_fingerprint(F.col("record_id"), empty("mutation_variant"), F.col("policy_pack"), F.col("compatibility_mode"), empty("oracle_stdout")).alias("fingerprint"))
 
-    @r.add("record_labels", REC + " select record_no, coalesce(compatibility_label, case when oracle_outcome = 'breaking' then 'breaking' end, 'safe') as label, case coalesce(compatibility_label, case when oracle_outcome = 'breaking' then 'breaking' end, 'safe') when 'safe' then 0 when 'warning' then 1 when 'breaking' then 2 end as class_index, case coalesce(compatibility_label, case when oracle_outcome = 'breaking' then 'breaking' end, 'safe') when 'safe' then 0.0 when 'warning' then 0.5 when 'breaking' then 1.0 end as risk, upper(compatibility_label) as shown from rec")
+    @r.add("record_labels", REC + " select record_no, coalesce(compatibility_label, case when oracle_outcome = 'breaking' then 'breaking' end, 'safe') as label, case coalesce(compatibility_label, case when oracle_outcome = 'breaking' then 'breaking' end, 'safe') when 'safe' then 0 when 'warning' then 1 when 'breaking' then 2 end as class_index, case coalesce(compatibility_label, case when oracle_outcome = 'breaking' then 'breaking' end, 'safe') when 'safe' then 0.0::double when 'warning' then 0.5::double when 'breaking' then 1.0::double end as risk, upper(compatibility_label) as shown from rec")
     def record_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         label = labels.record_label(F.col("compatibility_label"), F.when(F.col("oracle_outcome") == "breaking", 1.0))
         return records(spark, sf_dir).select("record_no", label.alias("label"), labels.class_index(label).alias("class_index"), labels.risk_target(label).alias("risk"), labels.upper_label(F.col("compatibility_label")).alias("shown"))
 
-    @r.add("stdout_classify", REC + " select record_no, nullif(trim(split_part(oracle_stdout, chr(10), 1)), '') as first_line, (length(oracle_stdout) - length(replace(oracle_stdout, 'rule', ''))) // 4 as n_rules from rec where oracle_stdout is not null and trim(split_part(oracle_stdout, chr(10), 1)) <> ''")
+    @r.add("stdout_classify", REC + " select record_no, nullif(trim(split_part(oracle_stdout, chr(10), 1)), '') as first_line, ((length(oracle_stdout) - length(replace(oracle_stdout, 'rule', ''))) // 4)::int as n_rules from rec where oracle_stdout is not null and trim(split_part(oracle_stdout, chr(10), 1)) <> ''")
     def stdout_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = records(spark, sf_dir).filter("oracle_stdout is not null and trim(split_part(oracle_stdout, '\n', 1)) <> ''")
         return e.select("record_no", labels.first_diagnostic(F.lit(None).cast("string"), F.col("oracle_stdout")).alias("first_line"), labels.occurrences(F.col("oracle_stdout"), "rule").alias("n_rules"))
@@ -240,7 +240,7 @@ def register(r: Registry) -> None:
     def confusion_3way(spark: SparkSession, sf_dir: str) -> DataFrame:
         return metrics.confusion_cells(invocations(spark, sf_dir), "actual", "expected")
 
-    @r.add("stratified_accuracy", log + " select case grouping(declared_mutation, policy_pack) when 3 then 'overall' when 1 then 'declared_mutation' when 2 then 'policy_pack' else 'declared_mutation:policy_pack' end as stratum, declared_mutation, policy_pack, count(*) as n, sum(case when expected = actual then 1 else 0 end) as n_correct, round(sum(case when expected = actual then 1 else 0 end) / count(*), 6) as accuracy from x group by grouping sets ((), (declared_mutation), (policy_pack), (declared_mutation, policy_pack))")
+    @r.add("stratified_accuracy", log + " select case grouping(declared_mutation, policy_pack) when 3 then 'overall' when 1 then 'declared_mutation' when 2 then 'policy_pack' else 'declared_mutation:policy_pack' end as stratum, declared_mutation, policy_pack, count(*) as n, sum(case when expected = actual then 1 else 0 end)::bigint as n_correct, round(sum(case when expected = actual then 1 else 0 end) / count(*), 6) as accuracy from x group by grouping sets ((), (declared_mutation), (policy_pack), (declared_mutation, policy_pack))")
     def stratified_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
         return metrics.stratified_accuracy(invocations(spark, sf_dir), F.col("expected") == F.col("actual"), "declared_mutation", "policy_pack")
 
@@ -262,7 +262,7 @@ def register(r: Registry) -> None:
         x = invocations(spark, sf_dir).filter("expected is not null and actual is not null")
         return metrics.baseline_comparison(x, (F.col("actual") == "breaking").cast("int"), {"model": F.col("expected") == "breaking", "never": F.lit(0)}).select("rule", "tp", "fp", "tn", "fn")
 
-    @r.add("replay_summary", log + " select case grouping(declared_mutation, policy_pack) when 3 then 'overall' when 1 then 'declared_mutation' else 'policy_pack' end as report, declared_mutation, policy_pack, count(*) as n, sum(case when outcome_match then 0 else 1 end) as n_mismatch from x group by grouping sets ((), (declared_mutation), (policy_pack))")
+    @r.add("replay_summary", log + " select case grouping(declared_mutation, policy_pack) when 3 then 'overall' when 1 then 'declared_mutation' else 'policy_pack' end as report, declared_mutation, policy_pack, count(*) as n, sum(case when outcome_match then 0 else 1 end)::bigint as n_mismatch from x group by grouping sets ((), (declared_mutation), (policy_pack))")
     def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         return evidence.replay_summary(invocations(spark, sf_dir), "declared_mutation", "policy_pack", "outcome_match")
 
@@ -288,7 +288,7 @@ def register(r: Registry) -> None:
         a = x.groupBy("policy_pack", "declared_mutation").agg(F.avg((F.col("expected") == F.col("actual")).cast("int")).alias("accuracy"))
         return metrics.across_seeds(a, "policy_pack").select("policy_pack", *[F.round(c, 6).alias(c) for c in ("mean_accuracy", "min_accuracy", "max_accuracy")], "n_seeds")
 
-    @r.add("bucket_rule", log + ", y as (select policy_pack as bucket, (actual = 'safe')::int as label from x where policy_pack is not null and actual is not null) select bucket, case when sum(label) * 2 > count(*) then 1 else 0 end as predicted, sum(label) as ones, sum(1 - label) as zeros from y group by 1 having sum(label) * 2 <> count(*)")
+    @r.add("bucket_rule", log + ", y as (select policy_pack as bucket, (actual = 'safe')::int as label from x where policy_pack is not null and actual is not null) select bucket, case when sum(label) * 2 > count(*) then 1 else 0 end as predicted, sum(label)::bigint as ones, sum(1 - label)::bigint as zeros from y group by 1 having sum(label) * 2 <> count(*)")
     def bucket_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = invocations(spark, sf_dir).filter("policy_pack is not null and actual is not null").withColumn("label", (F.col("actual") == "safe").cast("int"))
         tied = x.groupBy("policy_pack").agg((2 * F.sum("label") - F.count(F.lit(1))).alias("d")).filter("d = 0").select("policy_pack")
