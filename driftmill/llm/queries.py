@@ -22,7 +22,7 @@ with recursive r as (
 w as (select *, regexp_replace(regexp_replace(trim(regexp_replace(lower(f), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')),
   '^(?:(?:{_MARKS}) )+', ''), '(?: (?:{_MARKS}))+$', '') as bare from r),
 k as (select name, 'f:' || nullif(case when bare like '% %' then replace(bare, ' ', '')
-  else coalesce(nullif(regexp_replace(case when starts_with(bare, 'openapi') then bare else regexp_replace(bare, '^(?:{_MARKS})+', '') end, '(?:{_MARKS})+$', ''), ''), bare) end, '') as f, 'g:' || g as g, 'c:' || c as c from r),
+  else coalesce(nullif(regexp_replace(case when starts_with(bare, 'openapi') then bare else regexp_replace(bare, '^(?:{_MARKS})+', '') end, '(?:{_MARKS})+$', ''), ''), bare) end, '') as f, 'g:' || g as g, 'c:' || c as c from w),
 edge as (select f as a, g as b from k union select f, c from k union select g, c from k),
 link as (select a, b from edge where a is not null and b is not null union select b, a from edge where a is not null and b is not null),
 reach(root, ent) as (select distinct f, f from k where f is not null union select root, link.b from reach join link on link.a = reach.ent),
