@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftmill.llm.overlap import mix
 from driftmill.operators.skew import lookup
 from driftmill.runtime import cut, spread
 
@@ -23,48 +24,65 @@ def planes(seed: int, trees: int, dims: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((trees * BITS, dims))
 
 
-def dense(coordinates: Column, index: str, value: str, places: list[int]) -> Column:
-    """array<double> over ``places``; places not listed are 0, of places listed twice the values add up."""
-    entries = F.filter(coordinates, lambda c: c[index].isNotNull() & c[value].isNotNull())
-    def at(place: int) -> Column:
-        return F.aggregate(F.filter(entries, lambda c: c[index] == place), F.lit(0.0), lambda a, c: a + c[value])
+def matrix(column: pa.Array, places: np.ndarray | None, index: str, value: str) -> np.ndarray:
+    """One row per vector, NaN where it has no direction for certain.
 
-    return F.array(*[at(i) for i in places])
-
-
-def unit_classes(vectors: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    Dense columns are arrays of numbers of one length. Sparse ones are arrays of structs (``index``, ``value``): places
+    not listed are 0, of places listed twice the values add up, entries of other places or with a null are left aside.
+    """
+    n = len(column)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if places is None:
+        width = int(sizes.max(initial=0))
+        if not (sizes == width).all():
+            raise ValueError("vectors of different lengths")
+        return np.asarray(flat.fill_null(float("nan")), np.float64).reshape(n, width)
+    out = np.zeros((n, len(places)))
+    at, x = flat.field(index), flat.field(value)
+    ok = (at.is_valid().to_numpy(zero_copy_only=False)) & (x.is_valid().to_numpy(zero_copy_only=False)) & (flat.is_valid().to_numpy(zero_copy_only=False))
+    i = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    col = np.searchsorted(places, i)
+    ok &= places[np.minimum(col, len(places) - 1)] == i
+    row = np.repeat(np.arange(n), sizes)
+    np.add.at(out, (row[ok], col[ok]), x.fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)[ok])
+    return out
+
+
+def unit_classes(vectors: DataFrame, id_col: str, vector: str, places: list[int] | None = None, index: str = "coord_index", value: str = "coord_value") -> tuple[DataFrame, DataFrame]:
     """(classes, members): vectors of the same direction are one class, named by its smallest id.
 
     Members: (id, cls). Null vectors, vectors with a null, NaN or infinite value and zero vectors have no direction.
+    An id with repeated rows counts once. With ``places`` the vectors are sparse (see ``matrix``).
     """
+    at = None if places is None else np.array(sorted(places), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, rows = b.column(id_col), b.column(vector)
-            sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
-            width = int(np.nanmax(sizes)) if b.num_rows else 0
-            flat = np.asarray(rows.flatten().fill_null(float("nan")), np.float64)
-            if not (sizes == width).all():
-                raise ValueError("vectors of different lengths")
-            x = flat.reshape(b.num_rows, width) if width else np.zeros((b.num_rows, 0))
+            x = matrix(b.column(vector), at, index, value)
             with np.errstate(all="ignore"):
                 big = np.max(np.abs(x), axis=1, initial=0.0)
                 scaled = x / big[:, None]  # neither tiny nor huge vectors lose their direction
-                norm = np.sqrt((scaled * scaled).sum(1))
-                u = scaled / norm[:, None]
+                u = scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
             ok = np.isfinite(u).all(1) & (big > 0)
-            u = u[ok].astype(np.float32) + np.float32(0)
-            out = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * width, pa.int32()), pa.array(u.ravel(), pa.float32()))
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), out], names=[id_col, "unit"])
+            u = np.ascontiguousarray(u[ok].astype(np.float32) + np.float32(0))
+            bits = u.view(np.uint32).astype(np.uint64)
+            seat = mix(np.arange(1, u.shape[1] + 1, dtype=np.uint64))
+            h1, h2 = mix(bits + seat).sum(1, dtype=np.uint64), mix(bits ^ (seat * np.uint64(5))).sum(1, dtype=np.uint64)
+            units = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * u.shape[1], pa.int32()), pa.array(u.ravel(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column(id_col).filter(pa.array(ok)), units, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=[id_col, "unit", "h1", "h2"])
 
     kind = vectors.schema[id_col].dataType.simpleString()
     usable = vectors.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(id_col, vector)
-    units = spread(usable).mapInArrow(run, f"{id_col} {kind}, unit array<float>")
-    units = cut(units.groupBy(id_col).agg(F.first("unit").alias("unit")).withColumn("h", F.md5(F.to_json("unit"))), "p6-units")
-    firsts = units.groupBy("h").agg(F.min(id_col).alias("cls"))
-    members = cut(lookup(units.select(id_col, "h"), firsts, ["h"]).select(id_col, "cls"), "p6-members")
-    classes = cut(units.join(firsts.select(F.col("cls").alias(id_col)), id_col, "left_semi").select(F.col(id_col).alias("cls"), "unit"), "p6-classes")
+    found = cut(spread(usable).mapInArrow(run, f"{id_col} {kind}, unit array<float>, h1 bigint, h2 bigint"), "p6-found")
+    once = found.groupBy(id_col).agg(F.min(F.struct("h1", "h2")).alias("h")).select(id_col, "h.h1", "h.h2")
+    firsts = once.groupBy("h1", "h2").agg(F.min(id_col).alias("cls"))
+    members = cut(lookup(once, firsts, ["h1", "h2"]).select(id_col, "cls"), "p6-members")
+    lead = firsts.select(F.col("cls").alias(id_col), F.col("h1").alias("l1"), F.col("h2").alias("l2"))
+    rows = found.join(lead, id_col).filter("h1 = l1 and h2 = l2").select(F.col(id_col).alias("cls"), "unit")
+    classes = cut(rows.groupBy("cls").agg(F.first("unit").alias("unit")), "p6-classes")  # repeated rows of a leading id
     return classes, members
 
 
@@ -178,7 +196,7 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k: int = 5, **forest: int) -> DataFrame:
+def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k: int = 5, places: list[int] | None = None, **forest: int) -> DataFrame:
     """(id_a, id_b), id_a < id_b: cosine at least ``least``, and one is among the k most similar of the other.
 
     Vectors of the same direction are each other's most similar ones, the smaller id first; what they leave of a
@@ -186,7 +204,7 @@ def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k:
     have no neighbours; an id with repeated rows counts once.
     """
     vectors, id_col, vector = vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v"
-    classes, members = unit_classes(vectors, id_col, vector)
+    classes, members = unit_classes(vectors, id_col, vector, places)
     near = cut(forest_neighbours(classes, k, least=least, **forest), "p6-near")
     exact = classes.select("cls", "unit")
     scored = near.join(exact, "cls").join(exact.select(F.col("cls").alias("other"), F.col("unit").alias("unit_o")), "other")
@@ -251,13 +269,13 @@ def complete(classes: DataFrame, asked: DataFrame, found: DataFrame, k: int, cer
     return done
 
 
-def nearest(vectors: DataFrame, id_col: str, vector: str, k: int = 5, queries: Column | None = None, certain: float | None = None, **forest: int) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vector: str, k: int = 5, queries: Column | None = None, certain: float | None = None, places: list[int] | None = None, **forest: int) -> DataFrame:
     """(id, other_id, cosine, rank): the k most similar other vectors of every vector, or of those where ``queries`` holds.
 
     ``certain`` (with ``queries``, and integer ids) sends queries with a lower k-th similarity against all rows.
     """
     wanted = None if queries is None else vectors.filter(queries).select(F.col(id_col).alias("_id")).distinct()
-    classes, members = unit_classes(vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v")
+    classes, members = unit_classes(vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v", places)
     asked, name, id_col = members if wanted is None else members.join(wanted, "_id", "left_semi"), id_col, "_id"
     near = cut(forest_neighbours(classes, k, queries=None if queries is None else asked, **forest), "p6-near")
     if certain is not None and queries is not None:

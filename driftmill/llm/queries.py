@@ -86,11 +86,6 @@ def _capacity(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, "container_specs").filter(F.col("container_class") == name).first()["capacity_tokens"]
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "feature_vectors")
-    return v.select("vec_id", knn_forest.dense(F.col("coordinates"), "coord_index", "coord_value", COORDINATES).alias("vector"))
-
-
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
 
@@ -148,11 +143,11 @@ def register(r: Registry) -> None:
 
     @r.add("p6_found", P6_SQL)
     def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return knn_forest.similar_pairs(_vectors(spark, sf_dir), "vec_id", "vector", 0.98, 5).toDF("vec_id_a", "vec_id_b")
+        return knn_forest.similar_pairs(table(spark, sf_dir, "feature_vectors"), "vec_id", "coordinates", 0.98, 5, COORDINATES).toDF("vec_id_a", "vec_id_b")
 
     @r.add("p6_nearest")
     def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return knn_forest.nearest(_vectors(spark, sf_dir), "vec_id", "vector", 5, queries=F.col("vec_id") % 50 == 0, certain=0.9)
+        return knn_forest.nearest(table(spark, sf_dir, "feature_vectors"), "vec_id", "coordinates", 5, queries=F.col("vec_id") % 50 == 0, certain=0.9, places=COORDINATES)
 
     @r.add("p7_found")
     def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,10 +52,11 @@ def test_queries_without_close_neighbours(spark, monkeypatch):
         assert [o for _, o in sorted(got[i])] == np.argsort(-s)[:3].tolist()
 
 
-def test_dense(spark):
-    df = spark.createDataFrame([([(3, 1.5), (1, None), (None, 2.0)],), ([],), (None,)], "c array<struct<i:int,x:double>>")
-    got = [r[0] for r in df.select(knn_forest.dense(F.col("c"), "i", "x", [1, 3])).collect()]
-    assert got == [[0.0, 1.5], [0.0, 0.0], [None, None]] or got[:2] == [[0.0, 1.5], [0.0, 0.0]]
+def test_sparse_vectors(spark):
+    rows = [(1, [(3, 1.5), (1, None), (None, 2.0), (9, 7.0)]), (2, [(3, 1.0), (3, 0.5), (1, 0.0)]), (3, []), (4, None), (5, [(1, 2.0), (3, 0.02)]), (6, [(1, -4.0)]), (7, [(1, 40.0)])]
+    df = spark.createDataFrame(rows, "id long, c array<struct<coord_index:int,coord_value:double>>")
+    got = sorted(map(tuple, knn_forest.similar_pairs(df, "id", "c", 0.98, places=[3, 1]).collect()))
+    assert got == [(1, 2), (5, 7)]
 
 
 def test_hilbert_is_a_curve():
