@@ -26,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Cut tables that have not been dropped.
+OPEN_CUTS: list[Cut] = []
+
+
 class Cut:
     """A table written to the shared folder; ``df`` reads it and ``drop`` removes a superseded one."""
 
@@ -34,12 +38,21 @@ class Cut:
         self.path = f"{shared_dir(spark)}/driftmill/{note}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        OPEN_CUTS.append(self)
 
     def drop(self) -> None:
         spark = self.df.sparkSession
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in OPEN_CUTS:
+            OPEN_CUTS.remove(self)
+
+
+def clear_cuts() -> None:
+    """Delete all cut tables of this driver: for long sessions, once the results that read them are written."""
+    for c in list(OPEN_CUTS):
+        c.drop()
 
 
 def cut(df: DataFrame, note: str = "cut") -> DataFrame:
