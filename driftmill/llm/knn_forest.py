@@ -14,6 +14,8 @@ from driftmill.llm.overlap import mix
 from driftmill.operators.skew import lookup
 from driftmill.runtime import cut, spread
 
+#: The trees carry vectors in half precision; a cosine of two of them is off by less than this.
+HALF_ERROR = 2e-3
 #: Queries that go against all rows at once; 4096 x 49 floats are 0.8 MB whatever the data's size.
 QUERY_BLOCK = 4096
 BITS = 62  # of a tree's hash string; it stays a non-negative long
@@ -93,8 +95,8 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
     range-partitioned sorted array. A vector's longest-prefix matches stand next to it; going outwards the shared
     prefix can only get shorter, so stepping away from the vector descends to its longest match and then ascends.
     All trees ascend together: a step belongs to a prefix length, and a vector's candidates are taken over all trees
-    by falling prefix length until ``candidates`` of them are reached per tree. Cosines are exact. Within a tree only
-    the k best of the scanned ones are kept, which cannot lose any of the k best of all. ``least`` drops pairs that are
+    by falling prefix length until ``candidates`` of them are reached per tree. The trees carry vectors in half
+    precision and keep the k + 3 best of the scanned ones; cosines and ranks are then taken in full. ``least`` drops pairs that are
     less similar before they are shuffled.
 
     A range boundary hides at most a window's rows on either side of it in that tree only.
@@ -104,6 +106,7 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
     else:
         marked = classes.join(queries.select("cls").distinct().withColumn("asks", F.lit(True)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     kind = classes.schema["cls"].dataType.simpleString()
+    keep = k + 3  # half precision decides who is kept, full precision who is nearest
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal = None
@@ -117,13 +120,14 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
                 normal = planes(seed, trees, width).T.astype(np.float32)
             bits = (x @ normal > 0).reshape(b.num_rows, trees, BITS)
             keys = (bits.astype(np.int64) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(2)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("asks"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * trees, pa.int32()), pa.array(keys.ravel())), col], names=["cls", "asks", "keys", "unit"])
+            half = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((np.arange(b.num_rows + 1) * 2 * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x, np.float16).tobytes())])
+            tie = (x[:, 0].astype(np.float64) * (1 << 30)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("asks"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * trees, pa.int32()), pa.array(keys.ravel())), half, pa.array(tie)], names=["cls", "asks", "keys", "half", "tie"])
 
-    strings = spread(marked).mapInArrow(hashes, f"cls {kind}, asks boolean, keys array<bigint>, unit array<float>")
-    placed = strings.select("cls", "asks", "unit", F.posexplode("keys").alias("tree", "key"))
-    # equal strings are told apart by the first coordinates, so a crowd can be cut anywhere and stays in local order
-    tie = F.struct(*[F.element_at("unit", i + 1) for i in range(2)])
-    arrays = placed.withColumn("tie", tie).repartitionByRange("tree", "key", "tie", "cls").sortWithinPartitions("tree", "key", "tie", "cls").drop("tie")
+    strings = spread(marked).mapInArrow(hashes, f"cls {kind}, asks boolean, keys array<bigint>, half binary, tie bigint")
+    placed = strings.select("cls", "asks", "half", "tie", F.posexplode("keys").alias("tree", "key"))
+    # equal strings are told apart by a coordinate, so a crowd can be cut anywhere and stays in local order
+    arrays = placed.repartitionByRange("tree", "key", "tie", "cls").sortWithinPartitions("tree", "key", "tie", "cls").drop("tie")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -148,21 +152,20 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
         asks = block.column("asks").to_numpy(zero_copy_only=False)
         tree = block.column("tree").to_numpy()
         key = block.column("key").to_numpy()
-        flat = block.column("unit").combine_chunks().flatten()
-        x = np.asarray(flat, np.float32).reshape(n, -1)
-        best = np.full((n, k), -2.0, np.float32)
-        who = np.full((n, k), -1, np.int64)
-        deep = np.zeros((n, k), np.int16)
+        x = np.frombuffer(b"".join(block.column("half").to_pylist()), np.float16).astype(np.float32).reshape(n, -1)
+        best = np.full((n, keep), -2.0, np.float32)
+        who = np.full((n, keep), -1, np.int64)
+        deep = np.zeros((n, keep), np.int16)
 
         def offer(rows: np.ndarray, other: np.ndarray, cosine: np.ndarray, shared: np.ndarray) -> None:
-            worst = best[rows, k - 1]
+            worst = best[rows, keep - 1]
             better = cosine > worst
             if not better.any():
                 return
             rows, other, cosine, shared = rows[better], other[better], cosine[better], shared[better]
             b, w, d = best[rows], who[rows], deep[rows]
             at = (b >= cosine[:, None]).sum(1)
-            col = np.arange(k)[None, :]
+            col = np.arange(keep)[None, :]
             source = np.where(col <= at[:, None], col, col - 1)
             take = np.arange(len(rows))[:, None]
             hit = col == at[:, None]
@@ -179,7 +182,7 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
             hi = lo + step
             cosine = np.einsum("ij,ij->i", x[lo], x[hi])
             if least is not None:
-                near = cosine >= least - 1e-4
+                near = cosine >= least - HALF_ERROR
                 lo, hi, cosine = lo[near], hi[near], cosine[near]
             shared = BITS - np.frexp((key[lo] ^ key[hi]).astype(np.float64))[1]
             a, b = asks[lo], asks[hi]
@@ -192,8 +195,16 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
     found = arrays.mapInArrow(scan, f"cls {kind}, other {kind}, cosine double, depth int")
     # trees ascend together: the longest prefix any tree shares comes first where cosines are equal
     merged = found.groupBy("cls", "other").agg(F.max("cosine").alias("cosine"), F.max("depth").alias("depth"))
+    rough = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), F.desc("depth"), "other"))
+    best_of = merged.withColumn("rough", rough).filter(F.col("rough") <= keep).select("cls", "other", "depth")
+    unit = classes.select("cls", "unit")
+    both = best_of.join(unit, "cls").join(unit.select(F.col("cls").alias("other"), F.col("unit").alias("unit_o")), "other")
+    cosine = F.aggregate(F.zip_with("unit", "unit_o", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    exact = both.select("cls", "other", "depth", cosine.alias("cosine"))
+    if least is not None:
+        exact = exact.filter(F.col("cosine") >= least - 1e-6)
     rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), F.desc("depth"), "other"))
-    return merged.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return exact.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k: int = 5, places: list[int] | None = None, **forest: int) -> DataFrame:
@@ -206,10 +217,7 @@ def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k:
     vectors, id_col, vector = vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v"
     classes, members = unit_classes(vectors, id_col, vector, places)
     near = cut(forest_neighbours(classes, k, least=least, **forest), "p6-near")
-    exact = classes.select("cls", "unit")
-    scored = near.join(exact, "cls").join(exact.select(F.col("cls").alias("other"), F.col("unit").alias("unit_o")), "other")
-    cosine = F.aggregate(F.zip_with("unit", "unit_o", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = scored.withColumn("exact", cosine).filter(F.col("exact") >= least - 1e-6).select("cls", "other", "exact")
+    scored = near.select("cls", "other", F.col("cosine").alias("exact"))
     # the first k + 1 members of a class are enough for any list of k; they are found without ranking the class
     sizes = _heads(members, id_col, k + 1)
     lists = scored.join(sizes.select(F.col("cls").alias("other"), F.col("heads").alias("heads_o")), "other").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("exact")).alias("d"), F.col("other").alias("o"), F.col("heads_o").alias("m")))).alias("others"))
