@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector: a forest of sorted hash strings, searched by prefix."""
+"""Most similar vectors for every vector: a forest of sorted hash strings, completed by exact comparisons."""
 
 from __future__ import annotations
 
@@ -12,13 +12,16 @@ from pyspark.sql.window import Window
 
 from driftmill.llm.overlap import mix
 from driftmill.operators.skew import lookup
-from driftmill.runtime import cut, spread
+from driftmill.runtime import cut, parallelism, spread
 
 #: The trees carry vectors in half precision; a cosine of two of them is off by less than this.
 HALF_ERROR = 2e-3
 #: Queries that go against all rows at once; 4096 x 49 floats are 0.8 MB whatever the data's size.
 QUERY_BLOCK = 4096
 BITS = 62  # of a tree's hash string; it stays a non-negative long
+#: Vectors of a cell that are held at once; fuller cells are dealt in parts. At most MAX_CELLS pivots go to the tasks.
+CELL_ROWS = 2000
+MAX_CELLS = 1024
 
 
 def planes(seed: int, trees: int, dims: int) -> np.ndarray:
@@ -92,14 +95,13 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
     """(cls, other, cosine, depth): up to k most similar classes of each class (or of those in ``queries``).
 
     Each tree writes a vector as a string of 62 random-hyperplane bits. All strings of a tree lie in one globally
-    range-partitioned sorted array. A vector's longest-prefix matches stand next to it; going outwards the shared
-    prefix can only get shorter, so stepping away from the vector descends to its longest match and then ascends.
-    All trees ascend together: a step belongs to a prefix length, and a vector's candidates are taken over all trees
-    by falling prefix length until ``candidates`` of them are reached per tree. The trees carry vectors in half
-    precision and keep the k + 3 best of the scanned ones; cosines and ranks are then taken in full. ``least`` drops pairs that are
-    less similar before they are shuffled.
-
-    A range boundary hides at most a window's rows on either side of it in that tree only.
+    range-partitioned sorted array. A vector's longest-prefix matches stand next to it, and it is compared with the
+    ``candidates`` / 2 rows before and behind it in each tree, whatever prefix they share; the prefix only orders
+    equal cosines. The trees carry vectors in half precision and keep the k + 3 best of the scanned ones; cosines and
+    ranks are then taken in full. ``least`` drops pairs that are less similar before they are shuffled.
+
+    What is found are lower bounds: a crowd wider than the window loses neighbours. ``complete_pairs`` and
+    ``complete`` find the rest.
     """
     if queries is None:
         marked = classes.withColumn("asks", F.lit(True))
@@ -197,35 +199,134 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
     merged = found.groupBy("cls", "other").agg(F.max("cosine").alias("cosine"), F.max("depth").alias("depth"))
     rough = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), F.desc("depth"), "other"))
     best_of = merged.withColumn("rough", rough).filter(F.col("rough") <= keep).select("cls", "other", "depth")
+    return _ranked(best_of, classes, k, least, F.desc("cosine"), F.desc("depth"))
+
+
+def _ranked(pairs: DataFrame, classes: DataFrame, k: int, least: float | None, *order: Column) -> DataFrame:
+    """``pairs`` (cls, other and more) with cosines and ranks in full precision, up to k of each class."""
     unit = classes.select("cls", "unit")
-    both = best_of.join(unit, "cls").join(unit.select(F.col("cls").alias("other"), F.col("unit").alias("unit_o")), "other")
+    both = pairs.join(unit, "cls").join(unit.select(F.col("cls").alias("other"), F.col("unit").alias("unit_o")), "other")
     cosine = F.aggregate(F.zip_with("unit", "unit_o", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    exact = both.select("cls", "other", "depth", cosine.alias("cosine"))
+    exact = both.select(*pairs.columns, cosine.alias("cosine"))
     if least is not None:
         exact = exact.filter(F.col("cosine") >= least - 1e-6)
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), F.desc("depth"), "other"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(*order, "other"))
     return exact.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def complete_pairs(classes: DataFrame, near: DataFrame, k: int, least: float) -> DataFrame:
+    """(cls, other, cosine, rank): exactly the up to k most similar classes of each class with a cosine of ``least`` or more;
+    among cosines that agree in 6 decimals the smaller id comes first.
+
+    Every vector lives in the cell of the pivot it is most similar to. Where q is at home at p and v at c, q and v can
+    only be within a distance d if (p - c) q <= d |p - c|: a vector is compared with all vectors of every cell for which
+    that holds. d is the distance at ``least``, or that of the k-th neighbour in ``near`` where that is smaller.
+    """
+    spark, kind = classes.sparkSession, classes.schema["cls"].dataType.simpleString()
+    cells = min(MAX_CELLS, max(1, classes.count() // CELL_ROWS))
+    picked = classes.orderBy(F.xxhash64(F.lit("pivot"), "cls"), "cls").limit(cells).collect()
+    if not picked:
+        return near.select("cls", "other", "cosine", "rank")
+    held = spark.sparkContext.broadcast(np.array([r["unit"] for r in picked], np.float32))
+    kth = near.filter(F.col("rank") == k).select("cls", F.col("cosine").alias("kth"))
+    asked = classes.join(kth, "cls", "left").select("cls", "unit", F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least)).alias("bound"))
+
+    def similar(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = np.asarray(b.column("unit").flatten(), np.float32).reshape(b.num_rows, -1)
+        s = x @ held.value.T
+        return s, s.argmax(1)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(similar(b)[1].astype(np.int32))], names=[*b.schema.names, "home"])
+
+    homes = cut(spread(asked).mapInArrow(settle, f"cls {kind}, unit array<float>, bound double, home int"), "p6-homes")
+    counts = np.zeros(len(picked), np.int64)
+    for r in homes.groupBy("home").count().collect():  # no more rows than pivots
+        counts[r["home"]] = r["count"]
+    parts = -(-counts // CELL_ROWS)
+    first = np.cumsum(parts) - parts
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = held.value.astype(np.float64)
+        apart = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(2), 0)).astype(np.float32)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                s, _ = similar(b)
+                home = b.column("home").to_numpy()
+                d = np.sqrt(np.maximum(2 - 2 * b.column("bound").to_numpy(), 0)) + 1e-3
+                visits = s[np.arange(len(s)), home][:, None] - s <= d[:, None] * apart[home] + 1e-5
+                row, cell = np.nonzero(visits & (counts > 0))
+                again = np.repeat(np.arange(len(row)), parts[cell])
+                part = np.arange(len(again)) - np.repeat(np.cumsum(parts[cell]) - parts[cell], parts[cell])
+                seat = b.column("seat").to_numpy() % parts[home]
+                at = np.concatenate([np.arange(len(s)), row[again]])
+                block = np.concatenate([first[home] + seat, first[cell[again]] + part])
+                asks = np.arange(len(at)) >= len(s)
+                for i in range(0, len(at), 20_000):
+                    t = pa.array(at[i : i + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(block[i : i + 20_000]), pa.array(asks[i : i + 20_000]), b.column("cls").take(t), b.column("unit").take(t)], names=["block", "asks", "cls", "unit"])
+
+    seats = homes.withColumn("seat", F.pmod(F.xxhash64(F.lit("seat"), "cls"), F.lit(1 << 40)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * parallelism(spark))
+    dealt = spread(seats).mapInArrow(deal, f"block bigint, asks boolean, cls {kind}, unit array<float>")
+    blocks = dealt.repartition(tasks, "block").sortWithinPartitions("block", "asks")  # those who live there come first
+    keep = k + 11  # single precision decides who is kept; so many more cosines may agree in 6 decimals
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, names, rows = -1, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block, asks = b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            x = np.asarray(b.column("unit").flatten(), np.float32).reshape(b.num_rows, -1)
+            new = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(asks.astype(np.int8), prepend=-1) != 0))
+            for lo, hi in zip(new, np.append(new[1:], b.num_rows)):
+                if block[lo] != here:
+                    here, names, rows = block[lo], [], []
+                if not asks[lo]:
+                    names.append(b.column("cls").slice(lo, hi - lo))
+                    rows.append(x[lo:hi])
+                    continue
+                if len(rows) != 1:
+                    names, rows = [pa.concat_arrays(names)] if names else [], [np.concatenate(rows)] if rows else []
+                for i in range(lo, hi, 2000) if rows else ():
+                    q = b.column("cls").slice(i, min(2000, hi - i))
+                    s = x[i : i + len(q)] @ rows[0].T
+                    some = np.flatnonzero(s.max(1) >= least - 1e-5)
+                    s = s[some]
+                    top = np.argpartition(-s, keep, axis=1)[:, : keep + 1] if s.shape[1] > keep + 1 else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                    s = np.take_along_axis(s, top, 1)
+                    r, c = np.nonzero(s >= least - 1e-5)
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(some[r])), names[0].take(pa.array(top[r, c])), pa.array(s[r, c].astype(np.float64))], names=["cls", "other", "cosine"])
+
+    found = blocks.mapInArrow(compare, f"cls {kind}, other {kind}, cosine double").filter("cls <> other")
+    rough = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), "other"))
+    return _ranked(found.withColumn("rough", rough).filter(F.col("rough") <= keep).select("cls", "other"), classes, k, least, F.desc(F.round("cosine", 6)))
+
+
 def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k: int = 5, places: list[int] | None = None, **forest: int) -> DataFrame:
     """(id_a, id_b), id_a < id_b: cosine at least ``least``, and one is among the k most similar of the other.
 
-    Vectors of the same direction are each other's most similar ones, the smaller id first; what they leave of a
-    vector's k places goes to other directions, again the smaller id first within one. Zero, empty and null vectors
-    have no neighbours; an id with repeated rows counts once.
+    Among cosines that agree in 6 decimals the smaller id comes first; vectors of the same direction have a cosine of 1.
+    Zero, empty and null vectors have no neighbours; an id with repeated rows counts once.
     """
     vectors, id_col, vector = vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v"
     classes, members = unit_classes(vectors, id_col, vector, places)
     near = cut(forest_neighbours(classes, k, least=least, **forest), "p6-near")
+    near = cut(complete_pairs(classes, near, k, least), "p6-complete")
     scored = near.select("cls", "other", F.col("cosine").alias("exact"))
     # the first k + 1 members of a class are enough for any list of k; they are found without ranking the class
     sizes = _heads(members, id_col, k + 1)
-    lists = scored.join(sizes.select(F.col("cls").alias("other"), F.col("heads").alias("heads_o")), "other").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("exact")).alias("d"), F.col("other").alias("o"), F.col("heads_o").alias("m")))).alias("others"))
+    lists = scored.join(sizes.select(F.col("cls").alias("other"), F.col("heads").alias("heads_o")), "other").groupBy("cls").agg(F.collect_list(F.struct((-F.round("exact", 6)).alias("d"), F.col("heads_o").alias("m"))).alias("others"))
     known = sizes.join(lists, "cls", "left")
     spread_out = lookup(members, known, ["cls"])
-    own = F.filter("heads", lambda m: m != F.col(id_col))
-    rest = F.flatten(F.transform(F.coalesce("others", F.array().cast(lists.schema["others"].dataType)), lambda o: o["m"]))
-    top = F.slice(F.concat(own, rest), 1, k)
+    entry = lambda d, m: F.struct(d.alias("d"), m.alias("m"))
+    own = F.transform(F.filter("heads", lambda m: m != F.col(id_col)), lambda m: entry(F.lit(-1.0), m))
+    rest = F.flatten(F.transform(F.coalesce("others", F.array().cast(lists.schema["others"].dataType)), lambda o: F.transform(o["m"], lambda m: entry(o["d"], m))))
+    top = F.transform(F.slice(F.array_sort(F.concat(own, rest)), 1, k), lambda x: x["m"])
     pairs = spread_out.select(F.col(id_col).alias("a"), F.explode(top).alias("b"))
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 

@@ -28,6 +28,18 @@ def test_similar_pairs_against_brute_force(spark):
     assert knn_forest.similar_pairs(df.filter("false"), "id", "v", 0.98).count() == 0
 
 
+def test_similar_pairs_of_a_crowd_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(knn_forest, "CELL_ROWS", 150)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(24) + 0.1 * rng.standard_normal((2000, 24)), rng.standard_normal((400, 24))])
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(len(s)) for j in np.argsort(-np.round(s[i], 6), kind="stable")[:5] if s[i, j] >= 0.98}
+    assert len(want) > 3000 and set(map(tuple, knn_forest.similar_pairs(df, "id", "v", 0.98).collect())) == want
+
+
 def test_same_direction_and_queries(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(9)] + [(20, [2.0, 4.0, 6.0]), (21, [3.0, -1.0, 0.5]), (22, [3.01, -1.0, 0.5])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
