@@ -21,7 +21,6 @@ BUCKETS = 1 << 16  # of hashed words and word pairs
 #: Labelled documents the classifier is fitted on at most; more are thinned by a hash of their id.
 MAX_LABELLED = 5000
 BEAM = 4
-COMMON = 0.2  # terms in more than this share of all documents say nothing
 #: Characters whose terms are found at once; a longer single text is taken alone.
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -396,7 +395,8 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     if not rows:
         raise ValueError("no labelled documents")
     df, total = document_frequencies(docs, text)
-    idf = np.where((df > 0) & ((df <= COMMON * total) | (total < 50)), np.log((total + 1) / (1 + df)), 0.0)
+    # no term is cut off, however common: a text that fills a third of all rows would lose every word
+    idf = np.where(df > 0, np.log((total + 1) / (1 + df)), 0.0)
     areas = sorted({a for r in rows for a in r["areas"]})
     y = np.array([[a in r["areas"] for a in areas] for r in rows], float)
     chain = fit_chain([r["t"] for r in rows], [source_key(r["s"]) or "" for r in rows], y, areas, idf)

@@ -47,3 +47,17 @@ def test_held_out_accuracy(spark):
     assert hit / sum(len(got[i]) for i in held) > 0.93 and hit / sum(len(truth[i]) for i in held) > 0.93
     with pytest.raises(ValueError):
         subjects.classify(docs, labels.filter("false"))
+
+
+def test_copies_that_fill_a_third_of_all_rows(spark):
+    rnd = random.Random(6)
+    copy = text(rnd, ["sport"])
+    rows = [(i, text(rnd, [rnd.choice(sorted(VOCAB))]), None) for i in range(400)] + [(1000 + i, copy, None) for i in range(200)]
+    truth = {i: next(a for a in VOCAB if sum(w in t for w in VOCAB[a]) > 2) for i, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, truth[i]) for i in [*range(150), *range(1000, 1010)]], "doc_id long, subject_area string")
+    got = {}
+    for r in subjects.classify(docs, labels).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject_area"])
+    assert all(got[i] == {"sport"} for i in range(1000, 1200))
+    assert sum(truth[i] in got[i] for i in range(150, 400)) > 0.95 * 250
