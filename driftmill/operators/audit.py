@@ -107,6 +107,14 @@ def protocols(df: DataFrame) -> DataFrame:
     return fixed.unionByName(p).unionByName(m)
 
 
+def held_out_by(df: DataFrame) -> Column:
+    """The protocols that hold a record out: its policy's, its change's and its structural variant's. The variant of an
+    added optional field is its root object's profile. Columns ``mutation_variant`` and ``root_object_profile`` may be absent."""
+    of = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    form = F.when(F.col("mutation") == "optional_field_added", F.concat(F.lit("root-"), of("root_object_profile"))).when(F.trim(of("mutation_variant")) != "", of("mutation_variant"))
+    return F.array_compact(F.array(F.concat(F.lit("held-out-policy:"), "policy_pack"), F.concat(F.lit("held-out-mutation:"), "mutation"), F.concat(F.lit("held-out-mutation-variant:"), "mutation", F.lit(":"), form)))
+
+
 def protocol_report(df: DataFrame, label: str) -> DataFrame:
     """Challenge records, families and labels of each held-out protocol; the records are read once."""
     ch = df.filter(F.lower(F.trim("dataset_role")) == "challenge")

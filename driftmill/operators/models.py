@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmill.functions.labels import CLASSES
+from driftmill.operators import audit
 from driftmill.runtime import cut
 
 #: Rows of one training set; training is sequential by its definition, so one model's rows lie in one task.
 MAX_TRAINING_ROWS = 2_000_000
+NORMAL, PAIRED = "normal-family-split", "same-mutation-different-policy"
+#: Changes that are only held out by structural variant; without them nothing of their kind is left in training.
+BY_VARIANT = ("enum_value_added", "optional_field_added")
 
 
 @dataclass
@@ -187,8 +191,9 @@ def train_models(rows: DataFrame, job: list[str], order: str, hidden: tuple[int,
     return rows.select(*job, order, "partition", "features", "target").groupBy(*job).applyInPandas(fit, f"{kinds}, model string, train_loss double, n_train long")
 
 
-def score(rows: DataFrame, keep: list[str], features: str, models: list[tuple[str, str]]) -> DataFrame:
-    """``keep`` plus (seed, probabilities, predicted) for every row and model (name, artifact JSON); models are few."""
+def score(rows: DataFrame, keep: list[str], features: str, models: list[tuple[str, str]], each: str | None = None) -> DataFrame:
+    """``keep`` plus (seed, probabilities, predicted) for every row and model (name, artifact JSON); models are few.
+    With ``each`` (one of ``keep``) a row is scored by the model its column names only."""
     loaded = [(name, from_artifact(text)) for name, text in models]
     held = rows.sparkSession.sparkContext.broadcast(loaded)  # the models, not the data
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -200,7 +205,13 @@ def score(rows: DataFrame, keep: list[str], features: str, models: list[tuple[st
             x = np.asarray(b.column("_x").flatten(), float).reshape(b.num_rows, -1)
             if not np.isfinite(x).all():
                 raise ValueError("features must be finite")
+            whole, every = b, x
             for name, (net, means, dev, d) in held.value:
+                if each is not None:
+                    own = np.flatnonzero(np.array(whole.column(each).to_pylist(), object) == name)
+                    if not len(own):
+                        continue
+                    b, x = whole.take(pa.array(own)), every[own]
                 if x.shape[1] != len(means):
                     raise ValueError("features of another version")
                 y = net.predict((x - means) / dev)
@@ -216,36 +227,88 @@ def score(rows: DataFrame, keep: list[str], features: str, models: list[tuple[st
     return rows.select(*keep, F.col(features).alias("_x")).mapInArrow(run, f"{kinds}, model_seed string, probabilities array<double>, predicted string")
 
 
+def paired(records: DataFrame, group: str) -> DataFrame:
+    """(group, mutation) of challenge records that stand under two policies or more."""
+    ch = records.filter((F.col("role") == "challenge") & F.col(group).isNotNull() & F.col("mutation").isNotNull())
+    return ch.groupBy(group, "mutation").agg(F.countDistinct("policy_pack").alias("n")).filter("n >= 2").select(group, "mutation", F.lit(True).alias("paired"))
+
+
+def selected(records: DataFrame, group: str) -> DataFrame:
+    """``records`` with the protocols that select them (``own``); challenge records of a pair are in the paired one too."""
+    own = records.withColumn("own", audit.held_out_by(records)).join(paired(records, group), [group, "mutation"], "left")
+    return own.withColumn("own", F.when((F.col("role") == "challenge") & F.col("paired"), F.concat("own", F.array(F.lit(PAIRED)))).otherwise(F.col("own"))).drop("paired")
+
+
 def protocol_rows(records: DataFrame, protocols: list[str], split: DataFrame, group: str) -> DataFrame:
-    """Training rows of every protocol: standard records of the training split without what the protocol holds out;
-    its challenge records are the test rows. records: role, policy_pack, mutation and ``group``; split: (group, partition)."""
-    rows = records.join(split, group, "left")
-    out = None
-    for p in protocols:
+    """Training and test rows of every protocol. Held-out ones train on the standard records of the training split without
+    what they hold out and test on the challenge records of it; the normal one keeps the three parts of its split; the
+    paired one has test rows only. records: role, policy_pack, mutation (mutation_variant, root_object_profile) and
+    ``group``; split: (group, partition)."""
+    unknown = [p for p in protocols if p not in (NORMAL, PAIRED) and p.partition(":")[0] not in ("held-out-policy", "held-out-mutation", "held-out-mutation-variant")]
+    if unknown:
+        raise ValueError(f"unknown protocols: {unknown}")
+    rows = selected(records, group).join(split, group, "left")
+    fitted = F.array(*[F.lit(p) for p in sorted({NORMAL if p == PAIRED else p for p in protocols})])
+    kept = rows.filter("role = 'standard' and partition is not null").withColumn("protocol", F.explode(F.array_except(fitted, "own"))).filter((F.col("protocol") == NORMAL) | (F.col("partition") == "train"))
+    held = rows.filter("role = 'challenge'").withColumn("protocol", F.explode(F.array_intersect(F.array(*[F.lit(p) for p in protocols]), "own"))).withColumn("partition", F.lit("test"))
+    return kept.unionByName(held).drop("own")
+
+
+def protocol_plan(records: DataFrame, group: str) -> list[tuple[str, str, int]]:
+    """(protocol, status, challenge records) of every protocol the records allow: normal, each policy, change and variant
+    held out, and paired. Not scored are policies with a rule's action that no other policy's training records have,
+    changes and variants without a like in training (``structurally_unidentifiable``), and challenges without two labels
+    (``traceability_only``). records as for ``experiment``, with label and features."""
+    rows = selected(records, group)
+    each = rows.select("role", "label", F.explode("own").alias("protocol")).groupBy("protocol").agg(
+        F.sum((F.col("role") == "standard").cast("int")).alias("standard"), F.sum((F.col("role") == "challenge").cast("int")).alias("challenge"), F.countDistinct(F.when(F.col("role") == "challenge", F.col("label"))).alias("labels")
+    )
+    n = {r["protocol"]: r for r in each.collect()}  # bounded by policies, changes and variants
+    slots = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("features", 25 + 3 * i, 3))
+    whole = (F.size("features") >= 48) & F.forall(slots, lambda a: F.size(F.filter(a, lambda v: v == 1)) == 1)
+    parts = rows.filter(F.col("policy_pack").isNotNull()).filter(whole).select("role", "policy_pack", F.explode(F.transform(slots, lambda a, i: i * 3 + F.array_position(a, F.lit(1.0)).cast("int"))).alias("action")).distinct().collect()
+    out = [(NORMAL, "scored", 0)]
+    for p in sorted(n):
         kind, _, value = p.partition(":")
-        column = {"held-out-policy": "policy_pack", "held-out-mutation": "mutation"}.get(kind)
-        standard = rows.filter("role = 'standard'")
-        if column is None:
-            part = standard.filter("partition is not null")
+        r, status = n[p], "scored"
+        if kind == "held-out-policy":
+            learnt = {x["action"] for x in parts if x["role"] == "standard" and x["policy_pack"] != value}
+            wanted = {x["action"] for x in parts if x["role"] == "challenge" and x["policy_pack"] == value}
+            if learnt and wanted - learnt:
+                status = "structurally_unidentifiable"
+            elif not r["challenge"]:
+                status = "traceability_only"
+        elif kind == "held-out-mutation":
+            if value in BY_VARIANT:
+                status = "structurally_unidentifiable"
+            elif r["labels"] < 2:
+                status = "traceability_only"
+        elif kind == "held-out-mutation-variant":
+            change = value.partition(":")[0]
+            if change not in BY_VARIANT or not r["challenge"]:
+                continue
+            if n[f"held-out-mutation:{change}"]["standard"] <= r["standard"]:
+                status = "structurally_unidentifiable"
+            elif r["labels"] < 2:
+                status = "traceability_only"
         else:
-            kept = standard.filter(F.col(column).isNull() | (F.col(column) != value)).withColumn("partition", F.lit("train"))
-            held = rows.filter((F.col("role") == "challenge") & (F.col(column) == value)).withColumn("partition", F.lit("test"))
-            part = kept.unionByName(held)
-        part = part.withColumn("protocol", F.lit(p))
-        out = part if out is None else out.unionByName(part)
-    return out
+            continue
+        if kind == "held-out-mutation-variant" or r["standard"]:
+            out.append((p, status, r["challenge"]))
+    pair = n.get(PAIRED)
+    return [*out, (PAIRED, "scored" if pair and pair["labels"] >= 2 else "traceability_only", pair["challenge"] if pair else 0)]
 
 
 def experiment(records: DataFrame, protocols: list[str], split: DataFrame, group: str, order: str, epochs: int = 100, **how) -> DataFrame:
-    """(protocol, n_test, accuracy) of one seed: a model for each protocol, scored on the protocol's own test rows."""
+    """(protocol, n_test, accuracy) of one seed: a model for each protocol, scored on the protocol's own test rows; the
+    paired protocol is scored by the normal model."""
     rows = cut(protocol_rows(records, protocols, split, group), "experiment")
-    models = train_models(rows, ["protocol"], order, epochs=epochs, **how).filter("model is not null").select("protocol", "model").collect()  # a model each
-    out = None
-    for m in models:
-        tests = rows.filter((F.col("protocol") == m["protocol"]) & (F.col("partition") == "test"))
-        scored = score(tests, ["protocol", "label"], "features", [("0", m["model"])])
-        part = scored.groupBy("protocol").agg(F.count(F.lit(1)).alias("n_test"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    made = train_models(rows, ["protocol"], order, epochs=epochs, **how).filter("model is not null").select("protocol", "model").collect()  # a model each
+    by = {m["protocol"]: m["model"] for m in made}
+    if PAIRED in protocols and NORMAL in by:
+        by[PAIRED] = by[NORMAL]
+    if not by:
         raise ValueError("no protocol has training rows")
-    return out
+    tests = rows.filter(F.col("protocol").isin(list(protocols)) & (F.col("partition") == "test"))
+    scored = score(tests, ["protocol", "label"], "features", sorted(by.items()), "protocol")
+    return scored.groupBy("protocol").agg(F.count(F.lit(1)).alias("n_test"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))

@@ -13,6 +13,9 @@ from driftmill.plans.registry import Registry
 from driftmill.runtime import cut, table
 from driftmill.sources import fixtures
 
+#: The reference's own for run-three-way-experiments.
+SEEDS, EPOCHS = (20260826, 20260827, 20260828), 100
+
 _V = "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)"
 _PREP = "with p as (select record_no, min(features) as f, min(policy_pack) as policy_pack from prepared_records where len(features) = 76 group by record_no)"
 _STRUCT = "list_transform(list_concat(list_concat(f[1:24], f[49:59]), f[63:76]), lambda x: case when x = 0 then 0.0 else x end)"
@@ -209,15 +212,28 @@ def register(r: Registry) -> None:
 
         return cut(_prepared(spark, sf_dir).join(rec, "record_no").withColumn("target", one_hot(F.col("label"))), "training")
 
-    def hashed_split(rows: DataFrame) -> DataFrame:
-        part = F.pmod(F.xxhash64("family_id"), F.lit(20))
+    def protocol_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Training rows with what protocols hold out, in one spelling; a record without a family is one of its own."""
+        spelt = lambda c, a, b: F.translate(F.lower(F.trim(c)), a, b).alias(c)
+        form = records(spark, sf_dir).select("record_no", spelt("mutation_variant", "_", "-"), "root_object_profile")
+        rows = training_rows(spark, sf_dir).join(form, "record_no")
+        return cut(rows.withColumns({"policy_pack": spelt("policy_pack", "_", "-"), "mutation": spelt("mutation", "-", "_"), "family_id": F.coalesce("family_id", F.concat(F.lit("record:"), F.col("record_no").cast("string")))}), "protocol-records")
+
+    def hashed_split(rows: DataFrame, *seed: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("family_id", *map(F.lit, seed)), F.lit(20))
         return rows.filter("family_id is not null").select("family_id").distinct().withColumn("partition", F.when(part < 14, "train").when(part < 17, "validation").otherwise("test"))
 
     @r.add("protocol_experiment")
     def protocol_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = training_rows(spark, sf_dir)
-        names = ["normal-family-split", "held-out-policy:strict", "held-out-mutation:enum_value_added"]
-        return models.experiment(rows, names, hashed_split(rows), "family_id", "record_no", epochs=5)
+        rows = protocol_records(spark, sf_dir)
+        plan = models.protocol_plan(rows, "family_id")
+        todo = spark.createDataFrame(plan, "protocol string, status string, n_challenge long")
+        out = None
+        for seed in SEEDS:
+            part = models.experiment(rows, [p for p, status, _ in plan if status == "scored"], hashed_split(rows, seed), "family_id", "record_no", epochs=EPOCHS)
+            part = todo.join(cut(part, "protocol-seed"), "protocol", "left").select(F.lit(seed).alias("seed"), "protocol", "status", F.coalesce("n_test", "n_challenge").alias("n_test"), "accuracy")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     @r.add("model_scores")
     def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,26 @@ def test_experiment_jobs(spark):
     assert got["normal-family-split"]["accuracy"] > 0.8 and got["held-out-policy:p"]["n_test"] == 50
 
 
+def test_all_protocols(spark):
+    rng = np.random.default_rng(7)
+    forms = [("p", "m", "v"), ("q", "m", "w"), ("p", "enum_value_added", "a"), ("q", "enum_value_added", "b"), ("q", "n", "x")]
+    rows = [(i, f"f{i // 15}", "standard" if i // 15 % 4 else "challenge", *forms[i % 5], ["safe", "breaking"][i // 5 % 2 if i % 5 < 4 else 0], [float(z) for z in rng.standard_normal(3)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "n int, family_id string, role string, policy_pack string, mutation string, mutation_variant string, label string, features array<double>").withColumn("target", labels.one_hot(F.col("label")))
+    plan = {p: (status, n) for p, status, n in models.protocol_plan(df, "family_id")}
+    assert plan == {
+        "normal-family-split": ("scored", 0), "held-out-policy:p": ("scored", 60), "held-out-policy:q": ("scored", 90), "held-out-mutation:m": ("scored", 60), "held-out-mutation:n": ("traceability_only", 30),
+        "held-out-mutation:enum_value_added": ("structurally_unidentifiable", 60), "held-out-mutation-variant:enum_value_added:a": ("scored", 30), "held-out-mutation-variant:enum_value_added:b": ("scored", 30), "same-mutation-different-policy": ("scored", 120),
+    }
+    split = spark.createDataFrame([(f"f{i}", "train" if i % 2 else "test") for i in range(40)], "family_id string, partition string")
+    scored = [p for p, (status, _) in plan.items() if status == "scored"]
+    held = models.protocol_rows(df, scored, split, "family_id").filter("protocol = 'held-out-mutation-variant:enum_value_added:a' and partition = 'train'")
+    assert held.filter("mutation_variant = 'a' or role <> 'standard'").count() == 0 and held.count() == 240
+    got = {r["protocol"]: r["n_test"] for r in models.experiment(df, scored, split, "family_id", "n", epochs=1).collect()}
+    assert set(got) == set(scored) and all(got[p] == plan[p][1] for p in scored if p != "normal-family-split")
+    with pytest.raises(ValueError):
+        models.protocol_rows(df, ["held-out:m"], split, "family_id")
+
+
 def test_metrics_zero_denominators(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "p int, t int")
     r = metrics.classification(metrics.confusion(df, df.p, df.t)).first()
