@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,7 @@ from driftmill.runtime import cut, spread
 
 #: Query signatures sent to the tasks at once: 20,000 rows of 49 doubles are 8 MB whatever the data's size.
 BLOCK = 20_000
+KINDS = ("held-out-policy", "held-out-mutation", "held-out-mutation-variant")
 
 
 def signatures(df: DataFrame, id_col: str, features: str, *keep: str) -> DataFrame:
@@ -22,6 +23,55 @@ def signatures(df: DataFrame, id_col: str, features: str, *keep: str) -> DataFra
     return df.select(id_col, *keep, structural(F.col(features)).alias("sig")).filter("sig is not null").withColumn("key", signature_key(F.col("sig")))
 
 
+def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """(key, protocol, distance, nearest_key, nearest_sig) for every distinct (key, protocol) of ``queries``: ``nearest``
+    among the base signatures whose ``barred`` does not hold the protocol. base: sig, barred (array of protocols), each
+    signature once. Pairs without an allowed signature are missing.
+
+    Distances are taken once for each distinct signature, whatever the number of its protocols.
+    """
+    spark = queries.sparkSession
+    asked = cut(queries.groupBy("key").agg(F.first("sig").alias("sig"), F.collect_set("protocol").alias("protocols")), "allowed-q")
+    known = cut(spread(base.select("sig", "barred")), "allowed-b")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    best = None
+    for i in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()  # about BLOCK rows
+        if not part:
+            continue
+        names = sorted({p for r in part for p in r["protocols"]})
+        pairs = [(j, p) for j, r in enumerate(part) for p in r["protocols"]]
+        held = spark.sparkContext.broadcast((np.array([r["sig"] for r in part], np.float64), [r["key"] for r in part], names, np.array([j for j, _ in pairs]), np.array([names.index(p) for _, p in pairs])))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q, keys, names, of, protocol = held.value
+            at = {p: np.flatnonzero(protocol == c) for c, p in enumerate(names)}
+            none = q.shape[1] + 1
+            least = np.full(len(of), none, np.int32)
+            sig: list = [None] * len(of)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.asarray(b.column("sig").flatten(), np.float64).reshape(b.num_rows, -1)
+                for row, barred in zip(x, b.column("barred").to_pylist()):
+                    d = (q != row).sum(1)[of]
+                    for p in barred:
+                        if p in at:
+                            d[at[p]] = none
+                    for j in np.flatnonzero((d <= least) & (d < none)):
+                        if d[j] < least[j] or tuple(row) < sig[j]:
+                            least[j], sig[j] = d[j], tuple(row)
+            hit = [j for j in range(len(of)) if sig[j] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[of[j]] for j in hit], pa.string()), pa.array([names[protocol[j]] for j in hit], pa.string()), pa.array(least[hit]), pa.array([list(sig[j]) for j in hit], pa.list_(pa.float64()))], names=["key", "protocol", "distance", "nearest_sig"])
+
+        found = known.mapInArrow(run, "key string, protocol string, distance int, nearest_sig array<double>").groupBy("key", "protocol").agg(F.min(F.struct("distance", "nearest_sig")).alias("x"))
+        found = cut(found.select("key", "protocol", "x.distance", "x.nearest_sig"), "allowed-part")
+        best = found if best is None else best.unionByName(found)
+    if best is None:
+        best = spark.createDataFrame([], "key string, protocol string, distance int, nearest_sig array<double>")
+    return best.withColumn("nearest_key", signature_key(F.col("nearest_sig")))
+
+
 def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
     """(key, distance, nearest_key, nearest_sig) for every distinct signature of ``queries``: the least number of
     differing places to any signature of ``base``; among equals the signature that is smaller, place by place.
@@ -105,3 +155,58 @@ def near_duplicate_audit(records: DataFrame, max_samples: int) -> tuple[DataFram
     )
     order = [F.desc("exact_model_feature_match"), F.desc("exact_policy_free_structural_match"), "structural_coordinate_distance", "challenge_record_id", "training_record_id"]
     return summary, rows.orderBy(*order).limit(max_samples)
+
+
+def _kept(rows: DataFrame, key: str) -> DataFrame:
+    """(key, have): for each kind of protocol and each protocol of the kind ('' for none) the first record of the key;
+    bounded by the policies, changes and variants of a key."""
+    own = F.transform(F.array(*[F.lit(k) for k in KINDS]), lambda k: F.struct(k.alias("kind"), F.coalesce(F.get(F.filter("own", lambda p: F.substring_index(p, ":", 1) == k), F.lit(0)), F.lit("")).alias("protocol")))
+    firsts = rows.select(key, "record_id", "family_id", F.explode(own).alias("o")).groupBy(key, "o").agg(F.min(F.struct("record_id", "family_id")).alias("near"))
+    return firsts.groupBy(key).agg(F.collect_list(F.struct("o.kind", "o.protocol", "near")).alias("have"))
+
+
+def _first(have: str) -> Column:
+    """The first record that ``protocol`` keeps, null where it keeps none."""
+    kind = F.substring_index("protocol", ":", 1)
+    return F.array_min(F.transform(F.filter(have, lambda h: (h["kind"] == kind) & (h["protocol"] != F.col("protocol"))), lambda h: h["near"]))
+
+
+def protocol_audit(records: DataFrame, max_samples: int) -> tuple[DataFrame, DataFrame]:
+    """(summary, samples) for each policy, change and variant held out: its challenge records against the standard records
+    it keeps for training. records: record_id, family_id, role, features, own (the protocols that hold a record out), and
+    pair_fingerprint.
+
+    summary: a row for each protocol with challenge records and training. samples: up to ``max_samples`` of each protocol,
+    exact matches first, then by distance and id; the training record is the first with the same features, else the first
+    with the nearest structural signature.
+    """
+    full = signature_key(F.transform("features", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
+    sig = cut(signatures(records.withColumn("full_key", full), "record_id", "features", "family_id", "role", "full_key", "own", "pair_fingerprint"), "audit")
+    st = sig.filter("role = 'standard'")
+    ch = sig.filter("role = 'challenge'").withColumn("protocol", F.explode("own")).drop("own")
+    by_key = cut(_kept(st, "key").withColumnRenamed("key", "nearest_key"), "audit-keys")
+    by_full = _kept(st, "full_key").withColumnRenamed("have", "have_full")
+    alone = lambda h: (h["protocol"] != "") & (F.size(F.filter("have", lambda o: o["kind"] == h["kind"])) == 1)
+    barred = by_key.select(F.col("nearest_key").alias("key"), F.transform(F.filter("have", alone), lambda h: h["protocol"]).alias("barred"))
+    base = st.groupBy("key").agg(F.first("sig").alias("sig")).join(barred, "key")
+    near = nearest_allowed(ch.select("key", "sig", "protocol"), base).select("key", "protocol", "distance", "nearest_key")
+    rows = ch.join(near, ["key", "protocol"]).join(by_full, "full_key", "left").join(by_key, "nearest_key").withColumn("same", _first("have_full")).withColumn("near", F.coalesce("same", _first("have")))
+    rows = rows.select(
+        "protocol", F.col("record_id").alias("challenge_record_id"), F.col("family_id").alias("challenge_family_id"), F.col("near.record_id").alias("training_record_id"), F.col("near.family_id").alias("training_family_id"),
+        F.col("same").isNotNull().alias("exact_model_feature_match"), (F.col("distance") == 0).alias("exact_policy_free_structural_match"), F.col("distance").alias("structural_coordinate_distance"),
+    )
+    rows = cut(rows, "audit-rows")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    match, form = F.col("exact_model_feature_match"), F.col("exact_policy_free_structural_match")
+    summary = rows.groupBy("protocol").agg(
+        F.count(F.lit(1)).alias("n_challenge"), one(match).alias("n_full_match"), F.countDistinct(F.when(match, F.col("challenge_family_id"))).alias("n_full_families"),
+        one(form).alias("n_structural_match"), F.countDistinct(F.when(form, F.col("challenge_family_id"))).alias("n_structural_families"), one(F.col("structural_coordinate_distance") <= 1).alias("n_within_one"),
+    )
+    held = st.select(F.explode("own").alias("protocol")).groupBy("protocol").count()
+    summary = summary.join(held, "protocol", "left").crossJoin(st.agg(F.count(F.lit(1)).alias("n"))).withColumn("n_training", F.col("n") - F.coalesce("count", F.lit(0))).drop("n", "count")
+    for name in ("family_id", "pair_fingerprint"):  # does a value of the challenge stand in the training kept?
+        values = _kept(st.filter(F.col(name).isNotNull() & (F.col(name) != "")).withColumn("value", F.col(name)), "value")
+        leaks = ch.select("protocol", F.col(name).alias("value")).distinct().join(values, "value").filter(_first("have").isNotNull()).select("protocol", F.lit(True).alias(f"{name}_leakage")).distinct()
+        summary = summary.join(leaks, "protocol", "left").withColumn(f"{name}_leakage", F.coalesce(f"{name}_leakage", F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("protocol").orderBy(F.desc("exact_model_feature_match"), F.desc("exact_policy_free_structural_match"), "structural_coordinate_distance", "challenge_record_id", "training_record_id"))
+    return summary, rows.withColumn("_r", rank).filter(F.col("_r") <= max_samples).drop("_r")

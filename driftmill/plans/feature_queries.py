@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmill.functions import hashing, signatures, vectors
-from driftmill.operators import candidates, external, metrics, models, policy, scaling, schema_diff, similarity
+from driftmill.operators import audit, candidates, external, metrics, models, policy, scaling, schema_diff, similarity
 from driftmill.plans.record_queries import records
 from driftmill.plans.registry import Registry
 from driftmill.runtime import cut, table
@@ -144,9 +144,19 @@ def register(r: Registry) -> None:
     def near_duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         return audited(spark, sf_dir)[0]
 
+    def audited_protocols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+        rows = protocol_records(spark, sf_dir)
+        pairs = records(spark, sf_dir).select("record_no", "pair_fingerprint")
+        rows = rows.withColumn("own", audit.held_out_by(rows)).join(pairs, "record_no").withColumn("record_id", F.col("record_no"))
+        return similarity.protocol_audit(rows, 100)
+
+    @r.add("near_duplicate_protocols")
+    def near_duplicate_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return audited_protocols(spark, sf_dir)[0]
+
     @r.add("near_duplicate_samples")
     def near_duplicate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return audited(spark, sf_dir)[1]
+        return audited_protocols(spark, sf_dir)[1]
 
     @r.add("signature_counts", _PREP + f" select count(distinct list_transform(f, lambda x: case when x = 0 then 0.0 else x end)) as n_full, count(distinct {_STRUCT}) as n_structural from p")
     def signature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

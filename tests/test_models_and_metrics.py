@@ -166,6 +166,39 @@ def test_nearest_and_audit(spark, monkeypatch):
     assert summary.first()["n_challenge"] == 14 and samples.count() == 5
 
 
+def test_audit_of_each_protocol(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    from driftmill.functions.signatures import STRUCTURAL
+
+    rng = np.random.default_rng(11)
+    base = [[float(z) for z in rng.integers(0, 2, 76)] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        f = list(base[i % 6])
+        f[int(rng.integers(0, 76))] = float(rng.integers(0, 2))
+        own = [f"held-out-policy:{'pqr'[i % 3]}"] + ([f"held-out-mutation:{'mn'[i // 3 % 2]}"] if i % 7 else [])
+        rows.append((i, f"f{i % 9}", "challenge" if i % 4 == 0 else "standard", own, f"fp{i % 20}", f))
+    df = spark.createDataFrame(rows, "record_id int, family_id string, role string, own array<string>, pair_fingerprint string, features array<double>")
+    summary, samples = similarity.protocol_audit(df, 2)
+    got = {r["protocol"]: r for r in summary.collect()}
+    assert set(got) == {p for r in rows if r[2] == "challenge" for p in r[3]}
+    far = lambda a, b: sum(a[p] != b[p] for p in STRUCTURAL)
+    for p, r in got.items():
+        train = [x for x in rows if x[2] == "standard" and p not in x[3]]
+        held = [x for x in rows if x[2] == "challenge" and p in x[3]]
+        near = [min(far(x[5], t[5]) for t in train) for x in held]
+        full = [any(x[5] == t[5] for t in train) for x in held]
+        assert (r["n_training"], r["n_challenge"], r["n_full_match"]) == (len(train), len(held), sum(full))
+        assert (r["n_structural_match"], r["n_within_one"]) == (sum(d == 0 for d in near), sum(d <= 1 for d in near))
+        assert r["n_full_families"] == len({x[1] for x, y in zip(held, full) if y})
+        assert r["family_id_leakage"] == bool({x[1] for x in held} & {t[1] for t in train})
+        assert r["pair_fingerprint_leakage"] == bool({x[4] for x in held} & {t[4] for t in train})
+    own = {r[0]: r[3] for r in rows}
+    taken = samples.collect()
+    assert all(r["protocol"] not in own[r["training_record_id"]] for r in taken)
+    assert samples.groupBy("protocol").count().filter("count > 2").count() == 0 and len(taken) == sum(min(2, r["n_challenge"]) for r in got.values())
+
+
 def test_evidence(spark):
     runs = spark.createDataFrame([(f"f{i}", "m", "B", ["p", "q", "r"][i % 3], "safe" if i else "rejected") for i in range(12)], "family_id string, mutation string, mode string, policy_pack string, outcome string")
     cell = {r["policy_pack"]: r for r in evidence.cells(runs, 3, 3, 9).collect()}
