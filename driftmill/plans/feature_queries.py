@@ -247,9 +247,12 @@ def register(r: Registry) -> None:
 
     @r.add("model_scores")
     def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = training_rows(spark, sf_dir)
-        placed = rows.join(hashed_split(rows), "family_id").withColumn("seed", F.explode(F.array(F.lit("a"), F.lit("b"))))
-        made = models.train_models(placed, ["seed"], "record_no", epochs=3).filter("model is not null").collect()
+        rows = protocol_records(spark, sf_dir)
+        placed = None
+        for seed in SEEDS:  # each seed makes its own split
+            part = rows.filter("role = 'standard'").join(hashed_split(rows, seed), "family_id").withColumn("seed", F.lit(str(seed)))
+            placed = part if placed is None else placed.unionByName(part)
+        made = models.train_models(placed, ["seed"], "record_no", epochs=EPOCHS).filter("model is not null").collect()
         return models.score(rows, ["record_no"], "features", [(m["seed"], m["model"]) for m in made])
 
     @r.add("external_gate")

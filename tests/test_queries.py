@@ -56,3 +56,10 @@ def test_query(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(df.columns, got) == rows(names, want.fetchall())
+
+
+def test_seeds_make_models_of_their_own(spark):
+    got = {}
+    for r in registry().queries["model_scores"](spark, DATA).collect():
+        got.setdefault(r["model_seed"], {})[r["record_no"]] = tuple(r["probabilities"])
+    assert len(got) == 3 and len({tuple(sorted(x.items())) for x in got.values()}) == 3
