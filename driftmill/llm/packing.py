@@ -18,10 +18,10 @@ from driftmill.runtime import parallelism, spread
 DIMS, ORDER = 4, 12  # dimensions of the curve and bits of each; the key has 48 bits
 BUCKETS = 4096  # of the hashed document vectors
 WORD = re.compile(r"\w+")
-#: Containers a task keeps open. Each holds less than what any waiting item needs, or waits for a smaller one.
-OPEN = 512
-#: Tokens a packing task should have at least: its last, part-filled containers weigh little against that.
-LEAST_PER_TASK = 20_000
+#: Containers a packing task should fill at least: its last, part-filled ones weigh little against that.
+LEAST_BOXES = 256
+#: Tokens of a packing task at most (about), whatever the cluster: the bound of its open containers and of its time.
+TASK_TOKENS = 1 << 28
 
 
 def directions(seed: int) -> np.ndarray:
@@ -98,33 +98,33 @@ def sized(docs: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY,
     return rows.mapInArrow(run, f"_id {kind}, n_tokens bigint, curve bigint").withColumnRenamed("_id", doc_id)
 
 
-def oversized(sizes: DataFrame, doc_id: str, capacity: int) -> DataFrame:
-    """(doc_id) of the documents that no container holds whole."""
-    return sizes.filter(F.col("n_tokens") > capacity).select(doc_id).distinct()
+def oversized(packed: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id) of the packed documents that no container holds whole: those that had to be cut."""
+    return packed.filter("piece > 0").select(doc_id).distinct()
 
 
 def pack(sizes: DataFrame, doc_id: str, capacity: int) -> DataFrame:
     """(container, doc_id, piece, start_token, n_tokens): every token of every document in one container.
 
-    Documents are range-sorted by their place on the curve; each task packs one stretch of it. A document of more
-    than ``capacity`` tokens is cut into whole containers and a rest that is packed like any document; no other is
-    cut. A document goes to the fullest open container that still holds it. A task keeps at most 512 containers
-    open and closes the fullest first, so its memory does not depend on the stretch; at its end, open containers are
-    all that can be part-filled. Documents without tokens get no container. A null id is kept; rows repeated under one id
-    are packed as often as they occur. Containers are named <task>-<number>.
+    Documents are range-sorted by their place on the curve; each task packs one stretch of it, of 256 containers at
+    least and about 2**28 tokens at most. A document of more than ``capacity`` tokens is cut into whole containers and a
+    rest that is packed like any document; no other is cut. A document goes to the container with the least room
+    that still holds it, of those with equal room to the one opened last, which is nearest on the curve; without such a
+    one a new container is opened. No container is closed before the end of the stretch. Documents without tokens
+    get no container. A null id is kept; rows repeated under one id are packed as often as they occur. Containers are
+    named <task>-<number>. ``sizes`` is read twice: cut it first.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    spark = sizes.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = int(max(1, min(max(width, parallelism(spark)), total // max(LEAST_PER_TASK, 64 * capacity))))
+    tasks = int(max(1, min(parallelism(sizes.sparkSession), total // (LEAST_BOXES * capacity)), -(-total // TASK_TOKENS)))
     kind = sizes.schema[doc_id].dataType.simpleString()
     items = sizes.filter("n_tokens > 0").select(F.col(doc_id).alias("_id"), "n_tokens", "curve")
     placed = items.repartitionByRange(tasks, "curve", "_id").sortWithinPartitions("curve", "_id").withColumn("task", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free: list[tuple[int, int]] = []  # (room, container), sorted
+        rooms: list[int] = []  # sorted, without repeats: fewer than capacity
+        open_: dict[int, list[int]] = {}  # room -> its containers, the latest last
         made = 0
         for b in batches:
             out: list[list] = [[], [], [], [], []]
@@ -133,20 +133,20 @@ def pack(sizes: DataFrame, doc_id: str, capacity: int) -> DataFrame:
                 piece = start = 0
                 while n - start > 0:
                     size = min(capacity, n - start)
-                    if size == capacity:
-                        made += 1
-                        box = made
+                    i = bisect_left(rooms, size)
+                    if size < capacity and i < len(rooms):
+                        room = rooms[i]
+                        box = open_[room].pop()
+                        if not open_[room]:
+                            del open_[room], rooms[i]
                     else:
-                        i = bisect_left(free, (size, -1))
-                        if i < len(free):
-                            room, box = free.pop(i)
-                        else:
-                            made += 1
-                            room, box = capacity, made
-                        if room > size:
-                            insort(free, (room - size, box))
-                            if len(free) > OPEN:
-                                free.pop(0)
+                        made += 1
+                        room, box = capacity, made
+                    if room > size:
+                        if room - size not in open_:
+                            open_[room - size] = []
+                            insort(rooms, room - size)
+                        open_[room - size].append(box)
                     for col, x in zip(out, (f"{task}-{box}", d, piece, start, size)):
                         col.append(x)
                     piece += 1
@@ -157,8 +157,6 @@ def pack(sizes: DataFrame, doc_id: str, capacity: int) -> DataFrame:
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, tokens, the share of the capacity that is used, and documents that had to be cut."""
+    """One row: containers, tokens, the share of the capacity that is used."""
     boxes = packed.groupBy("container").agg(F.sum("n_tokens").alias("used"))
     return boxes.agg(F.count(F.lit(1)).alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.round(F.sum("used") / F.when(F.count(F.lit(1)) > 0, F.count(F.lit(1)) * capacity), 4).alias("fill"))
-
-

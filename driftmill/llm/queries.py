@@ -86,6 +86,11 @@ def _capacity(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, "container_specs").filter(F.col("container_class") == name).first()["capacity_tokens"]
 
 
+def _packed(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:
+    capacity = _capacity(spark, sf_dir, name)
+    return packing.pack(cut(packing.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "p7-sizes"), "doc_id", capacity), capacity
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
 
@@ -106,7 +111,7 @@ def register(r: Registry) -> None:
 
     @r.add("p2_found", P2_SQL)
     def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return quota_sample.shortfalls(table(spark, sf_dir, "generation_evidence"), "record_no", table(spark, sf_dir, "sample_targets"))
+        return quota_sample.shortfalls(quota_sample.sample(table(spark, sf_dir, "generation_evidence"), "record_no", table(spark, sf_dir, "sample_targets"))[1])
 
     @r.add("p2_sample")
     def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,24 +156,20 @@ def register(r: Registry) -> None:
 
     @r.add("p7_found")
     def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sizes = packing.sized(table(spark, sf_dir, "documents"), "doc_id", "text")
-        return packing.oversized(sizes, "doc_id", _capacity(spark, sf_dir, "window-short"))
-
-    def packed(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:
-        capacity = _capacity(spark, sf_dir, name)
-        return packing.pack(cut(packing.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "p7-sizes"), "doc_id", capacity), capacity
+        return packing.oversized(_packed(spark, sf_dir, "window-short")[0], "doc_id")
 
     @r.add("p7_packed")
     def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return packed(spark, sf_dir, "window-short")[0]
+        return _packed(spark, sf_dir, "window-short")[0]
 
     @r.add("p7_fill")
     def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return packing.fill_report(*packed(spark, sf_dir, "window-long"))
+        return packing.fill_report(*_packed(spark, sf_dir, "window-long"))
 
     @r.add("p8_found")
     def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return mixing.short_sources(tokens.with_tokens(table(spark, sf_dir, "documents"), ["source"]), "source", table(spark, sf_dir, "mix_targets"))
+        sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+        return mixing.short_sources(mixing.share_report(mixing.mix(sized, "doc_id", "source", targets), sized, "source", targets))
 
     @r.add("p8_mixture")
     def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,8 @@ def _keyed(records: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
 
 
 def _fields(targets: DataFrame, records: DataFrame) -> list[str]:
-    names = [r[0] for r in targets.select("strat_field").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 stratifications")
+    """The stratifications asked for: a list of column names, bounded by the combinations of the table's columns."""
+    names = [r[0] for r in targets.select("strat_field").distinct().collect()]
     return sorted(n for n in names if n and all(f in records.columns for f in n.split("|")))
 
 
@@ -65,10 +64,9 @@ def availability(records: DataFrame, record_id: str, targets: DataFrame) -> Data
     return goals.join(counts, ["field", "key"], "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
 
 
-def shortfalls(records: DataFrame, record_id: str, targets: DataFrame) -> DataFrame:
-    """(request_no, category) with fewer records than its share of the sample or than its minimum."""
-    known = availability(records, record_id, targets)
-    return known.filter((F.col("available") < F.col("quota")) | (F.col("available") < F.coalesce("min_rows", F.lit(0)))).select("request_no", "category").distinct()
+def shortfalls(report: DataFrame) -> DataFrame:
+    """(request_no, category) of a sample's report that fell short of the share wanted or of the minimum."""
+    return report.filter("deficit > 0").select("request_no", "category").distinct()
 
 
 def sample(records: DataFrame, record_id: str, targets: DataFrame, seed: int | str = 0) -> tuple[DataFrame, DataFrame]:
@@ -113,15 +111,18 @@ def sample(records: DataFrame, record_id: str, targets: DataFrame, seed: int | s
     rank = F.row_number().over(Window.partitionBy("request_no", "category").orderBy("u", "_id"))
     edge = placed.filter(F.col("before") + F.col("n") > F.col("want")).withColumn("rank", rank).filter(F.col("before") + F.col("rank") <= F.col("want"))
     drawn = full.select("request_no", "category", F.col("_id").alias(record_id)).unionByName(edge.select("request_no", "category", F.col("_id").alias(record_id)))
+    drawn = cut(drawn, "p2-sample")  # the sample is drawn once; the report counts what was drawn
     return drawn, _report(known, drawn)
 
 
 def _report(known: DataFrame, drawn: DataFrame) -> DataFrame:
     taken = drawn.groupBy("request_no", "category").agg(F.count(F.lit(1)).alias("taken"))
     least = F.greatest(F.ceil("quota"), F.coalesce("min_rows", F.lit(0)))
+    # the second part is never more than the first: what was drawn is held against what was to be drawn
+    deficit = F.greatest(least - F.col("available"), F.col("want") - F.col("taken"), F.lit(0))
     return (
         known.join(taken, ["request_no", "category"], "left")
         .withColumn("taken", F.coalesce("taken", F.lit(0)))
         .withColumn("share", F.col("taken") / F.when(F.sum("taken").over(Window.partitionBy("request_no")) > 0, F.sum("taken").over(Window.partitionBy("request_no"))))
-        .select("request_no", "category", "target_share", F.round("share", 6).alias("actual_share"), "available", "want", "taken", F.greatest(least - F.col("available"), F.lit(0)).alias("deficit"))
+        .select("request_no", "category", "target_share", F.round("share", 6).alias("actual_share"), "available", "want", "taken", deficit.alias("deficit"))
     )

@@ -84,12 +84,14 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("least", [20_000, 500])
-def test_packing(spark, monkeypatch, least):
-    monkeypatch.setattr(packing, "LEAST_PER_TASK", least)
+@pytest.mark.parametrize("least,most", [(256, 1 << 28), (5, 1 << 28), (256, 5000)])
+def test_packing(spark, monkeypatch, least, most):
+    monkeypatch.setattr(packing, "LEAST_BOXES", least)
+    monkeypatch.setattr(packing, "TASK_TOKENS", most)
     sizes = packing.sized(docs(spark), "doc_id", "text").cache()
     for capacity in (64, 512):
-        packed = packing.pack(sizes, "doc_id", capacity).collect()
+        boxes = packing.pack(sizes, "doc_id", capacity).cache()
+        packed = boxes.collect()
         assert sum(r["n_tokens"] for r in packed) == sizes.agg(F.sum("n_tokens")).first()[0]
         used = {}
         for r in packed:
@@ -97,7 +99,7 @@ def test_packing(spark, monkeypatch, least):
         assert max(used.values()) <= capacity and sum(used.values()) / (len(used) * capacity) > 0.9
         size = {r["doc_id"]: r["n_tokens"] for r in sizes.collect()}
         assert all(size[r["doc_id"]] > capacity or (r["piece"], r["start_token"]) == (0, 0) for r in packed)
-        big = {r["doc_id"] for r in packing.oversized(sizes, "doc_id", capacity).collect()}
+        big = {r["doc_id"] for r in packing.oversized(boxes, "doc_id").collect()}
         assert big == {d for d, n in size.items() if n > capacity}
     assert packing.pack(sizes.filter("false"), "doc_id", 10).count() == 0
     assert packing.fill_report(packing.pack(sizes.filter("false"), "doc_id", 10), 10).first()["n_containers"] == 0
@@ -112,7 +114,10 @@ def test_token_counts_are_exact():
     assert tokens.count(tokens.VOCABULARY, None) == tokens.count(tokens.VOCABULARY, "") == 0
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("rows", [50_000, 300])
+def test_mixing(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "PART_ROWS", rows)
+    monkeypatch.setattr(mixing, "STRETCH_ROWS", rows)
     rows = [(i, "Big_Source", 10) for i in range(5000)] + [(10_000 + i, "small-source ", 10) for i in range(20)] + [(20_000 + i, "mid", 10) for i in range(1000)] + [(1, None, 5), (2, "other", 5), (3, "mid", 0)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("big-source", 0.5, 1, 10_000), ("small source", 0.2, 4, 10_000), ("mid", 0.3, 1, 10_000), ("absent", 0.0001, 9, 10_000)], "source string, target_share double, max_repeats int, budget_tokens long")
@@ -123,7 +128,29 @@ def test_mixing(spark):
     assert got["small source"]["taken"] == 800 and got["small source"]["deficit_tokens"] == 1200 and got["small source"]["repeats"] == 4
     assert abs(got["big-source"]["taken"] / got["mid"]["taken"] - 5 / 3) < 0.02
     assert m.groupBy("doc_id", "source").count().filter("count > 4").count() == 0
-    assert {r[0] for r in mixing.short_sources(sized, "source", targets).collect()} == {"small source", "absent"}
+    assert {r[0] for r in mixing.short_sources(mixing.share_report(m, sized, "source", targets)).collect()} == {"small source", "absent"}
     assert mixing.mix(sized.filter("false"), "doc_id", "source", targets).count() == 0
-    ordered = [r["virtual_finish"] for r in m.orderBy("position").collect()]
-    assert ordered == sorted(ordered)
+    ordered = m.orderBy("position").collect()
+    assert [r["virtual_finish"] for r in ordered] == sorted(r["virtual_finish"] for r in ordered)
+    assert np.cumsum([r["n_tokens"] for r in ordered]).tolist() == [r["position"] for r in ordered]
+
+
+def test_mixing_against_a_queue(spark):
+    rows = [(i, f"s{i % 3}", 1 + i * 7 % 50) for i in range(300)] + [(1000, "s0", 4000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    for budget in (50, 2000, 9000, 10**6):
+        targets = spark.createDataFrame([("s0", 0.5, 1, budget), ("s1", 0.3, 3, budget), ("s2", 0.4, 2, budget)], "source string, target_share double, max_repeats int, budget_tokens long")
+        u = spark.createDataFrame([(r, d) for r in (1, 2, 3) for d, *_ in rows], "repeat int, doc long").withColumn("u", mixing.unit_hash(4, F.col("repeat"), F.col("doc")))
+        draw = {(r["repeat"], r["doc"]): r["u"] for r in u.collect()}
+        queue = []
+        for s, w, most in (("s0", 0.5, 1), ("s1", 0.3, 3), ("s2", 0.4, 2)):
+            given = 0
+            for rep in range(1, most + 1):
+                for _, d, n in sorted((draw[rep, d], d, n) for d, x, n in rows if x == s):
+                    given += n
+                    queue.append((given / w, s, rep, d, n))
+        queue.sort()
+        upto = np.cumsum([q[4] for q in queue])
+        want = [(int(t), d, s, rep, n) for t, (_, s, rep, d, n) in zip(upto, queue) if t <= budget]
+        got = [tuple(r)[:5] for r in mixing.mix(sized, "doc_id", "source", targets, 4).orderBy("position").collect()]
+        assert got == want

@@ -21,7 +21,7 @@ def test_sample_and_report(spark):
     assert got[2, "safe|open"]["taken"] == 90 and got[2, "breaking|open"]["deficit"] == 10 and got[4, "x"]["deficit"] == 10
     assert drawn.count() == drawn.distinct().count() == 200 + 160 + 5 + 90
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, quota_sample.sample(e.repartition(7), "n", t, 3)[0].collect()))
-    short = {tuple(r) for r in quota_sample.shortfalls(e, "n", t).collect()}
+    short = {tuple(r) for r in quota_sample.shortfalls(report).collect()}
     assert short == {(1, "war_ning"), (2, "breaking|open"), (3, "none"), (4, "x")}
 
 
@@ -43,4 +43,4 @@ def test_empty(spark):
     e = evidence(spark).filter("false")
     drawn, report = quota_sample.sample(e, "n", t)
     assert drawn.count() == 0 and report.first()["deficit"] == 10
-    assert quota_sample.shortfalls(e, "n", t.filter("false")).count() == 0
+    assert quota_sample.shortfalls(quota_sample.sample(e, "n", t.filter("false"))[1]).count() == 0
