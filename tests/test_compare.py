@@ -2,7 +2,11 @@
 
 import random
 
-from driftmill.operators.compare import diff_summary, diff_tables
+import numpy as np
+import pytest
+
+from driftmill.operators import compare
+from driftmill.operators.compare import Bitmap, diff_summary, diff_tables
 
 SCHEMA = "k long, a string, b int, c double, v long"
 
@@ -35,7 +39,26 @@ def test_null_keys_and_empty(spark):
     assert found(diff(spark, [], [])) == []
 
 
-def test_hot_key_and_brute_force(spark):
+def test_bitmaps():
+    rng = np.random.default_rng(1)
+    sets = [np.zeros(0, int), np.arange(70), np.arange(1 << 16), np.array([0, 65535]), np.sort(rng.choice(1 << 16, 30_000, False)), np.sort(rng.choice(1 << 16, 500, False)), np.delete(np.arange(1 << 16), [5, 9])]
+    assert [Bitmap.of(s).kind for s in sets] == ["list", "runs", "runs", "list", "bits", "list", "runs"]
+    for x in sets:
+        for y in sets:
+            assert Bitmap.of(x).minus(Bitmap.of(y)).tolist() == np.setdiff1d(x, y).tolist()
+            assert Bitmap.of(x).both(Bitmap.of(y)).tolist() == np.intersect1d(x, y).tolist()
+
+
+def test_nested_fields_and_wider_types(spark):
+    left = spark.createDataFrame([(1, [None, 1], 1), (2, [1, 2], 2), (3, None, 3)], "k int, a array<int>, b int")
+    right = spark.createDataFrame([(1, [1, None], 1), (2, [1, 2], 2), (3, None, 4)], "k long, a array<int>, b long")
+    assert found(diff_tables(left, right, "k")) == [(True, 1, "a"), (True, 3, "b")]
+
+
+@pytest.mark.parametrize("container,broadcast", [(1 << 16, 500_000), (16, 500_000), (1 << 16, 1)])
+def test_hot_key_and_brute_force(spark, monkeypatch, container, broadcast):
+    monkeypatch.setattr(compare, "CONTAINER", container)
+    monkeypatch.setattr(compare, "BROADCAST_ROWS", broadcast)
     rnd = random.Random(5)
     row = lambda k: (k, rnd.choice(["a", "A ", "b", None, ""]), rnd.choice([1, 2, None]), rnd.choice([0.0, 1.5]), rnd.randrange(3))
     left, right = [row(rnd.choice([7, rnd.randrange(300)])) for _ in range(900)], [row(rnd.choice([7, rnd.randrange(300)])) for _ in range(900)]
