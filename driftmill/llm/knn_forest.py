@@ -19,6 +19,8 @@ HALF_ERROR = 2e-3
 #: Queries that go against all rows at once; 4096 x 49 floats are 0.8 MB whatever the data's size.
 QUERY_BLOCK = 4096
 BITS = 62  # of a tree's hash string; it stays a non-negative long
+#: Places of a sorted array that are scanned at once.
+BLOCK = 8192
 #: Vectors of a cell that are held at once; fuller cells are dealt in parts. At most MAX_CELLS pivots go to the tasks.
 CELL_ROWS = 2000
 MAX_CELLS = 1024
@@ -91,24 +93,67 @@ def unit_classes(vectors: DataFrame, id_col: str, vector: str, places: list[int]
     return classes, members
 
 
-def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: int = 48, seed: int = 7, queries: DataFrame | None = None, least: float | None = None) -> DataFrame:
-    """(cls, other, cosine, depth): up to k most similar classes of each class (or of those in ``queries``).
-
-    Each tree writes a vector as a string of 62 random-hyperplane bits. All strings of a tree lie in one globally
-    range-partitioned sorted array. A vector's longest-prefix matches stand next to it, and it is compared with the
-    ``candidates`` / 2 rows before and behind it in each tree, whatever prefix they share; the prefix only orders
-    equal cosines. The trees carry vectors in half precision and keep the k + 3 best of the scanned ones; cosines and
-    ranks are then taken in full. ``least`` drops pairs that are less similar before they are shuffled.
-
-    What is found are lower bounds: a crowd wider than the window loses neighbours. ``complete_pairs`` and
+def depth_profile(tree: np.ndarray, key: np.ndarray, steps: int) -> np.ndarray:
+    """For each row of a sorted array the greatest depths at which at least 1, 2, 4, ... (``steps`` powers) other rows share
+    its prefix, 6 bits each, 63 where there is none."""
+    n = len(key)
+    depth = np.full((steps, n), 63, np.int64)
+    for d in range(BITS, -1, -1):
+        node = key >> (BITS - d)
+        first = np.flatnonzero((np.diff(node, prepend=-1) != 0) | (np.diff(tree, prepend=-1) != 0))
+        size = np.diff(np.append(first, n))
+        others = np.repeat(size - 1, size)
+        open_ = False
+        for j in range(steps):
+            new = (depth[j] == 63) & (others >= 1 << j)
+            depth[j][new] = d
+            open_ |= bool((depth[j] == 63).any())
+        if not open_:
+            break
+    return (depth << (6 * np.arange(steps))[:, None]).sum(0)
+
+
+def ascend(profiles: np.ndarray, candidates: int, steps: int) -> np.ndarray:
+    """The depth at which each vector's ascent ends: all trees (columns) go up one bit at a time together, until the
+    nodes they stand in hold ``candidates`` others in all. A node's size counts as the power of two below it."""
+    n = len(profiles)
+    level, open_ = np.zeros(n, np.int16), np.ones(n, bool)
+    depth = (profiles[:, :, None] >> (6 * np.arange(steps))) & 63
+    depth = np.where(depth == 63, -1, depth).reshape(n, -1)
+    gain = np.tile([1, *(1 << j for j in range(steps - 1))], profiles.shape[1])
+    for d in range(BITS, 0, -1):
+        enough = open_ & ((depth >= d) @ gain >= candidates)
+        level[enough] = d
+        open_ &= ~enough
+        if not open_.any():
+            break
+    return level
+
+
+def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: int = 64, seed: int = 7, queries: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """(cls, other, cosine, rank): up to k most similar classes of each class (or of those in ``queries``).
+
+    Each tree writes a vector as a string of 62 random-hyperplane bits; all strings of a tree lie in one globally
+    range-partitioned sorted array. A vector's longest prefix matches in all trees are known from the sizes of the
+    nodes it stands in; from there all trees ascend together, a bit at a time, until their nodes hold ``candidates``
+    other vectors. Within each tree the vector is then compared with the rows that share its prefix of that length, at
+    most ``candidates`` / 2 of them on each side. Arrays are scanned in blocks of positions; a block holds the rows next
+    to its edges too, so no range boundary hides a row.
+
+    Only strings and places are sorted; vectors travel to the blocks once for each tree, in half precision, and the
+    k + 5 best of a tree are kept; cosines and ranks are then taken in full. ``least`` drops pairs that are less similar.
+
+    What is found are lower bounds: a crowd of more than ``candidates`` loses neighbours. ``complete_pairs`` and
     ``complete`` find the rest.
     """
+    spark, kind = classes.sparkSession, classes.schema["cls"].dataType.simpleString()
     if queries is None:
         marked = classes.withColumn("asks", F.lit(True))
     else:
         marked = classes.join(queries.select("cls").distinct().withColumn("asks", F.lit(True)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    kind = classes.schema["cls"].dataType.simpleString()
-    keep = k + 3  # half precision decides who is kept, full precision who is nearest
+    keep = k + 5  # half precision decides who is kept, full precision who is nearest
+    reach = max(1, candidates // 2)
+    steps = max(1, candidates.bit_length())
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal = None
@@ -122,50 +167,91 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
                 normal = planes(seed, trees, width).T.astype(np.float32)
             bits = (x @ normal > 0).reshape(b.num_rows, trees, BITS)
             keys = (bits.astype(np.int64) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(2)
-            half = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((np.arange(b.num_rows + 1) * 2 * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x, np.float16).tobytes())])
             tie = (x[:, 0].astype(np.float64) * (1 << 30)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("asks"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * trees, pa.int32()), pa.array(keys.ravel())), half, pa.array(tie)], names=["cls", "asks", "keys", "half", "tie"])
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * trees, pa.int32()), pa.array(keys.ravel())), pa.array(tie)], names=["cls", "keys", "tie"])
 
-    strings = spread(marked).mapInArrow(hashes, f"cls {kind}, asks boolean, keys array<bigint>, half binary, tie bigint")
-    placed = strings.select("cls", "asks", "half", "tie", F.posexplode("keys").alias("tree", "key"))
+    strings = spread(classes.select("cls", "unit")).mapInArrow(hashes, f"cls {kind}, keys array<bigint>, tie bigint")
+    placed = strings.select("cls", "tie", F.posexplode("keys").alias("tree", "key"))
     # equal strings are told apart by a coordinate, so a crowd can be cut anywhere and stays in local order
-    arrays = placed.repartitionByRange("tree", "key", "tie", "cls").sortWithinPartitions("tree", "key", "tie", "cls").drop("tie")
+    arrays = placed.repartitionByRange("tree", "key", "tie", "cls").sortWithinPartitions("tree", "key", "tie", "cls").select("cls", "tree", "key", F.spark_partition_id().alias("range"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, before = [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            profile = depth_profile(t.column("tree").to_numpy(), t.column("key").to_numpy(), steps)
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in t.columns), pa.array(np.arange(before, before + len(profile))), pa.array(profile)], names=[*t.column_names, "local", "profile"])
+
+        for b in batches:  # a node cut by the end of a block looks smaller: the ascent goes on a little further
             held.append(b)
             size += b.num_rows
-            if size >= 40_000:
-                block = pa.Table.from_batches(held).combine_chunks()
-                yield from search(block)
-                # the next block starts with this one's last window, so no neighbour is lost between blocks
-                tail = block.slice(max(0, block.num_rows - candidates))
-                held, size = tail.to_batches(), tail.num_rows
+            if size >= 200_000:
+                yield out()
+                held, size, before = [], 0, before + size
         if size:
+            yield out()
+
+    sorted_ = cut(arrays.mapInArrow(places, f"cls {kind}, tree int, key bigint, range int, local bigint, profile bigint"), "p6-arrays")
+    sizes = sorted_.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row for each range
+    offsets = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    seats = sorted_.join(F.broadcast(offsets), "range").select("cls", F.struct("tree", "key", (F.col("before") + F.col("local")).alias("pos"), "profile").alias("s"))
+    known = marked.join(seats.groupBy("cls").agg(F.sort_array(F.collect_list("s")).alias("seats")), "cls")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                n = b.num_rows
+                seat = b.column("seats").flatten()
+                tree, key, pos, profile = (seat.field(c).to_numpy() for c in ("tree", "key", "pos", "profile"))
+                level = np.repeat(ascend(profile.reshape(n, trees), candidates, steps), trees)
+                asks = np.repeat(b.column("asks").to_numpy(zero_copy_only=False), trees)
+                x = np.asarray(b.column("unit").flatten(), np.float16).reshape(n, -1)
+                wide = x.shape[1] * 2
+                row, block = np.arange(n * trees), pos // BLOCK
+                left, right = np.flatnonzero((pos % BLOCK < reach) & (block > 0)), np.flatnonzero(pos % BLOCK >= BLOCK - reach)
+                row = np.concatenate([row, left, right])
+                block = np.concatenate([block, block[left] - 1, block[right] + 1])
+                own = np.arange(len(row)) < n * trees  # rows of the blocks beside are only looked at
+                for i in range(0, len(row), 20_000):
+                    r = row[i : i + 20_000]
+                    half = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer((np.arange(len(r) + 1) * wide).astype(np.int32)), pa.py_buffer(x[r // trees].tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block[i : i + 20_000]), pa.array(pos[r]), pa.array(tree[r].astype(np.int8)), pa.array(key[r]), pa.array(np.where(own[i : i + 20_000] & asks[r], level[r], -1).astype(np.int8)), b.column("cls").take(pa.array(r // trees)), half],
+                        names=["block", "pos", "tree", "key", "level", "cls", "half"],
+                    )
+
+    dealt = known.mapInArrow(deal, f"block bigint, pos bigint, tree tinyint, key bigint, level tinyint, cls {kind}, half binary")
+    blocks = dealt.repartition("block").sortWithinPartitions("block", "pos")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            at = np.flatnonzero(np.diff(b.column("block").to_numpy(), prepend=-1)) if b.num_rows else np.zeros(0, int)
+            for lo, hi in zip(at, [*at[1:], b.num_rows]):
+                part = b.slice(int(lo), int(hi - lo))
+                if held and held[-1].column("block")[0] != part.column("block")[0]:
+                    yield from search(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(part)
+        if held:
             yield from search(pa.Table.from_batches(held).combine_chunks())
 
     def search(block: pa.Table) -> Iterator[pa.RecordBatch]:
         n = block.num_rows
-        if n < 2:
-            return
         ids = block.column("cls").combine_chunks()
-        asks = block.column("asks").to_numpy(zero_copy_only=False)
-        tree = block.column("tree").to_numpy()
-        key = block.column("key").to_numpy()
+        tree, key, level = (block.column(c).to_numpy() for c in ("tree", "key", "level"))
         x = np.frombuffer(b"".join(block.column("half").to_pylist()), np.float16).astype(np.float32).reshape(n, -1)
         best = np.full((n, keep), -2.0, np.float32)
         who = np.full((n, keep), -1, np.int64)
-        deep = np.zeros((n, keep), np.int16)
 
-        def offer(rows: np.ndarray, other: np.ndarray, cosine: np.ndarray, shared: np.ndarray) -> None:
-            worst = best[rows, keep - 1]
-            better = cosine > worst
+        def offer(rows: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> None:
+            better = cosine > best[rows, keep - 1]
             if not better.any():
                 return
-            rows, other, cosine, shared = rows[better], other[better], cosine[better], shared[better]
-            b, w, d = best[rows], who[rows], deep[rows]
+            rows, other, cosine = rows[better], other[better], cosine[better]
+            b, w = best[rows], who[rows]
             at = (b >= cosine[:, None]).sum(1)
             col = np.arange(keep)[None, :]
             source = np.where(col <= at[:, None], col, col - 1)
@@ -173,33 +259,30 @@ def forest_neighbours(classes: DataFrame, k: int, trees: int = 10, candidates: i
             hit = col == at[:, None]
             best[rows] = np.where(hit, cosine[:, None], b[take, source])
             who[rows] = np.where(hit, other[:, None], w[take, source])
-            deep[rows] = np.where(hit, shared[:, None], d[take, source])
 
-        for step in range(1, min(candidates // 2, n - 1) + 1):
-            same = tree[step:] == tree[:-step]
-            want = same & (asks[step:] | asks[:-step])
-            lo = np.flatnonzero(want)
-            if not len(lo):
-                continue
-            hi = lo + step
-            cosine = np.einsum("ij,ij->i", x[lo], x[hi])
-            if least is not None:
-                near = cosine >= least - HALF_ERROR
-                lo, hi, cosine = lo[near], hi[near], cosine[near]
-            shared = BITS - np.frexp((key[lo] ^ key[hi]).astype(np.float64))[1]
-            a, b = asks[lo], asks[hi]
-            offer(lo[a], hi[a], cosine[a], shared[a].astype(np.int16))
-            offer(hi[b], lo[b], cosine[b], shared[b].astype(np.int16))
+        for side in (1, -1):
+            at = np.flatnonzero(level >= 0)
+            for step in range(1, reach + 1):
+                to = at + side * step
+                inside = (to >= 0) & (to < n)
+                at, to = at[inside], to[inside]
+                drop = BITS - level[at].astype(np.int64)
+                same = (tree[at] == tree[to]) & (key[at] >> drop == key[to] >> drop)
+                at, to = at[same], to[same]
+                if not len(at):
+                    break
+                cosine = np.einsum("ij,ij->i", x[at], x[to])
+                near = np.ones(len(at), bool) if least is None else cosine >= least - HALF_ERROR
+                offer(at[near], to[near], cosine[near])
         r, c = np.nonzero(who >= 0)
         if len(r):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), ids.take(pa.array(who[r, c])), pa.array(best[r, c].astype(np.float64)), pa.array(deep[r, c].astype(np.int32))], names=["cls", "other", "cosine", "depth"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), ids.take(pa.array(who[r, c])), pa.array(best[r, c])], names=["cls", "other", "cosine"])
 
-    found = arrays.mapInArrow(scan, f"cls {kind}, other {kind}, cosine double, depth int")
-    # trees ascend together: the longest prefix any tree shares comes first where cosines are equal
-    merged = found.groupBy("cls", "other").agg(F.max("cosine").alias("cosine"), F.max("depth").alias("depth"))
-    rough = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), F.desc("depth"), "other"))
-    best_of = merged.withColumn("rough", rough).filter(F.col("rough") <= keep).select("cls", "other", "depth")
-    return _ranked(best_of, classes, k, least, F.desc("cosine"), F.desc("depth"))
+    found = blocks.mapInArrow(scan, f"cls {kind}, other {kind}, cosine float")
+    merged = found.groupBy("cls", "other").agg(F.max("cosine").alias("cosine"))
+    rough = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), "other"))
+    best_of = merged.withColumn("rough", rough).filter(F.col("rough") <= keep).select("cls", "other")
+    return _ranked(best_of, classes, k, least, F.desc("cosine"))
 
 
 def _ranked(pairs: DataFrame, classes: DataFrame, k: int, least: float | None, *order: Column) -> DataFrame:
@@ -215,8 +298,8 @@ def _ranked(pairs: DataFrame, classes: DataFrame, k: int, least: float | None, *
 
 
 def complete_pairs(classes: DataFrame, near: DataFrame, k: int, least: float) -> DataFrame:
-    """(cls, other, cosine, rank): exactly the up to k most similar classes of each class with a cosine of ``least`` or more;
-    among cosines that agree in 6 decimals the smaller id comes first.
+    """(cls, other, cosine, rank): ``near``, the forest's lists, completed to exactly the up to k most similar classes of
+    each class with a cosine of ``least`` or more; among cosines that agree in 6 decimals the smaller id comes first.
 
     Every vector lives in the cell of the pivot it is most similar to. Where q is at home at p and v at c, q and v can
     only be within a distance d if (p - c) q <= d |p - c|: a vector is compared with all vectors of every cell for which
@@ -304,7 +387,8 @@ def complete_pairs(classes: DataFrame, near: DataFrame, k: int, least: float) ->
 
     found = blocks.mapInArrow(compare, f"cls {kind}, other {kind}, cosine double").filter("cls <> other")
     rough = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), "other"))
-    return _ranked(found.withColumn("rough", rough).filter(F.col("rough") <= keep).select("cls", "other"), classes, k, least, F.desc(F.round("cosine", 6)))
+    rest = found.withColumn("rough", rough).filter(F.col("rough") <= keep).select("cls", "other")
+    return _ranked(near.select("cls", "other").union(rest).distinct(), classes, k, least, F.desc(F.round("cosine", 6)))
 
 
 def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, k: int = 5, places: list[int] | None = None, **forest: int) -> DataFrame:
@@ -381,13 +465,14 @@ def complete(classes: DataFrame, asked: DataFrame, found: DataFrame, k: int, cer
 def nearest(vectors: DataFrame, id_col: str, vector: str, k: int = 5, queries: Column | None = None, certain: float | None = None, places: list[int] | None = None, **forest: int) -> DataFrame:
     """(id, other_id, cosine, rank): the k most similar other vectors of every vector, or of those where ``queries`` holds.
 
-    ``certain`` (with ``queries``, and integer ids) sends queries with a lower k-th similarity against all rows.
+    ``certain`` (with integer ids) sends vectors with a lower k-th similarity against all rows, in blocks of queries;
+    without it the lists are the forest's, which misses neighbours that are far (see README for its recall).
     """
     wanted = None if queries is None else vectors.filter(queries).select(F.col(id_col).alias("_id")).distinct()
     classes, members = unit_classes(vectors.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", "_v", places)
     asked, name, id_col = members if wanted is None else members.join(wanted, "_id", "left_semi"), id_col, "_id"
     near = cut(forest_neighbours(classes, k, queries=None if queries is None else asked, **forest), "p6-near")
-    if certain is not None and queries is not None:
+    if certain is not None:
         near = complete(classes, asked, near, k, certain)
     heads = _heads(members, id_col, k + 1)
     lists = near.join(heads.select(F.col("cls").alias("other"), F.col("heads").alias("m")), "other").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), F.col("other").alias("o"), "m"))).alias("others"))

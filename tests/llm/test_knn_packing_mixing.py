@@ -40,6 +40,38 @@ def test_similar_pairs_of_a_crowd_are_exact(spark, monkeypatch):
     assert len(want) > 3000 and set(map(tuple, knn_forest.similar_pairs(df, "id", "v", 0.98).collect())) == want
 
 
+def test_profiles_and_ascent():
+    rng = np.random.default_rng(2)
+    tree, key = np.repeat([0, 1], 300), np.concatenate([np.sort(rng.integers(0, 1 << knn_forest.BITS, 300)) for _ in range(2)])
+    key[10:20] = key[10]
+    got = knn_forest.depth_profile(tree, key, 5)
+    shared = np.array([[knn_forest.BITS - int(a ^ b).bit_length() if t == u else -1 for b, u in zip(key, tree)] for a, t in zip(key, tree)])
+    np.fill_diagonal(shared, -1)
+    for i in range(600):
+        deep = np.sort(shared[i])[::-1]
+        assert [(int(got[i]) >> (6 * j)) & 63 for j in range(5)] == [deep[2**j - 1] for j in range(5)]
+    both = got.reshape(2, 300).T
+    level = knn_forest.ascend(both, 12, 5)
+    for i in range(300):
+        size = lambda d: sum(2 ** int(np.log2(n)) if n else 0 for n in (min(int((shared[r] >= d).sum()), 16) for r in (i, 300 + i)))
+        assert size(level[i]) >= 12 or level[i] == 0
+        assert size(level[i] + 1) < 12 or level[i] == knn_forest.BITS
+
+
+def test_forest_finds_close_neighbours_over_block_edges(spark, monkeypatch):
+    monkeypatch.setattr(knn_forest, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((150, 24))
+    x = np.concatenate([c + 0.05 * rng.standard_normal((6, 24)) for c in centres])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    classes = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(u)], "cls long, unit array<float>")
+    got = {(r["cls"], r["other"]) for r in knn_forest.forest_neighbours(classes, 5).collect()}
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i])[:5]}
+    assert len(got & want) > 0.97 * len(want)
+
+
 def test_same_direction_and_queries(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(9)] + [(20, [2.0, 4.0, 6.0]), (21, [3.0, -1.0, 0.5]), (22, [3.01, -1.0, 0.5])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
