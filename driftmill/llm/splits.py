@@ -18,6 +18,10 @@ PLACEHOLDERS = ("", "unknown", "n/a")
 
 #: Edges of one entity that one task may hold; an entity with more is cut into slices of this size.
 SLICE = 100_000
+#: Names of one component that are paired with the others in one task.
+NAMES = 1000
+#: Labels to stratify by at most: the driver holds a counter of each for every split and size class.
+MAX_LABELS = 10_000
 #: A group with at least 1/HEAVY of all records is placed on its own; there can be no more than HEAVY such groups.
 HEAVY = 1000
 SPLITS = ("train", "validation", "test")
@@ -69,8 +73,9 @@ def components(records: DataFrame, keys: list[str], max_rounds: int = 200) -> Co
     Records with the same entities are one link node. A round takes, for every link, the least label of its
     entities, for every entity the least of its links, and then the label of that label (which halves what is
     left of long chains). It ends when no label changes. Each round is two shuffles of links and one of entities;
-    both minima are combined before they are shuffled, and entities with more than SLICE links are cut into
-    slices, each of which meets its own copy of the label. A null key names no entity.
+    both minima are combined before they are shuffled. Every entity with more than SLICE links is cut into slices, each of
+    which meets its own copy of the label; labels that many entities share are looked up apart. A null key names no
+    entity.
     """
     keyed = cut(_entity_ids(records, keys), "p1-keyed")
     ids = [f"e{i}" for i in range(len(keys))]
@@ -78,32 +83,23 @@ def components(records: DataFrame, keys: list[str], max_rounds: int = 200) -> Co
     edges = links.select(*ids, F.explode(F.array_compact(F.array(*ids))).alias("entity"))
     edges = cut(edges, "p1-edges")
     degree = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    hot = degree.filter(F.col("n") > SLICE).select("entity", F.ceil(F.col("n") / SLICE).cast("int").alias("fan"))
-    hot_rows = hot.orderBy(F.desc("fan")).limit(HEAVY).collect()
-    if hot_rows:
-        few = F.broadcast(records.sparkSession.createDataFrame(hot_rows, hot.schema))
-        edges = cut(edges.join(few, "entity", "left").select(*ids, "entity", F.pmod(F.xxhash64(*ids), F.coalesce("fan", F.lit(1))).cast("int").alias("slice")), "p1-slices")
-    else:
-        few = None
+    fans = cut(degree.select("entity", F.ceil(F.col("n") / SLICE).cast("int").alias("fan")), "p1-fans")
+    wide = fans.filter("fan > 1")
+    if wide.isEmpty():
         edges = edges.withColumn("slice", F.lit(0))
-    now = Cut(degree.select("entity", F.col("entity").alias("label")), "p1-labels")
+    else:
+        edges = cut(lookup(edges, wide, ["entity"]).select(*ids, "entity", F.pmod(F.xxhash64(*ids), F.coalesce("fan", F.lit(1))).cast("int").alias("slice")), "p1-slices")
+    now = Cut(fans.select("entity", "fan", F.col("entity").alias("label")), "p1-labels")
     for rounds in range(1, max_rounds + 1):
         labels = now.df
-        if few is None:
-            sliced = labels.withColumn("slice", F.lit(0))
-        else:
-            sliced = labels.join(few, "entity", "left").select("entity", "label", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1)).alias("slice"))
+        sliced = labels.select("entity", "label", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"))
         of_link = edges.join(sliced, ["entity", "slice"]).groupBy(*ids).agg(F.min("label").alias("m"))
         of_entity = of_link.select("m", F.explode(F.array_compact(F.array(*ids))).alias("entity")).groupBy("entity").agg(F.min("m").alias("m"))
-        lowered = labels.join(of_entity, "entity").select("entity", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        lowered = labels.join(of_entity, "entity").select("entity", "fan", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         step = Cut(lowered, "p1-step")
-        moved = step.df.filter("label <> entity").select(F.col("entity").alias("via"), F.col("label").alias("jump"))
-        moved = moved.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"))
-        jumped = (
-            step.df.withColumn("salt", F.pmod(F.col("entity"), F.lit(8)).cast("int"))
-            .join(moved, (F.col("label") == F.col("via")) & (F.col("salt") == F.col("part")), "left")
-            .select("entity", "was", F.coalesce("jump", "label").alias("label"))
-        )
+        # a giant component's entities share a label: lookup sends such labels through a broadcast
+        moved = step.df.filter("label <> entity").select(F.col("entity").alias("label"), F.col("label").alias("jump"))
+        jumped = lookup(step.df, moved, ["label"]).select("entity", "fan", "was", F.coalesce("jump", "label").alias("label"))
         new = Cut(jumped, "p1-labels")
         changed = new.df.filter("label <> was").limit(1).count()
         step.drop()
@@ -134,15 +130,23 @@ def record_components(records: DataFrame, record_id: str, keys: list[str]) -> Da
 def same_component_names(records: DataFrame, written: str, keys: list[str]) -> DataFrame:
     """(name_a, name_b), name_a < name_b in byte order: values of ``written`` whose records share a component.
 
-    ``keys[0]`` must be the key column of ``written``. Rows whose key is null give no name.
+    ``keys[0]`` must be the key column of ``written``. Rows whose key is null give no name. The names of a component with
+    more than NAMES of them are cut into slices, each of which meets all the others.
     """
     own = [f"_k{i}" for i in range(len(keys))]
     found = components(records.select(F.col(written).alias("_w"), *[F.col(k).alias(n) for k, n in zip(keys, own)]).distinct(), own)
     names = found.keyed.filter("_k0 is not null").select(F.col("_w").alias("name"), F.col("e0").alias("entity")).distinct()
     placed = lookup(names, found.labels, ["entity"]).select("name", F.col("label").alias("component"))
     placed = cut(placed, "p1-names")
-    other = placed.select(F.col("name").alias("name_b"), "component")
-    return placed.withColumnRenamed("name", "name_a").join(other, "component").filter("name_a < name_b").select("name_a", "name_b")
+    fans = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / NAMES).cast("int").alias("fan")).filter("fan > 1")
+    sized = placed
+    if fans.isEmpty():
+        sized = placed.withColumn("fan", F.lit(1))
+    else:
+        sized = cut(lookup(placed, fans, ["component"]).withColumn("fan", F.coalesce("fan", F.lit(1))), "p1-sized")
+    left = sized.select(F.col("name").alias("name_a"), "component", F.pmod(F.xxhash64("name"), F.col("fan")).cast("int").alias("slice"))
+    right = sized.select(F.col("name").alias("name_b"), "component", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("slice"))
+    return left.join(right, ["component", "slice"]).filter("name_a < name_b").select("name_a", "name_b")
 
 
 def _valid(ratios: tuple[float, float, float]) -> bool:
@@ -177,7 +181,7 @@ def assign_splits(grouped: DataFrame, record_id: str, label: str, ratios: tuple[
     by their commonest label and size class; a stratum's records are shared out to the splits in proportion to what
     each still lacks of that label, and its groups are taken in an order drawn from the seed, by exact running sums.
     A null label is a label of its own. Raises ValueError where the ratios are no valid configuration; more than
-    200 different labels are refused too, since the plan holds one counter for each.
+    10,000 different labels are refused too, since the plan holds one counter for each.
     """
     if not _valid(ratios):
         raise ValueError(f"not a valid split configuration: {ratios}")
@@ -186,19 +190,18 @@ def assign_splits(grouped: DataFrame, record_id: str, label: str, ratios: tuple[
     by_label = rows.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
     sized = by_label.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"))
     sized = cut(sized, "p1-groups")
-    totals = {r["label"]: r["n"] for r in sized.select(F.explode("counts").alias("label", "c")).groupBy("label").agg(F.sum("c").alias("n")).limit(201).collect()}
-    if len(totals) > 200:
-        raise ValueError("more than 200 labels to stratify by")
+    totals = {r["label"]: r["n"] for r in sized.select(F.explode("counts").alias("label", "c")).groupBy("label").agg(F.sum("c").alias("n")).limit(MAX_LABELS + 1).collect()}
+    if len(totals) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels to stratify by")
     everything = sum(totals.values())
     goal = {lab: [n * r for r in ratios] for lab, n in [*totals.items(), ("*", everything)]}
     placed = {lab: [0.0] * 3 for lab in goal}
     floor = max(1, math.ceil(everything / HEAVY))
-    heavy = [(r["component"], r["counts"]) for r in sized.filter(F.col("size") >= floor).select("component", "counts").collect()] if floor > 1 else []
+    heavy = [(r["component"], r["counts"]) for r in sized.filter(F.col("size") >= floor).select("component", "counts").collect()]  # no more than HEAVY
     where = _greedy(heavy, goal, placed)
 
-    light = sized.filter(F.col("size") < floor) if floor > 1 else sized
-    light = light.select("component", "size", "main", F.floor(F.log2("size")).cast("int").alias("class"), unit_hash(seed, F.col("component")).alias("u"))
-    strata = light.groupBy("main", "class").agg(F.sum("size").alias("n")).collect()  # at most 200 labels x 64 classes
+    light = sized.filter(F.col("size") < floor).select("component", "size", "main", F.floor(F.log2("size")).cast("int").alias("class"), unit_hash(seed, F.col("component")).alias("u"))
+    strata = light.groupBy("main", "class").agg(F.sum("size").alias("n")).collect()  # at most MAX_LABELS x 64 classes
     cuts = []
     for r in sorted(strata, key=lambda r: (-r["class"], r["main"])):
         lacks = [max(goal[r["main"]][s] - placed[r["main"]][s], 0.0) for s in range(3)]
@@ -224,7 +227,7 @@ def split_report(assigned: DataFrame) -> DataFrame:
     """Per split and label: records, their share of the split, the label's share of everything, the deviation."""
     n = assigned.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_records"))
     in_split, of_label = Window.partitionBy("split"), Window.partitionBy("label")
-    everything = Window.partitionBy()  # splits x labels: at most 3 x 201 rows
+    everything = Window.partitionBy()  # splits x labels: at most 3 x MAX_LABELS rows
     return (
         n.withColumn("share", F.col("n_records") / F.sum("n_records").over(in_split))
         .withColumn("overall", F.sum("n_records").over(of_label) / F.sum("n_records").over(everything))

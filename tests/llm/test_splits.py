@@ -53,7 +53,9 @@ def test_family_key(spark):
     assert set(got[: len(same)]) == {"abn1"} and got[len(same) :] == ["abn0", "open", None, None, None, None, "aopenbn1", "openapixn1", "abn1"]
 
 
-def test_names_of_one_component(spark):
+@pytest.mark.parametrize("names", [1000, 2])
+def test_names_of_one_component(spark, monkeypatch, names):
+    monkeypatch.setattr(splits, "NAMES", names)
     rows = [("x", "x", "g1", None), ("X", "x", None, None), ("y", "y", "g1", None), ("z", "z", None, "c"), (None, None, "g1", "c"), (None, None, None, None), ("w", "w", None, None)]
     df = spark.createDataFrame(rows, "name string, f string, g string, c string")
     got = sorted(map(tuple, splits.same_component_names(df, "name", ["f", "g", "c"]).collect()))
@@ -61,6 +63,14 @@ def test_names_of_one_component(spark):
     assert splits.same_component_names(df.filter("false"), "name", ["f", "g", "c"]).count() == 0
 
 
+def test_few_records_are_placed_by_deviation(spark):
+    rows = [(i, i // 10, "a" if i < 100 else "b") for i in range(200)]
+    got = splits.assign_splits(spark.createDataFrame(rows, "n int, component long, label string"), "n", "label", (0.7, 0.15, 0.15), 5)
+    n = {(r["split"], r["label"]): r["count"] for r in got.groupBy("split", "label").count().collect()}
+    # no more than one group of ten away from 70, 15 and 15
+    assert {n["train", "a"], n["train", "b"]} <= {70, 80} and {n.get((s, x), 0) for s in ("validation", "test") for x in "ab"} <= {10, 20}
+
+
 def test_assignment(spark):
     rnd = random.Random(7)
     rows = [(i, i // 4 if i >= 400 else 0, rnd.choice(["a", "a", "b", None])) for i in range(4000)]
