@@ -176,6 +176,7 @@ def _classes(chunked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _member_pairs(chunked: DataFrame, least: float) -> DataFrame:
     """(ch, st, overlap) of the records whose classes share enough chunks."""
     classes, members = _classes(chunked)
+    classes = cut(classes, "p3-classes")
     pairs = sharing_pairs(classes.drop("key")).filter(F.col("overlap") >= least)
     # the class of a record is found again by its key: only classes in a pair are looked up
     named = classes.select("key", "id")
@@ -195,6 +196,43 @@ def _needed(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(bounded_broadcast(ids, BROADCAST_ROWS), "record_no", "left_semi")
 
 
+def _sided(evidence: DataFrame) -> DataFrame:
+    """(record_no, is_left, is_right, fp) of the challenge (left) and standard (right) records."""
+    role = role_key(F.col("dataset_role"))
+    rows = evidence.filter(F.col("record_no").isNotNull() & role.isin("challenge", "standard"))
+    return rows.select("record_no", (role == "challenge").alias("is_left"), (role == "standard").alias("is_right"), fingerprint_key(F.col("pair_fingerprint")).alias("fp"))
+
+
+def _print_chunks(sided: DataFrame) -> DataFrame:
+    prints = sided.filter("fp is not null").withColumn("rec", F.struct("record_no", "is_left", "is_right"))
+    return text_chunks(prints, "rec", F.col("fp"), window=8, reach=20).select("rec.*", F.lit(0).alias("tolerance"), F.lit(0).cast("long").alias("salt"), "chunks")
+
+
+def _structural(prepared: DataFrame) -> DataFrame:
+    """(record_no, policy_pack, v): the structural values of full feature rows, without negative zeros."""
+    full = prepared.filter((F.size("features") == WIDTH) & F.col("policy_pack").isNotNull() & ~F.exists("features", lambda x: x.isNull()))
+    places = F.array(*[F.when(F.col("features")[i] == 0, F.lit(0.0)).otherwise(F.col("features")[i]) for i in PLACES])
+    return full.select("record_no", "policy_pack", places.alias("v"))
+
+
+def _feature_chunks(held: DataFrame, sided: DataFrame) -> DataFrame:
+    marked = held.withColumn("salt", F.xxhash64("policy_pack")).withColumn("rec", F.struct("record_no", "salt"))
+    cut_up = vector_chunks(marked, "rec", F.col("v"), F.col("salt")).select("rec.*", "chunks", F.col("widest").alias("tolerance"))
+    flags = sided.groupBy("record_no").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
+    return cut_up.join(flags, "record_no")
+
+
+def contract_fractions(evidence: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(record_no, print_overlap, feature_overlap) of the challenge records: the share of the length of the fingerprint,
+    and of the structural values (under the same policy pack), in chunks that occur in standard records. Null where there
+    is nothing to compare; rows repeated under one number count together."""
+    sided = _sided(evidence)
+    prints = overlap_fractions(cut(_print_chunks(sided), "p3-print-chunks"), "record_no", F.col("is_left"), F.col("is_right"))
+    rows = overlap_fractions(cut(_feature_chunks(_structural(prepared), sided), "p3-row-chunks"), "record_no", F.col("is_left"), F.col("is_right"))
+    left = sided.filter("is_left").select("record_no").distinct()
+    return left.join(prints.select("record_no", F.col("overlap").alias("print_overlap")), "record_no", "left").join(rows.select("record_no", F.col("overlap").alias("feature_overlap")), "record_no", "left")
+
+
 def contract_overlaps(evidence: DataFrame, prepared: DataFrame) -> DataFrame:
     """(record_no_a, record_no_b, kind, overlap, challenge_no) of challenge and standard records, the same or almost.
 
@@ -205,24 +243,16 @@ def contract_overlaps(evidence: DataFrame, prepared: DataFrame) -> DataFrame:
     feature rows of another width are no candidates, negative zero is zero, rows repeated under one number count once;
     a null role means standard, other roles take no part.
     """
-    role = role_key(F.col("dataset_role"))
-    rows = evidence.filter(F.col("record_no").isNotNull() & role.isin("challenge", "standard"))
-    sided = rows.select("record_no", (role == "challenge").alias("is_left"), (role == "standard").alias("is_right"), fingerprint_key(F.col("pair_fingerprint")).alias("fp"))
+    sided = _sided(evidence)
     # (i) fingerprints
-    prints = sided.filter("fp is not null").withColumn("rec", F.struct("record_no", "is_left", "is_right"))
-    chunks = text_chunks(prints, "rec", F.col("fp"), window=8, reach=20).select("rec.*", F.lit(0).alias("tolerance"), F.lit(0).cast("long").alias("salt"), "chunks")
+    chunks = _print_chunks(sided)
     found = cut(_member_pairs(chunks, 1.0), "p3-prints")
     text = cut(_needed(sided.select("record_no", "fp"), found).distinct(), "p3-texts")
     by_print = found.join(text.select(F.col("record_no").alias("ch"), F.col("fp").alias("fl")), "ch").join(text.select(F.col("record_no").alias("st"), F.col("fp").alias("fr")), "st").filter("fl = fr")
     by_print = by_print.select("ch", "st", F.lit("fingerprint").alias("kind"), "overlap")
     # (ii) structural features
-    full = prepared.filter((F.size("features") == WIDTH) & F.col("policy_pack").isNotNull() & ~F.exists("features", lambda x: x.isNull()))
-    places = F.array(*[F.when(F.col("features")[i] == 0, F.lit(0.0)).otherwise(F.col("features")[i]) for i in PLACES])
-    held = full.select("record_no", "policy_pack", places.alias("v"))
-    marked = held.withColumn("salt", F.xxhash64("policy_pack")).withColumn("rec", F.struct("record_no", "salt"))
-    cut_up = vector_chunks(marked, "rec", F.col("v"), F.col("salt")).select("rec.*", "chunks", F.col("widest").alias("tolerance"))
-    flags = sided.groupBy("record_no").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
-    found = cut(_member_pairs(cut_up.join(flags, "record_no"), 0.0), "p3-rows")
+    held = _structural(prepared)
+    found = cut(_member_pairs(_feature_chunks(held, sided), 0.0), "p3-rows")
     values = cut(_needed(held, found).distinct(), "p3-values")
     near = found.join(values.select(F.col("record_no").alias("ch"), F.col("policy_pack").alias("pl"), F.col("v").alias("vl")), "ch").join(values.select(F.col("record_no").alias("st"), F.col("policy_pack").alias("pr"), F.col("v").alias("vr")), "st")
     apart = F.aggregate(F.zip_with("vl", "vr", lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda a, b: a + b)

@@ -52,6 +52,15 @@ select least(a.record_no, b.record_no), greatest(a.record_no, b.record_no) from
 where a.role = 'challenge' and b.role = 'standard' and list_sum(list_transform(list_zip(a.v, b.v), lambda x: case when x[1] = x[2] then 0 else 1 end)) <= 1
 """
 
+P3_REPORT_SQL = f"""
+with found as ({P3_SQL}), rec as (select record_no, max(coalesce(lower(trim(dataset_role, E' \\t\\n\\r')), 'standard')) as dataset_role, min(source) as source, min(nullif({_FP}, '')) as fp from generation_evidence group by record_no),
+prints as (select fp from rec where fp is not null group by fp having bool_or(dataset_role = 'challenge') and bool_or(dataset_role = 'standard')),
+hit as (select record_no, count(*) as pairs from (select record_no_a as record_no from found union all select record_no_b from found) group by 1)
+select dataset_role, source, count(*) as n_records, count(pairs) as n_overlapping,
+  count(*) filter (fp in (select fp from prints) and dataset_role in ('challenge', 'standard')) as n_same_fingerprint, coalesce(sum(pairs), 0)::bigint as n_pairs
+from rec left join hit using (record_no) group by 1, 2
+"""
+
 P6_SQL = """
 with once as (select vec_id, min(coordinates) as coordinates from feature_vectors group by vec_id),
 v as (select vec_id, u.coord_index as i, sum(u.coord_value) as x from (select vec_id, unnest(coordinates) as u from once) group by 1, 2),
@@ -91,6 +100,11 @@ def _packed(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int
     return packing.pack(cut(packing.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "p7-sizes"), "doc_id", capacity), capacity
 
 
+def _by_source(e: DataFrame) -> DataFrame:
+    """Each record once, with its role and source."""
+    return e.groupBy("record_no").agg(F.max(overlap.role_key(F.col("dataset_role"))).alias("dataset_role"), F.min("source").alias("source"))
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
 
@@ -126,16 +140,24 @@ def register(r: Registry) -> None:
         found = overlap.contract_overlaps(table(spark, sf_dir, "generation_evidence"), table(spark, sf_dir, "prepared_records"))
         return found.select("record_no_a", "record_no_b").distinct()
 
-    @r.add("p3_report")
+    @r.add("p3_report", P3_REPORT_SQL)
     def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = table(spark, sf_dir, "generation_evidence")
-        found = overlap.contract_overlaps(e, table(spark, sf_dir, "prepared_records"))
-        hits = found.groupBy(F.col("challenge_no").alias("record_no")).agg(F.max(F.col("kind") == "fingerprint").alias("same"), F.count(F.lit(1)).alias("pairs"))
-        rows = e.groupBy("record_no").agg(F.max(overlap.role_key(F.col("dataset_role"))).alias("dataset_role"), F.min("source").alias("source"))
-        return rows.join(hits, "record_no", "left").groupBy("dataset_role", "source").agg(
+        found = cut(overlap.contract_overlaps(e, table(spark, sf_dir, "prepared_records")), "p3-found")
+        sides = found.select(F.explode(F.array("record_no_a", "record_no_b")).alias("record_no"), F.when(F.col("record_no_a") == F.col("challenge_no"), F.col("record_no_b")).otherwise(F.col("record_no_a")).alias("standard_no"), "challenge_no", "kind")
+        hits = sides.groupBy("record_no").agg(F.max(F.col("kind") == "fingerprint").alias("same"), F.countDistinct("challenge_no", "standard_no").alias("pairs"))
+        return _by_source(e).join(hits, "record_no", "left").groupBy("dataset_role", "source").agg(
             F.count(F.lit(1)).alias("n_records"), F.count("pairs").alias("n_overlapping"), F.sum(F.when(F.col("same"), 1).otherwise(0)).alias("n_same_fingerprint"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs")
         )
 
+    @r.add("p3_fractions")
+    def p3_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = table(spark, sf_dir, "generation_evidence")
+        shares = overlap.contract_fractions(e, table(spark, sf_dir, "prepared_records"))
+        return shares.join(_by_source(e), "record_no").groupBy("dataset_role", "source").agg(
+            F.count(F.lit(1)).alias("n_records"), F.round(F.avg("print_overlap"), 6).alias("print_overlap"), F.round(F.avg("feature_overlap"), 6).alias("feature_overlap"), F.sum(F.when(F.col("feature_overlap") >= 0.5, 1).otherwise(0)).alias("n_half_shared")
+        )
+
     @r.add("p4_found")
     def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         groups = format_dedup.format_duplicates(table(spark, sf_dir, "generated_pairs"), "pair_no", PAIR_FIELDS)

@@ -71,5 +71,13 @@ def test_pairs_against_brute_force(spark):
         got = {(r["record_no_a"], r["record_no_b"]) for r in overlap.contract_overlaps(e, p).collect()}
         assert got == want
     overlap.BROADCAST_ROWS = 200_000
+    shares = {r["record_no"]: r for r in overlap.contract_fractions(e, p).collect()}
+    roles = {n: (r or "standard").strip().lower() for n, r, _ in evidence if n is not None}
+    assert set(shares) == {n for n, r in roles.items() if r == "challenge"}
+    same = {n: f.lower().replace(" ", "").removeprefix("sha256:") for n, _, f in evidence if n is not None and f and f.strip()}
+    known = {same[n] for n in same if roles[n] == "standard"}
+    for n, r in shares.items():
+        assert (r["print_overlap"] is None) == (n not in same) and (n not in same or (same[n] in known) <= (r["print_overlap"] == 1.0))
+        assert r["feature_overlap"] is None or 0 <= r["feature_overlap"] <= 1
     assert overlap.contract_overlaps(e.filter("false"), p).count() == 0
     assert overlap.contract_overlaps(e, p.filter("false")).filter("kind = 'features'").count() == 0
