@@ -84,8 +84,10 @@ def document(rnd, depth=0):
     return [rnd.randrange(5), rnd.choice(["red", "grün", "x y"]), rnd.choice([None, True, 0.5])][kind]
 
 
-def test_groups_against_canonical_form(spark, monkeypatch):
-    monkeypatch.setattr(format_dedup, "SLICE", 15)
+@pytest.mark.parametrize("slice_,broadcast", [(15, 500_000), (20_000, 1)])
+def test_groups_against_canonical_form(spark, monkeypatch, slice_, broadcast):
+    monkeypatch.setattr(format_dedup, "SLICE", slice_)
+    monkeypatch.setattr(format_dedup, "BROADCAST_ROWS", broadcast)
     rnd = random.Random(5)
     docs = [document(rnd) for _ in range(40)]
     rows = []
@@ -105,9 +107,16 @@ def test_groups_against_canonical_form(spark, monkeypatch):
     assert format_dedup.format_duplicates(df.filter("false"), "n", fields).count() == 0
 
 
+def test_escapes_are_read_in_place():
+    same = format_dedup.same_folded
+    assert same("a\\u00e9 \\n\\\"B", "A\u00c9b", escaped=True) and same("\\ud835\\udc00x", "\U0001d400X", escaped=True)
+    assert not same("\\ud835x", "dx", escaped=True) and same("\\ud835x", "X", escaped=True) and same("\\u12", "u12", escaped=True)
+    assert same("xx ab-", "A.B!", 2, 6, 0, 4) and not same("ab", "abc") and same("", " .")
+
+
 def test_hash_collisions_are_told_apart(spark, monkeypatch):
     real = format_dedup._hashed
-    monkeypatch.setattr(format_dedup, "_hashed", lambda *a: real(*a).selectExpr("_id", "0L as h1", "0L as h2"))
+    monkeypatch.setattr(format_dedup, "_hashed", lambda *a: real(*a).selectExpr("_id", "_raw", "0L as h1", "0L as h2"))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "c"), (5, "B"), (6, "d")], "n long, t string")
     got = {r["n"]: r["kept"] for r in format_dedup.format_duplicates(df, "n", ["t"]).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 2, 6: 6}
