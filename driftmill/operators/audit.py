@@ -58,16 +58,6 @@ def profile_coverage(df: DataFrame, profiles: tuple[str, ...] = ("open", "closed
     return F.broadcast(grid).join(n, "profile", "left").select("profile", F.coalesce("n_families", F.lit(0)).alias("n_families"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
 
 
-def readiness(df: DataFrame, label: str, least_families: int = 3) -> DataFrame:
-    """(check, passed, value): the aggregates a generalisation verdict rests on; it is ready where all pass."""
-    a = df.agg(
-        F.count(F.lit(1)).alias("records"), F.countDistinct("family_id").alias("families"), F.countDistinct("policy_pack").alias("policies"), F.countDistinct("mutation").alias("mutations"),
-        F.countDistinct(label).alias("labels"), F.sum(F.when(F.col(label).isNull(), 1).otherwise(0)).alias("unlabelled"), F.countDistinct("root_object_profile").alias("profiles"),
-    )
-    checks = [("records", F.col("records") > 0, F.col("records")), ("families", F.col("families") >= least_families, F.col("families")), ("policies", F.col("policies") >= 3, F.col("policies")), ("labels", F.col("labels") >= 2, F.col("labels")), ("unlabelled", F.coalesce("unlabelled", F.lit(0)) == 0, F.coalesce("unlabelled", F.lit(0))), ("profiles", F.col("profiles") >= 2, F.col("profiles"))]
-    return a.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), p.alias("passed"), v.cast("long").alias("value")) for n, p, v in checks])).alias("x")).select("x.*")
-
-
 def challenge_view(df: DataFrame, policy: str | None = None, mutation: str | None = None) -> DataFrame:
     """Challenge records, of one policy or change; none at all is an error for whoever needs some (``required``)."""
     out = df.filter(F.lower(F.trim("dataset_role")) == "challenge")
@@ -99,6 +89,23 @@ def without_held_out(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.filter(F.col(column).isNull() | (F.col(column) != value))
 
 
+def peer_variant_exists(df: DataFrame, mutation: str, variant: str) -> bool:
+    """Whether training records hold the change in another structural variant (mutation_variant, or the root profile)."""
+    from driftmill.functions.labels import variant_key
+
+    key = variant_key(F.col("mutation"), F.col("root_object_profile"), F.col("mutation_variant"))
+    return bool(df.filter((F.col("mutation") == mutation) & ~key.eqNullSafe(F.lit(variant))).limit(1).collect())
+
+
+def peer_variants(df: DataFrame) -> DataFrame:
+    """(mutation, variant, has_peer): ``peer_variant_exists`` for every variant of ``df`` at once."""
+    from driftmill.functions.labels import variant_key
+
+    rows = df.filter("mutation is not null").select("mutation", variant_key(F.col("mutation"), F.col("root_object_profile"), F.col("mutation_variant")).alias("variant")).distinct()
+    n = rows.groupBy("mutation").agg(F.count(F.lit(1)).alias("_n"))
+    return rows.filter("variant is not null").join(n, "mutation").select("mutation", "variant", (F.col("_n") > 1).alias("has_peer"))
+
+
 def protocols(df: DataFrame) -> DataFrame:
     """(protocol): normal, each policy and each change held out, and paired policies, as the records allow."""
     p = df.filter("policy_pack is not null").select(F.concat(F.lit("held-out-policy:"), "policy_pack").alias("protocol")).distinct()

@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmill.functions.hashing import canonical, loads
@@ -145,20 +145,15 @@ def with_profile(text: str | None, profile: str) -> str | None:
     return json.dumps({**v, "additionalProperties": profile == "open"}, separators=(",", ":"), ensure_ascii=False)
 
 
-def json_operations(base: object, candidate: object) -> list[tuple[str, str, str | None, str | None]]:
-    """(operation, path, before, after): added, removed and changed members, by sorted key; arrays are one value."""
-    out, todo = [], [("", base, candidate)]
+def json_operations(base: object, candidate: object) -> list[tuple[str, list[str], str | None, str | None]]:
+    """(operation, path, before, after): added, removed and changed members, by sorted key; arrays are one value. A path
+    is the list of its names, which may hold any character."""
+    out: list[tuple[str, list[str], str | None, str | None]] = []
+    todo: list[tuple[list[str], object, object]] = [([], base, candidate)]
     while todo:
         path, a, b = todo.pop()
         if isinstance(a, dict) and isinstance(b, dict):
-            for k in sorted({*a, *b}, reverse=True):
-                at = f"{path}/{k}"
-                if k not in b:
-                    todo.append((at, a[k], ...))
-                elif k not in a:
-                    todo.append((at, ..., b[k]))
-                else:
-                    todo.append((at, a[k], b[k]))
+            todo.extend(([*path, k], a.get(k, ...), b.get(k, ...)) for k in sorted({*a, *b}, reverse=True))
         elif b is ...:
             out.append(("remove", path, canonical(a), None))
         elif a is ...:
@@ -168,9 +163,11 @@ def json_operations(base: object, candidate: object) -> list[tuple[str, str, str
     return out
 
 
-def _generate(df: DataFrame, keep: list[str], inputs: dict[str, str], fields: str, make) -> DataFrame:
+def generate_rows(df: DataFrame, keep: list[str], inputs: dict[str, str], fields: str, make) -> DataFrame:
     names = [f.split()[0] for f in fields.split(", ")]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    known = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    arrow = [known[f.split()[1]] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,14 +179,14 @@ def _generate(df: DataFrame, keep: list[str], inputs: dict[str, str], fields: st
                         rows.append(r)
                         for c, v in zip(cols, (n, *got)):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(rows, pa.int64())) for k in keep], *[pa.array(c, pa.int32() if i == 0 else pa.string()) for i, c in enumerate(cols)]], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(rows, pa.int64())) for k in keep], *[pa.array(c, kind) for c, kind in zip(cols, arrow)]], names=[*keep, *names])
 
     return spread(df.select(*keep, *[F.col(c).alias(i) for i, c in inputs.items()])).mapInArrow(run, f"{kinds}, {fields}")
 
 
 def candidate_table(df: DataFrame, keep: list[str], schema: str) -> DataFrame:
     """``keep`` plus (ordinal, kind, variant, candidate) for every change that applies."""
-    return _generate(df, keep, {"_schema": schema}, "ordinal int, kind string, variant string, candidate string", candidates)
+    return generate_rows(df, keep, {"_schema": schema}, "ordinal int, kind string, variant string, candidate string", candidates)
 
 
 def operation_table(df: DataFrame, keep: list[str], base: str, candidate: str) -> DataFrame:
@@ -201,16 +198,43 @@ def operation_table(df: DataFrame, keep: list[str], base: str, candidate: str) -
         except (ValueError, RecursionError):
             return []
 
-    return _generate(df, keep, {"_a": base, "_b": candidate}, "ordinal int, operation string, path string, before string, after string", make)
+    return generate_rows(df, keep, {"_a": base, "_b": candidate}, "ordinal int, operation string, path array<string>, before string, after string", make)
 
 
-#: Keywords that carry no constraint. Fixed values.
-METADATA = ("title", "description", "examples", "default", "deprecated", "$comment")
+#: Keywords that carry no constraint, and those that do. Fixed values.
+METADATA = ("description", "title", "example", "examples", "externalDocs")
+CONSTRAINTS = (
+    "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "minItems",
+    "maxItems", "uniqueItems", "minProperties", "maxProperties", "additionalProperties", "nullable", "format",
+)
 
 
-def classify_operations(ops: DataFrame, by: list[str]) -> DataFrame:
-    """``by`` plus the kind of its change: metadata-only, single-type-change, compound or unmapped."""
-    leaf = F.element_at(F.split("path", "/"), -1)
-    return ops.groupBy(*by).agg(F.count(F.lit(1)).alias("n_operations"), F.sum(F.when(leaf.isin(*METADATA), 1).otherwise(0)).alias("_meta"), F.sum(F.when((leaf == "type") & (F.col("operation") == "change"), 1).otherwise(0)).alias("_type")).select(
-        *by, "n_operations", F.when(F.col("_meta") == F.col("n_operations"), "metadata-only").when((F.col("_type") == 1) & (F.col("n_operations") - F.col("_meta") == 1), "single-type-change").when(F.col("n_operations") - F.col("_meta") > 1, "compound").otherwise("unmapped").alias("change_class")
-    )
+def operation_kind() -> Column:
+    """What one operation changes: a property added or removed, a type, an enumeration, a constraint, or nothing known."""
+    path, leaf = F.col("path"), F.element_at("path", -1)
+    from_end = F.array_position(F.reverse(path), F.lit("properties"))  # the last "properties" is the second name from the end
+    return (
+        F.when((from_end == 2) & (F.col("operation") == "add"), "FIELD_ADDED").when((from_end == 2) & (F.col("operation") == "remove"), "FIELD_REMOVED")
+        .when((leaf == "type") & (F.col("operation") == "change"), "TYPE_CHANGED").when(leaf == "enum", "ENUM_CHANGED")
+        .when(leaf.isin(*CONSTRAINTS, "required"), "CONSTRAINT_OR_RESTRICTION_CHANGED").otherwise("UNMAPPED")
+    )
+
+
+def is_metadata(prefixes: tuple[str, ...] = ()) -> Column:
+    """Whether a name anywhere on the path is metadata, or begins with one of ``prefixes``."""
+    return F.exists("path", lambda s: s.isin(*METADATA) | F.greatest(F.lit(False), F.lit(False), *[s.startswith(p) for p in prefixes]))
+
+
+def classify_operations(ops: DataFrame, by: list[str], prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """``by`` plus (n_operations, decision, kinds): METADATA_ONLY, the kind of the only other operation
+    (UNMAPPED_SINGLE_CHANGE where it has none), or COMPOUND. Groups without operations have no row."""
+    kind = F.when(~is_metadata(prefixes), operation_kind())
+    per = ops.withColumn("_kind", kind).groupBy(*by).agg(F.count(F.lit(1)).alias("n_operations"), F.count("_kind").alias("_n"), F.sort_array(F.collect_set("_kind")).alias("kinds"))
+    only = F.get("kinds", F.lit(0))
+    decision = F.when(F.col("_n") == 0, "METADATA_ONLY").when(F.col("_n") > 1, "COMPOUND").when(only == "UNMAPPED", "UNMAPPED_SINGLE_CHANGE").otherwise(only)
+    return per.select(*by, "n_operations", decision.alias("decision"), "kinds")
+
+
+def allowed_variants(table: DataFrame, allowed: DataFrame, seed: str = "unique_id") -> DataFrame:
+    """Candidates whose (seed, variant) is listed in ``allowed``; a seed that is not listed has none."""
+    return table.join(allowed.select(seed, "variant").distinct(), [seed, "variant"], "left_semi")

@@ -54,8 +54,11 @@ def unique(df: DataFrame, keys: tuple[str, ...], what: str) -> DataFrame:
     return df
 
 
-def merge_runs(left: DataFrame, right: DataFrame, identity: tuple[str, ...] = ("family_id", "mutation", "mutation_variant", "profile", "mode", "policy_pack"), same: tuple[str, ...] = ("oracle_hash", "policy_hash")) -> DataFrame:
-    """Both reports' runs; they must come from the same oracle and policies and share no run."""
+def merge_runs(left: DataFrame, right: DataFrame, identity: tuple[str, ...] = ("family_id", "mutation", "mutation_variant", "profile", "mode", "policy_pack"), same: tuple[str, ...] = ("oracle_hash", "policy_hash"), thresholds: tuple[dict, dict] | None = None) -> DataFrame:
+    """Both reports' runs; they must come from the same oracle and policies, rest on the same ``thresholds`` (one mapping for
+    each report) and share no run."""
+    if thresholds is not None and thresholds[0] != thresholds[1]:
+        raise ValueError("the reports rest on different thresholds")
     both = left.unionByName(right)
     odd = both.agg(*[F.countDistinct(c).alias(c) for c in same]).first()
     if any((odd[c] or 0) > 1 for c in same):

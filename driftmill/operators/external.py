@@ -9,35 +9,23 @@ from driftmill.functions.signatures import signature_key, structural
 from driftmill.operators.metrics import stratified_accuracy
 from driftmill.operators.models import score
 
-#: What a manifest row may be used for. Fixed values.
-USES = ("accuracy-bearing", "traceability-only", "rejected-v9-overlap")
-REQUIRED = ("record_id", "source", "family_id", "policy_pack", "external_use")
-
-
-def manifest_problems(manifest: DataFrame) -> DataFrame:
-    """(record_id, problem): blank required fields, unknown uses and repeated ids; none where a manifest is sound."""
-    blank = [F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(f"blank {c}")) for c in REQUIRED]
-    use = F.when(~F.coalesce(F.col("external_use").isin(*USES), F.lit(False)), F.lit("unknown external_use"))
-    rows = manifest.select("record_id", F.explode(F.array_compact(F.array(*blank, use))).alias("problem"))
-    twice = manifest.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("record_id", F.lit("repeated record_id").alias("problem"))
-    return rows.unionByName(twice)
-
-
-def contamination(external: DataFrame, corpus: DataFrame) -> DataFrame:
+def contamination(external: DataFrame, corpus: DataFrame, order: str | None = None) -> DataFrame:
     """``external`` plus ``reasons``: which of source, family, pair and feature row the corpus holds already, and
-    whether an earlier row of the manifest has the same pair.
+    whether an earlier row of the manifest has the same pair. Rows stand in the order of ``order``: manifest_no where there
+    is one, else record_id.
 
     Both: record_id, source, family_id, pair_fingerprint, features. Each membership is a join with distinct keys.
     """
+    order = order or ("manifest_no" if "manifest_no" in external.columns else "record_id")
     rows = external.withColumn("_full", signature_key(F.transform("features", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))).withColumn("_sig", signature_key(structural(F.col("features"))))
     known = corpus.withColumn("_full", signature_key(F.transform("features", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))).withColumn("_sig", signature_key(structural(F.col("features"))))
     for column in ("source", "family_id", "pair_fingerprint", "_full", "_sig"):
         keys = known.filter(F.col(column).isNotNull()).select(column).distinct().withColumn(f"_has_{column}", F.lit(True))
         rows = rows.join(keys, column, "left")
-    firsts = external.filter("pair_fingerprint is not null").groupBy("pair_fingerprint").agg(F.min("record_id").alias("_first"))
+    firsts = external.filter("pair_fingerprint is not null").groupBy("pair_fingerprint").agg(F.min(order).alias("_first"))
     rows = rows.join(firsts, "pair_fingerprint", "left")
     names = {"source": "source", "family_id": "family", "pair_fingerprint": "pair", "_full": "feature row", "_sig": "structural row"}
-    told = [F.when(F.col(f"_has_{c}"), F.lit(f"{n} is in the corpus")) for c, n in names.items()] + [F.when(F.col("record_id") > F.col("_first"), F.lit("pair occurs earlier"))]
+    told = [F.when(F.col(f"_has_{c}"), F.lit(f"{n} is in the corpus")) for c, n in names.items()] + [F.when(F.col(order) > F.col("_first"), F.lit("pair occurs earlier"))]
     return rows.withColumn("reasons", F.array_compact(F.array(*told))).select(*external.columns, "reasons")
 
 

@@ -89,8 +89,8 @@ def summed_confusion(cells: DataFrame, by: str) -> DataFrame:
     return cells.groupBy(by, "actual", "predicted").agg(F.sum("n").alias("n"))
 
 
-def bucket_rule(df: DataFrame, bucket: Column, label: str) -> DataFrame:
-    """(bucket, predicted): each bucket's commoner label of two; a tie is an error."""
+def bucket_rule(df: DataFrame, bucket: Column, label: str, tie_is_error: bool = True) -> DataFrame:
+    """(bucket, predicted, ones, zeros): each bucket's commoner label of two; a tie is an error, or null."""
     n = df.groupBy(bucket.alias("bucket")).agg(_n(F.col(label) == 1).alias("ones"), _n(F.col(label) == 0).alias("zeros"))
-    tie = F.raise_error(F.lit("a bucket is tied")).cast("int")
+    tie = (F.raise_error(F.lit("a bucket is tied")) if tie_is_error else F.lit(None)).cast("int")
     return n.select("bucket", F.when(F.col("ones") > F.col("zeros"), 1).when(F.col("ones") < F.col("zeros"), 0).otherwise(tie).alias("predicted"), "ones", "zeros")

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmill.functions.labels import CLASSES
-from driftmill.operators import audit
+from driftmill.operators import audit, metrics
+from driftmill.operators.schema_diff import WIDTHS
 from driftmill.runtime import cut
 
 #: Rows of one training set; training is sequential by its definition, so one model's rows lie in one task.
@@ -164,31 +165,51 @@ def from_artifact(text: str) -> tuple[Network, np.ndarray, np.ndarray, dict]:
     order = d.get("class_order")
     if order is not None and [str(c).lower() for c in order] != list(CLASSES):
         raise ValueError("unknown class order")
+    outputs, head = net.weights[-1].shape[0], net.activations[-1]
+    if d.get("kind") == "three-way" and (outputs != len(CLASSES) or head != "softmax"):
+        raise ValueError("a three-way model needs a softmax head of three outputs")
+    if outputs == 1 and head == "softmax":
+        raise ValueError("one output needs another head than softmax")
+    width = WIDTHS.get(str(d.get("feature_version", "")).rsplit("-", 1)[-1])
+    if width is not None and width != len(means):
+        raise ValueError("the scaler does not fit the feature version")
+    threshold = d.get("threshold")
+    if threshold is not None and not 0 <= float(threshold) <= 1:
+        raise ValueError("the threshold is no probability")
+    if not all(np.isfinite(v).all() for v in (*net.weights, *net.biases, means, dev)):
+        raise ValueError("parameters must be finite")
     return net, means, dev, d
 
 
-def train_models(rows: DataFrame, job: list[str], order: str, hidden: tuple[int, ...] = (12, 6), epochs: int = 100, batch: int = 16, rate: float = 0.05) -> DataFrame:
-    """(job, model, train_loss, n_train): a three-way model for every job, in parallel across jobs, exact in each.
+def train_models(rows: DataFrame, job: list[str], order: str, hidden: tuple[int, ...] = (12, 6), epochs: int = 100, batch: int = 16, rate: float = 0.05, optimizer: str = "sgd", threshold: float = 0.5) -> DataFrame:
+    """(job, model, train_loss, validation_loss, n_train): a model for every job, in parallel across jobs, exact in each.
 
-    rows: job columns, ``order``, partition, features, target (array of 3). The scaler is fitted on training rows.
+    rows: job columns, ``order``, partition, features, target: arrays of 3 make three-way models with a softmax head, arrays
+    of 1 binary ones with a sigmoid head and ``threshold``. The scaler is fitted on training rows; validation rows, where
+    there are any, are only looked at.
     """
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in job)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_TRAINING_ROWS:
             raise ValueError("too many rows for one sequential training")
+        kept = pdf[pdf["partition"] == "validation"].sort_values(order)
         pdf = pdf[pdf["partition"] == "train"].sort_values(order)
         head = {c: [pdf[c].iloc[0] if len(pdf) else None] for c in job}
         if not len(pdf):
-            return pd.DataFrame({**head, "model": [None], "train_loss": [None], "n_train": [0]})
+            return pd.DataFrame({**head, "model": [None], "train_loss": [None], "validation_loss": [None], "n_train": [0]})
         x, t = np.stack(pdf["features"].to_numpy()).astype(float), np.stack(pdf["target"].to_numpy()).astype(float)
         means, dev = x.mean(0), x.std(0)
         dev[dev == 0] = 1.0
-        net = initial([x.shape[1], *hidden, t.shape[1]], "softmax")
-        history = train(net, (x - means) / dev, t, epochs, batch, Optimizer("sgd", rate))
-        return pd.DataFrame({**head, "model": [artifact(net, means, dev, f"width-{x.shape[1]}", "three-way")], "train_loss": [history[-1][0] if history else None], "n_train": [len(x)]})
+        binary = t.shape[1] == 1
+        net = initial([x.shape[1], *hidden, t.shape[1]], "sigmoid" if binary else "softmax")
+        seen = ((np.stack(kept["features"].to_numpy()).astype(float) - means) / dev, np.stack(kept["target"].to_numpy()).astype(float)) if len(kept) else None
+        history = train(net, (x - means) / dev, t, epochs, batch, Optimizer(optimizer, rate), seen)
+        text = artifact(net, means, dev, f"width-{x.shape[1]}", "binary" if binary else "three-way", threshold if binary else None)
+        last = history[-1] if history else (None, None)
+        return pd.DataFrame({**head, "model": [text], "train_loss": [last[0]], "validation_loss": [last[1]], "n_train": [len(x)]})
 
-    return rows.select(*job, order, "partition", "features", "target").groupBy(*job).applyInPandas(fit, f"{kinds}, model string, train_loss double, n_train long")
+    return rows.select(*job, order, "partition", "features", "target").groupBy(*job).applyInPandas(fit, f"{kinds}, model string, train_loss double, validation_loss double, n_train long")
 
 
 def score(rows: DataFrame, keep: list[str], features: str, models: list[tuple[str, str]], each: str | None = None) -> DataFrame:
@@ -215,8 +236,10 @@ def score(rows: DataFrame, keep: list[str], features: str, models: list[tuple[st
                 if x.shape[1] != len(means):
                     raise ValueError("features of another version")
                 y = net.predict((x - means) / dev)
+                if not np.isfinite(y).all() or (y.shape[1] == 1 and ((y < 0) | (y > 1)).any()):
+                    raise ValueError("a prediction is no probability")
                 if y.shape[1] == 1:
-                    threshold = d.get("threshold") or 0.5
+                    threshold = 0.5 if d.get("threshold") is None else float(d["threshold"])
                     label = [str(int(v >= threshold)) for v in y[:, 0]]
                 else:
                     last = y.shape[1] - 1 - np.argmax(y[:, ::-1], 1)  # among equals the last class
@@ -312,3 +335,48 @@ def experiment(records: DataFrame, protocols: list[str], split: DataFrame, group
     tests = rows.filter(F.col("protocol").isin(list(protocols)) & (F.col("partition") == "test"))
     scored = score(tests, ["protocol", "label"], "features", sorted(by.items()), "protocol")
     return scored.groupBy("protocol").agg(F.count(F.lit(1)).alias("n_test"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
+
+
+def pipeline(records: DataFrame, split: DataFrame, group: str, order: str, thresholds: tuple[float, ...] = (), **how) -> dict[str, DataFrame]:
+    """One training run over whole groups: ``model`` (a row), ``scored`` rows of validation and test, ``metrics`` by
+    partition, and for binary models the ``thresholds`` over the validation rows and the ``baselines`` on the test rows.
+
+    records: role, label, features, target (array of 3 or 1), ``group``, ``order``; only standard records with a place in
+    ``split`` (group, partition) take part.
+    """
+    rows = cut(records.filter("role = 'standard'").join(split, group).withColumn("job", F.lit("run")), "pipeline")
+    made = cut(train_models(rows, ["job"], order, **how), "model")
+    got = made.filter("model is not null").select("model").first()
+    if got is None:
+        raise ValueError("no training rows")
+    kept = rows.filter("partition <> 'train'")
+    scored = cut(score(kept, ["partition", "label", order], "features", [("run", got["model"])]), "scored")
+    if json.loads(got["model"])["kind"] != "binary":
+        hits = scored.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
+        return {"model": made, "scored": scored, "metrics": hits, "confusion": metrics.confusion_cells(scored.filter("partition = 'test'"), "label", "predicted")}
+    told = scored.withColumns({"p": F.col("predicted").cast("int"), "t": (F.col("label") == "breaking").cast("int"), "score": F.get("probabilities", F.lit(0))})
+    common = rows.filter("partition = 'train'").agg((2 * F.sum((F.col("label") == "breaking").cast("int")) > F.count(F.lit(1))).cast("int").alias("majority")).first()["majority"] or 0
+    test = told.filter("partition = 'test'")
+    return {
+        "model": made, "scored": told, "metrics": metrics.classification(metrics.confusion(told, F.col("p"), F.col("t"), "partition")),
+        "thresholds": metrics.threshold_sweep(told.filter("partition = 'validation'"), F.col("score"), F.col("t"), list(thresholds)),
+        "baselines": metrics.baseline_comparison(test, F.col("t"), {"model": F.col("p"), "majority": F.lit(common)}),
+    }
+
+
+def binary_experiment(records: DataFrame, splits: DataFrame, group: str, order: str, **how) -> DataFrame:
+    """(seed, part, tp, fp, tn, fn, accuracy, precision, recall, f1): a binary model for each seed on the standard records
+    of its own split (splits: seed, group, partition), judged on its test rows and on all challenge records.
+
+    All seeds train side by side and are scored in one pass. records as for ``pipeline``, target an array of 1.
+    """
+    seeds = splits.select("seed").distinct()
+    placed = records.filter("role = 'standard'").join(splits, group).select(*records.columns, "seed", "partition")
+    challenge = records.filter("role = 'challenge'").join(F.broadcast(seeds)).withColumn("partition", F.lit("challenge")).select(*records.columns, "seed", "partition")
+    rows = cut(placed.unionByName(challenge).withColumn("seed", F.col("seed").cast("string")), "binary")
+    made = train_models(rows, ["seed"], order, **how).filter("model is not null").select("seed", "model").collect()  # a model each
+    if not made:
+        raise ValueError("no training rows")
+    scored = score(rows.filter("partition in ('test', 'challenge')"), ["seed", "partition", "label"], "features", sorted((m["seed"], m["model"]) for m in made), "seed")
+    told = metrics.confusion(scored, F.col("predicted").cast("int"), (F.col("label") == "breaking").cast("int"), "seed", "partition")
+    return metrics.classification(told).withColumnRenamed("partition", "part")

@@ -47,10 +47,16 @@ def parse_packs(text: str) -> tuple[str | None, dict[str, dict[str, str]]]:
     return (default.strip().lower() if default and default.strip() else None), packs
 
 
-def resolve(spark: SparkSession, packs: dict[str, dict[str, str]]) -> DataFrame:
-    """(pack, rule, rule_no, action): each pack is the rules' own defaults under its overrides."""
+def resolve(spark: SparkSession, packs: dict[str, dict[str, str]], default: str | None = None) -> DataFrame:
+    """(pack, rule, rule_no, action): each pack is the rules' own defaults under its overrides. With a ``default``, which must
+    be one of the packs, also whether the pack is it (is_default)."""
     rows = [(p, r, i, o.get(r, DEFAULTS[r])) for p, o in packs.items() for i, r in enumerate(RULES)]
-    return spark.createDataFrame(rows or [], "pack string, rule string, rule_no int, action string")
+    table = spark.createDataFrame(rows or [], "pack string, rule string, rule_no int, action string")
+    if default is None:
+        return table
+    if default not in packs:
+        raise ValueError(f"the default pack {default} is not among the packs")
+    return table.withColumn("is_default", F.col("pack") == default)
 
 
 def action_rows(resolved: DataFrame) -> DataFrame:

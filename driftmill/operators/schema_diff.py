@@ -1,7 +1,7 @@
 """Differences of two JSON Schemas as versioned numeric features.
 
-Each document is parsed once, in Arrow batches, into a map of property nodes and a few root facts; everything else is
-map and array expressions over one row, so a pair never has to be shuffled to be compared.
+Each pair is parsed once, in Arrow batches, into the nodes both documents have and what else each has by name; everything
+else is array expressions over one row, so a pair never has to be shuffled to be compared.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftmill.functions.hashing import canonical, loads
-from driftmill.runtime import spread
+from driftmill.runtime import bounded_broadcast, spread
 
 #: Constraint keywords by kind and root keywords that are compared. Fixed values.
 LOWER = ("minimum", "exclusiveMinimum", "minLength", "minItems", "minProperties")
@@ -28,6 +28,8 @@ STRUCTURE_NAMES = (
     "enum_definitions_added", "enum_definitions_removed", "constraint_tightened", "constraint_relaxed", "conditional_changed",
     "one_of_changed", "any_of_changed", "all_of_changed", "not_changed", "additional_properties_tightened", "additional_properties_relaxed",
 )
+#: Policy packs that are broadcast at most; more are joined by a shuffle.
+MAX_PACKS = 10_000
 WIDTHS = {"v1": 8, "v2": 28, "v3": 39, "v4": 38, "v5": 59, "v6": 76}
 
 NODE = T.StructType([
@@ -35,10 +37,13 @@ NODE = T.StructType([
     T.StructField("enums", T.ArrayType(T.StringType())), T.StructField("lower", T.ArrayType(T.DoubleType())), T.StructField("upper", T.ArrayType(T.DoubleType())),
     T.StructField("other", T.ArrayType(T.StringType())), T.StructField("closed", T.BooleanType()),
 ])
-DOC = T.StructType([
-    T.StructField("nodes", T.MapType(T.StringType(), NODE)), T.StructField("required", T.ArrayType(T.StringType())), T.StructField("depth", T.IntegerType()),
-    T.StructField("root", T.ArrayType(T.StringType())), T.StructField("closed", T.BooleanType()), T.StructField("top", T.MapType(T.StringType(), NODE)),
-    T.StructField("top_required", T.ArrayType(T.StringType())),
+BOTH = T.ArrayType(T.StructType([T.StructField("l", NODE), T.StructField("r", NODE)]))
+_TEXTS = T.ArrayType(T.StringType())
+#: A pair of documents: what each side has by name, and the nodes of what both sides have, found once.
+PAIR = T.StructType([
+    T.StructField("b_names", _TEXTS), T.StructField("c_names", _TEXTS), T.StructField("both", BOTH), T.StructField("b_required", _TEXTS), T.StructField("c_required", _TEXTS),
+    T.StructField("depth", T.IntegerType()), T.StructField("b_root", _TEXTS), T.StructField("c_root", _TEXTS), T.StructField("b_closed", T.BooleanType()), T.StructField("c_closed", T.BooleanType()),
+    T.StructField("b_top", _TEXTS), T.StructField("c_top", _TEXTS), T.StructField("top_both", BOTH), T.StructField("top_types", _TEXTS), T.StructField("top_required", _TEXTS),
 ])
 
 
@@ -87,31 +92,40 @@ def flatten(text: str | None) -> dict | None:
         properties = root.get("properties") if isinstance(root.get("properties"), dict) else None
         names = root.get("required") if isinstance(root.get("required"), list) else []
         return {
-            "nodes": list(nodes.items()), "required": sorted(required), "depth": deepest,
+            "nodes": nodes, "required": sorted(required), "depth": deepest,
             "root": [canonical(root[k]) if k in root else None for k in ROOT], "closed": root.get("additionalProperties") is False,
-            "top": None if properties is None else [(k, _node(c)) for k, c in properties.items()], "top_required": sorted({n for n in names if isinstance(n, str)}),
+            "top": {} if properties is None else {k: nodes[k] for k in properties}, "top_required": sorted({n for n in names if isinstance(n, str)}),
         }
     except (ValueError, RecursionError):
         return None
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+def pair(base: str | None, candidate: str | None) -> dict | None:
+    """The two documents side by side (PAIR); None if one is no JSON. ``top_types``: the types of added root properties."""
+    b, c = flatten(base), flatten(candidate)
+    if b is None or c is None:
+        return None
+    both = lambda x, y: [{"l": n, "r": y[k]} for k, n in x.items() if k in y]
+    return {
+        "b_names": list(b["nodes"]), "c_names": list(c["nodes"]), "both": both(b["nodes"], c["nodes"]), "b_required": b["required"], "c_required": c["required"],
+        "depth": c["depth"], "b_root": b["root"], "c_root": c["root"], "b_closed": b["closed"], "c_closed": c["closed"], "b_top": list(b["top"]), "c_top": list(c["top"]),
+        "top_both": both(b["top"], c["top"]), "top_types": [n["type"] for k, n in c["top"].items() if k not in b["top"]], "top_required": c["top_required"],
+    }
 
 
 def parsed(df: DataFrame, keep: list[str], base: str, candidate: str) -> DataFrame:
-    """``keep`` plus the flattened documents ``b`` and ``c``; null where a text is no JSON."""
-    out = T.StructType([df.schema[k] for k in keep] + [T.StructField("b", DOC), T.StructField("c", DOC)])
-    doc = _arrow(DOC)
+    """``keep`` plus ``pair``, the two documents side by side; null where one is no JSON."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out = T.StructType([df.schema[k] for k in keep] + [T.StructField("pair", PAIR)])
+    kind = to_arrow_type(PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                sides = [pa.array([flatten(t) for t in b.column(s).to_pylist()], doc) for s in ("_base", "_cand")]
-                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *sides], names=[*keep, "b", "c"])
+                pairs = pa.array([pair(x, y) for x, y in zip(b.column("_base").to_pylist(), b.column("_cand").to_pylist())], kind)
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pairs], names=[*keep, "pair"])
 
     return spread(df.select(*keep, F.col(base).alias("_base"), F.col(candidate).alias("_cand"))).mapInArrow(run, out)
 
@@ -128,11 +142,6 @@ def _size(a: Column) -> Column:
     return F.greatest(F.size(a), F.lit(0)).cast("double")
 
 
-def _shared(b: Column, c: Column) -> Column:
-    """array<struct<l, r>> of the nodes both sides have."""
-    return F.transform(F.filter(F.map_keys(b), lambda k: F.map_contains_key(c, k)), lambda k: F.struct(F.element_at(b, k).alias("l"), F.element_at(c, k).alias("r")))
-
-
 def _tighter(x: Column, y: Column, lower: bool) -> Column:
     return (x.isNull() & y.isNotNull()) | F.coalesce((y > x) if lower else (y < x), F.lit(False))
 
@@ -155,42 +164,32 @@ def _widens(before: Column, after: Column) -> Column:
     return (F.size(F.array_except(before, after)) == 0) | exact
 
 
-def structure(b: Column, c: Column) -> list[Column]:
+def structure(p: Column) -> list[Column]:
     """The 24 structural values."""
-    bn, cn = F.map_keys(b["nodes"]), F.map_keys(c["nodes"])
-    both = _shared(b["nodes"], c["nodes"])
+    bn, cn, both = p["b_names"], p["c_names"], p["both"]
     types_differ = lambda n: ~n["l"]["types"].eqNullSafe(n["r"]["types"])
-    root_differs = lambda i: ~F.get(b["root"], F.lit(i)).eqNullSafe(F.get(c["root"], F.lit(i)))
     tight = lambda n: _count(n["l"]["lower"], n["r"]["lower"], lambda x, y: _tighter(x, y, True)) + _count(n["l"]["upper"], n["r"]["upper"], lambda x, y: _tighter(x, y, False)) + _count(n["l"]["other"], n["r"]["other"], _changed_to)
     loose = lambda n: _count(n["l"]["lower"], n["r"]["lower"], lambda x, y: _looser(x, y, True)) + _count(n["l"]["upper"], n["r"]["upper"], lambda x, y: _looser(x, y, False)) + _count(n["l"]["other"], n["r"]["other"], lambda x, y: x.isNotNull() & y.isNull())
     return [
-        _size(cn), _size(F.array_except(cn, bn)), _size(F.array_except(bn, cn)), _sum(both, lambda n: _one(n["l"]["text"] != n["r"]["text"])), c["depth"].cast("double"),
-        _size(c["required"]), _size(F.array_except(c["required"], b["required"])), _size(F.array_except(b["required"], c["required"])),
+        _size(cn), _size(F.array_except(cn, bn)), _size(F.array_except(bn, cn)), _sum(both, lambda n: _one(n["l"]["text"] != n["r"]["text"])), p["depth"].cast("double"),
+        _size(p["c_required"]), _size(F.array_except(p["c_required"], p["b_required"])), _size(F.array_except(p["b_required"], p["c_required"])),
         _sum(both, lambda n: _one(types_differ(n))),
         _sum(both, lambda n: _one(types_differ(n) & _widens(n["l"]["types"], n["r"]["types"]))),
         _sum(both, lambda n: _one(types_differ(n) & _widens(n["r"]["types"], n["l"]["types"]))),
         _sum(both, lambda n: _size(F.array_except(n["r"]["enums"], n["l"]["enums"]))), _sum(both, lambda n: _size(F.array_except(n["l"]["enums"], n["r"]["enums"]))),
         _sum(both, lambda n: _one((F.size(n["l"]["enums"]) == 0) & (F.size(n["r"]["enums"]) > 0))), _sum(both, lambda n: _one((F.size(n["l"]["enums"]) > 0) & (F.size(n["r"]["enums"]) == 0))),
-        _sum(both, tight), _sum(both, loose), *[_one(root_differs(i)) for i in range(5)],
+        _sum(both, tight), _sum(both, loose), *[_one(~F.get(p["b_root"], F.lit(i)).eqNullSafe(F.get(p["c_root"], F.lit(i)))) for i in range(5)],
         _sum(both, lambda n: _one(~n["l"]["closed"] & n["r"]["closed"])), _sum(both, lambda n: _one(n["l"]["closed"] & ~n["r"]["closed"])),
     ]
 
 
-def root_additions(b: Column, c: Column) -> list[Column]:
+def root_additions(p: Column) -> list[Column]:
     """Added root fields by type (6) and root restrictions (5)."""
-    old = F.coalesce(F.map_keys(b["top"]), F.array().cast("array<string>"))
-    added = F.filter(F.map_values(F.map_filter(c["top"], lambda k, v: ~F.array_contains(old, k))), lambda v: v.isNotNull())
-    added = F.coalesce(added, F.array().cast(T.ArrayType(NODE)))
     known = [k for g in TYPE_GROUPS for k in g]
-    by_type = [_typed(added, group) for group in TYPE_GROUPS]
-    rest = _sum(added, lambda v: _one(~F.coalesce(v["type"].isin(*known), F.lit(False))))
-    at = lambda d, k: F.get(d["root"], F.lit(ROOT.index(k)))
-    moved = lambda k: _changed_to(at(b, k), at(c, k))
-    return [*by_type, rest, _one(~b["closed"] & c["closed"]), _one(moved("propertyNames")), _one(moved("dependentRequired")), _one(moved("dependentSchemas")), _one(moved("patternProperties") | moved("not") | moved("unevaluatedProperties"))]
-
-
-def _typed(nodes: Column, group: tuple[str, ...]) -> Column:
-    return _sum(nodes, lambda v: _one(F.coalesce(v["type"].isin(*group), F.lit(False))))
+    of = lambda group: _sum(p["top_types"], lambda t: _one(F.coalesce(t.isin(*group), F.lit(False))))
+    rest = _sum(p["top_types"], lambda t: _one(~F.coalesce(t.isin(*known), F.lit(False))))
+    moved = lambda k: _changed_to(F.get(p["b_root"], F.lit(ROOT.index(k))), F.get(p["c_root"], F.lit(ROOT.index(k))))
+    return [*map(of, TYPE_GROUPS), rest, _one(~p["b_closed"] & p["c_closed"]), _one(moved("propertyNames")), _one(moved("dependentRequired")), _one(moved("dependentSchemas")), _one(moved("patternProperties") | moved("not") | moved("unevaluatedProperties"))]
 
 
 def active_rules(s: Column, r: Column) -> list[Column]:
@@ -199,16 +198,14 @@ def active_rules(s: Column, r: Column) -> list[Column]:
     return [on(2), on(8), on(6), on(12, 14), on(11, 13), on(15), on(17), on(22) | (F.greatest(*[r[i] for i in range(6, 11)]) > 0)]
 
 
-def optional_context(b: Column, c: Column) -> list[Column]:
-    old = F.coalesce(F.map_keys(b["top"]), F.array().cast("array<string>"))
-    new = F.coalesce(F.map_keys(c["top"]), F.array().cast("array<string>"))
-    added = _size(F.array_except(F.array_except(new, old), c["top_required"]))
-    return [_one(b["closed"]), _one(c["closed"]), added, F.when(c["closed"], added).otherwise(0.0)]
+def optional_context(p: Column) -> list[Column]:
+    added = _size(F.array_except(F.array_except(p["c_top"], p["b_top"]), p["top_required"]))
+    return [_one(p["b_closed"]), _one(p["c_closed"]), added, F.when(p["c_closed"], added).otherwise(0.0)]
 
 
-def constraint_subtypes(b: Column, c: Column) -> list[Column]:
+def constraint_subtypes(p: Column) -> list[Column]:
     """Of root properties both sides have: tightened ones by type (4), by keyword (5), and with several keywords."""
-    both = F.coalesce(_shared(b["top"], c["top"]), F.array().cast(T.ArrayType(T.StructType([T.StructField("l", NODE), T.StructField("r", NODE)]))))
+    both = p["top_both"]
     lower = lambda n: _count(n["l"]["lower"], n["r"]["lower"], lambda x, y: _tighter(x, y, True))
     upper = lambda n: _count(n["l"]["upper"], n["r"]["upper"], lambda x, y: _tighter(x, y, False))
     other = lambda n, i: _one(_changed_to(F.get(n["l"]["other"], F.lit(i)), F.get(n["r"]["other"], F.lit(i))))
@@ -222,40 +219,52 @@ def _total(kinds: Column, field: str) -> Column:
     return _sum(kinds, lambda k: k[field])
 
 
-def extract(df: DataFrame, keep: list[str], base: str, candidate: str, version: str, pack: str | None = None, actions: DataFrame | None = None) -> DataFrame:
-    """``keep`` plus ``features``, the values of the given version; null where a text is no JSON.
+def measured(df: DataFrame, keep: list[str], base: str, candidate: str, version: str) -> DataFrame:
+    """``keep`` plus what of the version's values does not depend on a policy: _s, _r and _more, null where a text is no
+    JSON. Made once for a pair, however many packs it is looked at under."""
+    if version not in WIDTHS or version == "v1":
+        raise ValueError(f"no schema features of version {version}")
+    p, pair_ = parsed(df, keep, base, candidate), F.col("pair")
+    parts = {"_s": structure(pair_)}
+    if version != "v2":
+        parts["_r"] = root_additions(pair_)
+    if version == "v6":
+        parts["_more"] = [*optional_context(pair_), *constraint_subtypes(pair_)]
+    return p.select(*keep, *[F.when(pair_.isNotNull(), F.array(*v)).alias(n) for n, v in parts.items()])
 
-    v2 and v3 hold the pack's name as four values, v4 its action on added enum values (3), v5 and v6 all its actions
-    (24); ``actions`` is the table of policy.action_rows, joined by broadcast (a row for each pack). A pack that is not
-    in it is an error, as it has no actions.
-    """
-    p = parsed(df, keep, base, candidate)
+
+def featured(m: DataFrame, keep: list[str], version: str, pack: str | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """``keep`` plus ``features`` of measured pairs under the pack each row names; see ``extract``."""
     if pack is not None and pack not in keep:
         raise ValueError("the pack must be among the columns kept")
-    b, c = F.col("b"), F.col("c")
-    ok = b.isNotNull() & c.isNotNull()
-    p = p.withColumn("_s", F.when(ok, F.array(*structure(b, c))))
-    if version != "v2":
-        p = p.withColumn("_r", F.when(ok, F.array(*root_additions(b, c))))
     if version in ("v2", "v3"):
         name = F.col(pack) if pack else F.lit(None).cast("string")
         known = ("baseline", "strict", "relaxed")
         coded = [_one(F.coalesce(name == k, F.lit(False))) for k in known] + [_one(~F.coalesce(name.isin(*known), F.lit(False)))]
         policy = F.array(*coded)
-    elif version in ("v4", "v5", "v6"):
+    else:
         if actions is None or pack is None:
             raise ValueError(f"{version} needs a pack column and the packs' actions")
-        p = p.join(F.broadcast(actions.select(F.col("pack").alias("_pack"), F.col("actions").alias("_actions"), F.col("one_hot").alias("_hot"))), F.lower(F.trim(F.col(pack))) == F.col("_pack"), "left")
+        table = bounded_broadcast(actions.select(F.col("pack").alias("_pack"), F.col("actions").alias("_actions"), F.col("one_hot").alias("_hot")), MAX_PACKS)
+        m = m.join(table, F.lower(F.trim(F.col(pack))) == F.col("_pack"), "left")
         hot = F.when(F.col("_hot").isNull(), F.raise_error(F.concat(F.lit("unknown policy pack: "), F.coalesce(F.col(pack), F.lit("null"))))).otherwise(F.col("_hot"))
         policy = F.slice(hot, 13, 3) if version == "v4" else hot
-    else:
-        raise ValueError(f"no schema features of version {version}")
     parts = [F.col("_s"), policy] + ([F.col("_r")] if version != "v2" else [])
     if version == "v6":
         rules = F.array(*active_rules(F.col("_s"), F.col("_r")))
         acts = [F.aggregate(F.zip_with(rules, "_actions", lambda on, a: _one(on & (a == k))), F.lit(0.0), lambda s, v: s + v) for k in ("IGNORE", "WARNING", "BREAKING")]
-        parts += [F.array(*acts), F.array(*optional_context(b, c)), F.array(*constraint_subtypes(b, c))]
-    return p.select(*keep, F.when(ok, F.concat(*parts)).alias("features"))
+        parts += [F.array(*acts), F.col("_more")]
+    return m.select(*keep, F.when(F.col("_s").isNotNull(), F.concat(*parts)).alias("features"))
+
+
+def extract(df: DataFrame, keep: list[str], base: str, candidate: str, version: str, pack: str | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """``keep`` plus ``features``, the values of the given version; null where a text is no JSON.
+
+    v2 and v3 hold the pack's name as four values, v4 its action on added enum values (3), v5 and v6 all its actions
+    (24); ``actions`` is the table of policy.action_rows, a row for each pack, broadcast up to MAX_PACKS. A pack that is
+    not in it is an error, as it has no actions.
+    """
+    return featured(measured(df, keep, base, candidate, version), keep, version, pack, actions)
 
 
 def is_valid(features: Column, version: str) -> Column:

@@ -138,11 +138,14 @@ def source_priority(candidates: DataFrame, by: str) -> DataFrame:
     return candidates.groupBy(by).agg(F.min(F.when(F.col("kind") == "enum_value_added", 0).otherwise(1)).alias("priority"))
 
 
-def top_sample(df: DataFrame, id_col: str, n: int, seed: int, priority: Column | None = None) -> DataFrame:
-    """The first n ids by (priority, 64-bit rank of the id, id); rows of one id are one, the last content wins."""
+def top_sample(df: DataFrame, id_col: str, n: int, seed: int, priority: Column | None = None, order: str | None = None) -> DataFrame:
+    """The first n ids by (priority, 64-bit rank of the id, id). Rows of one id are one: the last by ``order`` wins, or the
+    greatest content where there is none."""
     rank = fnv_rank(F.col(id_col), seed)
     rows = df.filter(F.trim(id_col) != "").withColumn("_p", F.lit(0) if priority is None else priority).withColumn("_rank", rank)
-    return rows.dropDuplicates([id_col]).orderBy("_p", "_rank", id_col).limit(n).drop("_p")
+    others = F.struct(*[c for c in rows.columns if c != id_col])
+    one = rows.groupBy(id_col).agg((F.max(others) if order is None else F.max_by(others, F.struct(order, others))).alias("_x")).select(id_col, "_x.*")
+    return one.orderBy("_p", "_rank", id_col).limit(n).select(*rows.columns).drop("_p")
 
 
 def balanced_sample(df: DataFrame, id_col: str, profile: str, n: int, seed: int, priority: Column | None = None) -> DataFrame:
@@ -156,24 +159,10 @@ def balanced_sample(df: DataFrame, id_col: str, profile: str, n: int, seed: int,
 def quota(df: DataFrame, stratum: list[str], order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each stratum in order; a stratum is thinned in 64 parts before it is ranked."""
     part = F.pmod(F.xxhash64(*order), F.lit(64))
-    inner = F.row_number().over(Window.partitionBy(*stratum, "_part").orderBy(*order))
-    few = df.withColumn("_part", part).withColumn("_r", inner).filter(F.col("_r") <= most)
+    inner = F.row_number().over(Window.partitionBy(*stratum, "_quota_part").orderBy(*order))
+    few = df.withColumn("_quota_part", part).withColumn("_quota_rank", inner).filter(F.col("_quota_rank") <= most)
     outer = F.row_number().over(Window.partitionBy(*stratum).orderBy(*order))
-    return few.withColumn("_r", outer).filter(F.col("_r") <= most).drop("_r", "_part")
-
-
-def retain(rows: list[dict], per_stratum: int, per_outcome: int | None) -> list[dict]:
-    """The exact sequential rule: in declared order, a row is kept unless its fingerprint is kept already or its stratum
-    or outcome is full. Order and both caps interact, so this is a fold; ``quota`` is the distributed rule with one cap."""
-    kept, seen, strata, outcomes = [], set(), {}, {}
-    for r in rows:
-        s, o = r["stratum"], r["outcome"]
-        if r["fingerprint"] in seen or strata.get(s, 0) >= per_stratum or (per_outcome is not None and outcomes.get(o, 0) >= per_outcome):
-            continue
-        seen.add(r["fingerprint"])
-        strata[s], outcomes[o] = strata.get(s, 0) + 1, outcomes.get(o, 0) + 1
-        kept.append(r)
-    return kept
+    return few.withColumn("_quota_rank", outer).filter(F.col("_quota_rank") <= most).drop("_quota_rank", "_quota_part")
 
 
 def reserve_missing(df: DataFrame, label: str, order: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftmill.functions import hashing, signatures, vectors
 from driftmill.operators import audit, candidates, external, metrics, models, policy, scaling, schema_diff, similarity
+from driftmill.plans import schema_sql
 from driftmill.plans.record_queries import records
 from driftmill.plans.registry import Registry
 from driftmill.runtime import cut, table
@@ -15,6 +16,7 @@ from driftmill.sources import fixtures
 
 #: The reference's own for run-three-way-experiments.
 SEEDS, EPOCHS = (20260826, 20260827, 20260828), 100
+MODES = ("BACKWARD", "FORWARD", "FULL")
 
 _V = "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)"
 _PREP = "with p as (select record_no, min(features) as f, min(policy_pack) as policy_pack from prepared_records where len(features) = 76 group by record_no)"
@@ -31,7 +33,7 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("record_no").agg(F.min("features").alias("features"), F.min("policy_pack").alias("policy_pack"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "generated_pairs")
     return p.groupBy("pair_no").agg(F.min(F.struct("base_schema", "candidate_schema", "policy_pack")).alias("x")).select("pair_no", "x.*")
 
@@ -49,6 +51,24 @@ s as (select pair_no, sum((lt is distinct from rt)::int) as type_changes, sum(le
 """
 
 
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = records(spark, sf_dir).select("record_no", "family_id", "mutation", F.coalesce("dataset_role", F.lit("standard")).alias("role"), F.coalesce("compatibility_label", F.lit("safe")).alias("label"))
+    from driftmill.functions.labels import one_hot
+
+    return cut(_prepared(spark, sf_dir).join(rec, "record_no").withColumn("target", one_hot(F.col("label"))), "training")
+
+def protocol_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows with what protocols hold out, in one spelling; a record without a family is one of its own."""
+    spelt = lambda c, a, b: F.translate(F.lower(F.trim(c)), a, b).alias(c)
+    form = records(spark, sf_dir).select("record_no", spelt("mutation_variant", "_", "-"), "root_object_profile")
+    rows = training_rows(spark, sf_dir).join(form, "record_no")
+    return cut(rows.withColumns({"policy_pack": spelt("policy_pack", "_", "-"), "mutation": spelt("mutation", "-", "_"), "family_id": F.coalesce("family_id", F.concat(F.lit("record:"), F.col("record_no").cast("string")))}), "protocol-records")
+
+def hashed_split(rows: DataFrame, *seed: int) -> DataFrame:
+    part = F.pmod(F.xxhash64("family_id", *map(F.lit, seed)), F.lit(20))
+    return rows.filter("family_id is not null").select("family_id").distinct().withColumn("partition", F.when(part < 14, "train").when(part < 17, "validation").otherwise("test"))
+
+
 def register(r: Registry) -> None:
     @r.add("vector_norms", _V + " select vec_id, round(sqrt(list_dot_product(v, v)), 4) as magnitude, round(list_dot_product(v, list_reverse(v)), 4) as with_reverse, round(v[1], 4) as first from e")
     def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,29 +185,37 @@ def register(r: Registry) -> None:
 
     @r.add("schema_diff_counts", _JSON + " select k.pair_no, len(ck) as field_count, len(list_filter(ck, lambda x: not list_contains(bk, x))) as fields_added, len(list_filter(bk, lambda x: not list_contains(ck, x))) as fields_removed, len(list_distinct(cr)) as required_field_count, len(list_filter(list_distinct(cr), lambda x: not list_contains(br, x))) as required_fields_added, len(list_filter(list_distinct(br), lambda x: not list_contains(cr, x))) as required_fields_removed, coalesce(type_changes, 0)::bigint as type_changes, coalesce(enum_values_added, 0)::bigint as enum_values_added, coalesce(enum_values_removed, 0)::bigint as enum_values_removed from k left join s using (pair_no)")
     def schema_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = schema_diff.extract(_pairs(spark, sf_dir), ["pair_no"], "base_schema", "candidate_schema", "v2")
+        x = schema_diff.extract(pairs_once(spark, sf_dir), ["pair_no"], "base_schema", "candidate_schema", "v2")
         at = {n: i for i, n in enumerate(schema_diff.STRUCTURE_NAMES)}
         names = ("field_count", "fields_added", "fields_removed", "required_field_count", "required_fields_added", "required_fields_removed", "type_changes", "enum_values_added", "enum_values_removed")
         return x.select("pair_no", *[F.col("features")[at[n]].cast("long").alias(n) for n in names])
 
-    @r.add("schema_features_v3")
-    def schema_features_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return schema_diff.extract(_pairs(spark, sf_dir), ["pair_no", "policy_pack"], "base_schema", "candidate_schema", "v3", "policy_pack")
+    def written(df: DataFrame) -> DataFrame:
+        """Features as a text of whole numbers: all are counts."""
+        return df.withColumn("features", F.array_join(F.transform("features", lambda x: x.cast("long").cast("string")), " "))
+
+    def unresolved(name: str, version: str) -> None:
+        @r.add(name, schema_sql.rows(version))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return written(schema_diff.extract(pairs_once(spark, sf_dir), ["pair_no", "policy_pack"], "base_schema", "candidate_schema", version, "policy_pack"))
+
+    for version in ("v2", "v3"):
+        unresolved(f"schema_features_{version}", version)
 
     def pack_column(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.replace(F.lower(F.trim("policy_pack")), F.lit("_"), F.lit("-"))
-        return _pairs(spark, sf_dir).withColumn("policy_pack", policy.requested_pack(name, list(policy.NAMED_PACKS), "baseline"))
+        return pairs_once(spark, sf_dir).withColumn("policy_pack", policy.requested_pack(name, list(policy.NAMED_PACKS), "baseline"))
 
     def versioned(name: str, version: str) -> None:
-        @r.add(name)
+        @r.add(name, schema_sql.rows(version))
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             acts = policy.action_rows(policy.resolve(spark, policy.NAMED_PACKS))
-            return schema_diff.extract(pack_column(spark, sf_dir), ["pair_no", "policy_pack"], "base_schema", "candidate_schema", version, "policy_pack", acts)
+            return written(schema_diff.extract(pack_column(spark, sf_dir), ["pair_no", "policy_pack"], "base_schema", "candidate_schema", version, "policy_pack", acts))
 
     for version in ("v4", "v5", "v6"):
         versioned(f"schema_features_{version}", version)
 
-    @r.add("active_actions")
+    @r.add("active_actions", schema_sql.ACTIVE_ACTIONS)
     def active_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Heuristic labels from the actions of active rules, summed by policy; never an oracle's label."""
         acts = policy.action_rows(policy.resolve(spark, policy.NAMED_PACKS))
@@ -197,42 +225,16 @@ def register(r: Registry) -> None:
 
     @r.add("schema_candidates")
     def schema_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return candidates.candidate_table(_pairs(spark, sf_dir), ["pair_no"], "base_schema")
-
-    @r.add("schema_operations")
-    def schema_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return candidates.operation_table(_pairs(spark, sf_dir), ["pair_no"], "base_schema", "candidate_schema")
-
-    @r.add("operation_classes")
-    def operation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ops = candidates.operation_table(_pairs(spark, sf_dir), ["pair_no"], "base_schema", "candidate_schema")
-        return candidates.classify_operations(ops, ["pair_no"])
+        return candidates.candidate_table(pairs_once(spark, sf_dir), ["pair_no"], "base_schema")
 
     @r.add("canonical_json")
     def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _pairs(spark, sf_dir).select("pair_no", F.sha2(hashing.canonical_json(F.col("base_schema")), 256).alias("base_sha256"))
+        return pairs_once(spark, sf_dir).select("pair_no", F.sha2(hashing.canonical_json(F.col("base_schema")), 256).alias("base_sha256"))
 
     @r.add("fixture_features", "select record_id, field_count::double as field_count, score::double as score, risk_score::double as risk_score from (values " + ", ".join(f"('{x[0]}', {x[3]}.0, {dict(compatible=0.0, unknown=0.5, incompatible=1.0)[x[7]]}, {0.8 if x[10] else 0.15})" for x in fixtures.ROWS) + ") t(record_id, field_count, score, risk_score)")
     def fixture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fixtures.prepared(fixtures.contract_changes(spark)).select("record_id", F.col("features")[0].alias("field_count"), F.col("features")[4].alias("score"), "risk_score")
 
-    def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rec = records(spark, sf_dir).select("record_no", "family_id", "mutation", F.coalesce("dataset_role", F.lit("standard")).alias("role"), F.coalesce("compatibility_label", F.lit("safe")).alias("label"))
-        from driftmill.functions.labels import one_hot
-
-        return cut(_prepared(spark, sf_dir).join(rec, "record_no").withColumn("target", one_hot(F.col("label"))), "training")
-
-    def protocol_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Training rows with what protocols hold out, in one spelling; a record without a family is one of its own."""
-        spelt = lambda c, a, b: F.translate(F.lower(F.trim(c)), a, b).alias(c)
-        form = records(spark, sf_dir).select("record_no", spelt("mutation_variant", "_", "-"), "root_object_profile")
-        rows = training_rows(spark, sf_dir).join(form, "record_no")
-        return cut(rows.withColumns({"policy_pack": spelt("policy_pack", "_", "-"), "mutation": spelt("mutation", "-", "_"), "family_id": F.coalesce("family_id", F.concat(F.lit("record:"), F.col("record_no").cast("string")))}), "protocol-records")
-
-    def hashed_split(rows: DataFrame, *seed: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("family_id", *map(F.lit, seed)), F.lit(20))
-        return rows.filter("family_id is not null").select("family_id").distinct().withColumn("partition", F.when(part < 14, "train").when(part < 17, "validation").otherwise("test"))
-
     @r.add("protocol_experiment")
     def protocol_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = protocol_records(spark, sf_dir)
@@ -266,34 +268,21 @@ def register_commands(r: Registry) -> None:
     from driftmill.operators import admission
     from driftmill.plans import commands
 
-    @r.add("schema_admission")
-    def schema_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _pairs(spark, sf_dir).select("pair_no", admission.admission(F.col("base_schema")).alias("error"))
-
-    @r.add("source_profiles")
-    def source_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-        @F.pandas_udf("string")
-        def profile(s: pd.Series) -> pd.Series:
-            return s.map(candidates.root_profile)
-
-        return _pairs(spark, sf_dir).groupBy(profile("base_schema").alias("profile")).agg(F.count(F.lit(1)).alias("n"))
-
     @r.add("isolation_manifest")
     def isolation_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return admission.isolation_manifest(_pairs(spark, sf_dir).select(F.col("pair_no").cast("string").alias("family_id"), F.col("base_schema").alias("schema")), ["baseline", "strict"])
+        return admission.isolation_manifest(pairs_once(spark, sf_dir).select(F.col("pair_no").cast("string").alias("family_id"), F.col("base_schema").alias("schema")), list(policy.NAMED_PACKS))
 
     @r.add("generated_records")
     def generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-        schemas = _pairs(spark, sf_dir).select(F.col("pair_no").cast("string").alias("unique_id"), F.col("base_schema").alias("json_schema"))
-        packs = policy.resolve(spark, {p: policy.NAMED_PACKS[p] for p in ("baseline", "strict", "relaxed")})
-        made = commands.generate(schemas, packs, ["BACKWARD"], None, 0.2, 20260826)
+        schemas = pairs_once(spark, sf_dir).select(F.col("pair_no").cast("string").alias("unique_id"), F.col("base_schema").alias("json_schema"))
+        made = commands.generate(schemas, policy.resolve(spark, policy.NAMED_PACKS), list(MODES), None, 0.2, 20260826)
         return made.groupBy("kind", "policy_pack", "dataset_role", "compatibility_label", "label_source").agg(F.count(F.lit(1)).alias("n"))
 
     @r.add("refeatured_records")
     def refeatured_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-        schemas = _pairs(spark, sf_dir).select(F.col("pair_no").cast("string").alias("unique_id"), F.col("base_schema").alias("json_schema"))
+        schemas = pairs_once(spark, sf_dir).select(F.col("pair_no").cast("string").alias("unique_id"), F.col("base_schema").alias("json_schema"))
         packs = policy.resolve(spark, policy.NAMED_PACKS)
-        old = candidates.candidate_table(schemas, ["unique_id"], "json_schema").select(F.concat_ws(":", "unique_id", "ordinal").alias("record_id"), F.col("unique_id").alias("family_id"), "kind", "variant", F.lit("baseline").alias("policy_pack"))
+        old = candidates.candidate_table(schemas, ["unique_id"], "json_schema").select(F.concat_ws(":", "unique_id", "ordinal").alias("record_id"), F.col("unique_id").alias("family_id"), "kind", "variant", F.explode(F.array(*map(F.lit, policy.NAMED_PACKS))).alias("policy_pack"))
         return commands.refeature(old, schemas, packs).select("record_id", "policy_pack", "features")
 
     @r.add("coverage_status", "with rec as (select record_no, min(family_id) as family_id, min(lower(trim(mutation))) as mutation, min(lower(trim(policy_pack))) as policy_pack, coalesce(min(lower(trim(dataset_role))), 'standard') as role from generation_evidence group by 1) select 'records' as target, count(*) as reached, 100::bigint as wanted, count(*) >= 100 as met from rec union all select 'standard_families', count(distinct family_id), 10, count(distinct family_id) >= 10 from rec where role = 'standard' union all select 'challenge_families', count(distinct family_id), 5, count(distinct family_id) >= 5 from rec where role = 'challenge' union all select 'complete_pairs', count(*), 1, count(*) >= 1 from (select family_id, mutation from rec group by 1, 2 having count(distinct policy_pack) >= 3)")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmill.operators import evidence, policy
+from driftmill.operators import evidence, integrity, policy
 
 S, D, B = T.StringType(), T.DoubleType(), T.BooleanType()
 
@@ -56,7 +58,9 @@ def prepared_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     doc = spark.read.schema(PREPARED).option("multiLine", True).json(path)
     meta = doc.select("format_version", "dataset_version", "feature_version", "benchmark_ready")
     r = doc.select("feature_version", F.explode("records").alias("r")).select("feature_version", "r.*").withColumn("dataset_role", F.coalesce("dataset_role", F.lit("standard")))
-    return r, meta
+    empty = {f.name: F.lit(0) if f.name == "generation_seed" else F.lit("") for f in GENERATION if f.name not in ("root_object_profile", "oracle_invariant_rationale")}
+    filled = F.struct(*[F.coalesce(F.col(f"generation.{f.name}"), empty[f.name].cast(f.dataType)).alias(f.name) if f.name in empty else F.col(f"generation.{f.name}") for f in GENERATION])
+    return r.withColumn("generation", F.when(F.col("generation").isNotNull(), filled)), meta
 
 
 def record_problems(records: DataFrame, width: int) -> DataFrame:
@@ -73,9 +77,14 @@ def record_problems(records: DataFrame, width: int) -> DataFrame:
     return one.unionByName(twice)
 
 
-def conformance_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, cells): the raw runs of a report of any version; aggregates are derived again, never trusted."""
+def conformance_json(spark: SparkSession, path: str, versions: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(runs, cells): the raw runs of a report; aggregates are derived again, never trusted. A format_version that is not in
+    ``versions`` is an error when it is read."""
     doc = spark.read.schema(T.StructType([T.StructField("format_version", S), T.StructField("runs", T.ArrayType(RUN))])).option("multiLine", True).json(path)
+    if versions is not None:
+        known = F.coalesce(F.col("format_version").isin(*versions), F.lit(False))
+        wrong = F.raise_error(F.concat(F.lit("unknown format_version: "), F.coalesce("format_version", F.lit("null")))).cast(T.ArrayType(RUN))
+        doc = doc.withColumn("runs", F.when(known, F.col("runs")).otherwise(wrong))
     runs = doc.select(F.explode("runs").alias("r")).select("r.*").withColumnsRenamed({"mutation_family": "mutation", "compatibility_mode": "mode"})
     return runs, evidence.cells(runs)
 
@@ -88,15 +97,22 @@ def promotion_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def policy_json(spark: SparkSession, path: str) -> DataFrame:
-    """(pack, rule, rule_no, action) of a pack file; a small document, read as one row."""
+    """(pack, rule, rule_no, action) of a pack file, and is_default where it names a default pack; a small document."""
     text = spark.read.option("wholetext", True).text(path).first()[0]
-    return policy.resolve(spark, policy.parse_packs(text)[1])
+    default, packs = policy.parse_packs(text)
+    return policy.resolve(spark, packs, default)
 
 
 def manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    fields = dict.fromkeys(("record_id", "source", "source_kind", "source_url", "source_license", "source_path", "family_id", "contract_id", "old_version", "new_version", "policy_pack", "mutation_id", "external_use", "base_schema", "candidate_schema"), S)
+    """The transitions of a manifest with their place in it (manifest_no); its summary is read by ``manifest_summary``."""
+    fields = dict.fromkeys(("source_kind", "external_use", "base_schema", "candidate_schema", *integrity.REQUIRED), S)
     doc = spark.read.schema(T.StructType([T.StructField("format_version", S), T.StructField("transitions", T.ArrayType(_struct(**fields)))])).option("multiLine", True).json(path)
-    return doc.select(F.explode("transitions").alias("t")).select("t.*")
+    return doc.select(F.posexplode("transitions").alias("manifest_no", "t")).select("manifest_no", "t.*")
+
+
+def manifest_summary(spark: SparkSession, path: str) -> dict:
+    """The summary of a manifest, a small object."""
+    return json.loads(spark.read.option("wholetext", True).text(path).first()[0]).get("summary") or {}
 
 
 def model_json(spark: SparkSession, path: str) -> list[tuple[str, str]]:

@@ -27,6 +27,16 @@ def test_generate_and_refeature(spark):
     assert [r["compatibility_label"] for r in told.filter("label_source = 'recorded'").collect()] == ["safe"]
     assert commands.generate(schemas, packs(spark), ["BACKWARD"], None, 0.0, 1, per_stratum=1).count() < made.count()
     rows = made.select(F.concat_ws(":", "unique_id", "kind", "variant", "policy_pack").alias("record_id"), F.col("unique_id").alias("family_id"), "kind", "variant", "policy_pack", F.col("features").alias("old"))
+    marked = made.select(F.concat_ws(":", "unique_id", "kind", "variant", "policy_pack").alias("record_id"), F.col("unique_id").alias("family_id"), "kind", "variant", "policy_pack", "mode", "pair_fingerprint", F.lit("recorded").alias("oracle_hash"))
+    assert commands.refeature(marked, schemas, packs(spark), "recorded").count() == made.count()
+    with pytest.raises(ValueError):
+        commands.refeature(marked, schemas, packs(spark), "other")
+    with pytest.raises(Exception, match="another pair"):
+        commands.refeature(marked.withColumn("pair_fingerprint", F.lit("0")), schemas, packs(spark), "recorded").collect()
+    numbered = made.withColumn("seed_no", F.lit(1))
+    kept, report = commands.retained(numbered, "seed_no", ["p", "q"], 1)
+    assert kept.groupBy("policy_pack", "kind", "compatibility_label").count().filter("count > 1").count() == 0
+    assert {r["decision"]: r["n"] for r in report.collect()} == {"retained": kept.count(), "over quota": made.count() - kept.count()}
     again = commands.refeature(rows, schemas, packs(spark))
     assert again.count() == made.count() and again.filter("old <> features").count() == 0
     with pytest.raises(Exception, match="no candidate"):
@@ -34,7 +44,9 @@ def test_generate_and_refeature(spark):
 
 
 def test_admission():
-    good = [SCHEMA, '{"type": ["string", "null"]}']
+    good = [SCHEMA, '{"type": ["string", "null"]}', '{"type": "object", "x-any": 1, "minProperties": 2.0, "patternProperties": {"^a": true}}']
+    wrong = {'{"type": "string", "minLength": -1}': "$.minLength", '{"type": "number", "multipleOf": 0}': "$.multipleOf", '{"type": "string", "pattern": "("}': "$.pattern", '{"type": "object", "required": ["a", "a"]}': "$.required", '{"type": "object", "allOf": []}': "$.allOf", '{"type": "object", "properties": {"a": 3}}': "$.properties.a"}
+    assert {t: admission.admission_error(t) for t in wrong} == {t: f"INVALID_SCHEMA: {at}" for t, at in wrong.items()}
     assert all(admission.admission_error(t) is None for t in good)
     bad = {"{": "INVALID_SCHEMA: $", "{}": "UNSUPPORTED_SCHEMA: $", '{"type": "text"}': "INVALID_SCHEMA: $", '{"type": "object", "additionalProperties": {}}': "UNSUPPORTED_SCHEMA: $", '{"type": "array", "items": {"$ref": "#"}}': "UNSUPPORTED_SCHEMA: $.items"}
     assert {t: admission.admission_error(t) for t in bad} == bad and admission.admission_error(None) == "INVALID_SCHEMA: $"
@@ -55,11 +67,11 @@ def test_shadow_predict(spark):
 
 
 def test_gates(spark):
-    ready = spark.createDataFrame([("x", True, 1)], "check string, passed boolean, value long")
+    ready = spark.createDataFrame([("x", 1, False)], "fact string, value long, failed boolean")
     meta = spark.createDataFrame([("d", None)], "dataset_version string, benchmark_ready boolean")
     assert commands.promote_benchmark_ready(meta, ready).first()["benchmark_ready"]
     with pytest.raises(ValueError):
-        commands.promote_benchmark_ready(meta, ready.withColumn("passed", F.lit(False)))
+        commands.promote_benchmark_ready(meta, ready.withColumn("failed", F.lit(True)))
     with pytest.raises(ValueError):
         commands.run_experiments(meta, [], (0.7, 0.15, 0.15), [1], "g", "o", False)
     rows = admission.isolation_manifest(spark.createDataFrame([("f", '{"properties": {"r": {"$ref": "#/x"}}}'), ("g", "no")], "family_id string, schema string"), ["p", "q"])

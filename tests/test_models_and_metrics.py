@@ -72,6 +72,11 @@ def test_artifact_round_trip(spark):
     with pytest.raises(ValueError):
         models.from_artifact(json.dumps({**json.loads(text), "class_order": ["breaking", "warning", "safe"]}))
     df = spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<double>")
+    one = json.loads(models.artifact(models.initial([2, 3, 1], "sigmoid"), np.zeros(2), np.ones(2), "w2", "binary", 0.0))
+    assert models.score(df, ["id"], "features", [("b", json.dumps(one))]).first()["predicted"] == "1"  # a threshold of 0 is one
+    for bad in ({**one, "threshold": 2}, {**one, "kind": "three-way"}, {**one, "feature_version": "v6"}):
+        with pytest.raises(ValueError):
+            models.from_artifact(json.dumps(bad))
     rows = models.score(df, ["id"], "features", [("s1", text), ("s2", text)]).collect()
     assert len(rows) == 2 and abs(sum(rows[0]["probabilities"]) - 1) < 1e-9
 
@@ -146,8 +151,9 @@ def test_splits(spark):
             bad()
     rows = spark.createDataFrame([(f"g{i % 9}", ["safe", "breaking"][i % 2], "standard") for i in range(90)], "g string, l string, r string")
     assert {r["partition"] for r in splitting.group_split(rows, "g", F.col("l"), F.col("r"), (0.6, 0.2, 0.2), 3).collect()} == set(splitting.SPLITS)
-    kept = splitting.retain([{"stratum": s, "outcome": o, "fingerprint": f} for s, o, f in [("a", "x", 1), ("a", "x", 1), ("a", "y", 2), ("a", "y", 3), ("b", "x", 4)]], 2, 1)
-    assert [r["fingerprint"] for r in kept] == [1, 2]
+    last = spark.createDataFrame([("i", 1, "a"), ("i", 3, "c"), ("i", 2, "z"), (" ", 9, "x")], "id string, at int, content string")
+    assert [tuple(r)[:3] for r in splitting.top_sample(last, "id", 5, 1, order="at").collect()] == [("i", 3, "c")]
+    assert [r["content"] for r in splitting.top_sample(last, "id", 5, 1).collect()] == ["c"]
 
 
 def test_nearest_and_audit(spark, monkeypatch):
@@ -210,6 +216,8 @@ def test_evidence(spark):
         evidence.merge_runs(hashed, hashed)
     with pytest.raises(ValueError, match="different"):
         evidence.merge_runs(hashed, hashed.withColumn("oracle_hash", F.lit("z")))
+    with pytest.raises(ValueError, match="thresholds"):
+        evidence.merge_runs(hashed, hashed, thresholds=({"min_policies": 3}, {"min_policies": 4}))
     fatal = spark.createDataFrame([(1, "", "Exception in thread x", "breaking"), (1, "", "no", "breaking")], "exit_code int, stdout string, stderr string, outcome string")
     assert sorted(r["outcome"] for r in evidence.reclassify_fatal(fatal).collect()) == ["breaking", "rejected"]
 
@@ -230,7 +238,8 @@ def test_external_gate(spark):
     got = {r["record_id"]: r["reasons"] for r in external.contamination(ext, corpus).collect()}
     assert got["a"] == [] and got["b"] == ["source is in the corpus", "pair occurs earlier"]
     assert external.status_counts(external.contamination(ext, corpus)).first()["n_eligible"] == 1
-    assert external.manifest_problems(ext.withColumn("external_use", F.lit("?"))).count() == 3
+    late = ext.withColumn("manifest_no", F.when(F.col("record_id") == "a", 2).otherwise(1)).withColumn("source", F.lit("new"))
+    assert {r["record_id"]: r["reasons"] for r in external.contamination(late, corpus).collect()} == {"a": ["pair occurs earlier"], "b": []}
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -257,5 +266,19 @@ def test_sources_and_sinks(spark, tmp_path):
     run = {"family_id": "f", "mutation_family": "m", "compatibility_mode": "B", "policy_pack": "p", "exit_code": 0, "outcome": "safe"}
     (tmp_path / "c.json").write_text(json.dumps({"format_version": "v1", "runs": [run]}))
     assert readers.conformance_json(spark, str(tmp_path / "c.json"))[1].first()["accepted"] == 1
+    assert readers.conformance_json(spark, str(tmp_path / "c.json"), ("v1", "v2"))[0].count() == 1
+    with pytest.raises(Exception, match="format_version"):
+        readers.conformance_json(spark, str(tmp_path / "c.json"), ("v2",))[0].collect()
     (tmp_path / "k.json").write_text(json.dumps({"packs": {"a": {"rules": {}}}}))
     assert readers.policy_json(spark, str(tmp_path / "k.json")).count() == 8
+    (tmp_path / "k2.json").write_text(json.dumps({"defaultPack": "A", "packs": {"a": {"rules": {}}, "b": {}}}))
+    assert {r["pack"] for r in readers.policy_json(spark, str(tmp_path / "k2.json")).filter("is_default").collect()} == {"a"}
+    writers.prepared_json(records.filter("false"), str(tmp_path / "none"), "d1", "v1", True)
+    assert readers.prepared_json(spark, str(tmp_path / "none"))[0].count() == 0 and readers.prepared_json(spark, str(tmp_path / "none"))[1].first()["benchmark_ready"]
+    (tmp_path / "g.json").write_text(json.dumps({"records": [{"record_id": "a", "generation": {"declared_mutation": "m"}}, {"record_id": "b"}]}))
+    got = {r["record_id"]: r for r in readers.prepared_json(spark, str(tmp_path / "g.json"))[0].collect()}
+    g = got["a"]["generation"]
+    assert g["oracle_stdout"] == "" and g["generation_seed"] == 0 and g["root_object_profile"] is None and got["b"]["generation"] is None
+    (tmp_path / "m.json").write_text(json.dumps({"summary": {"total_transitions": 2}, "transitions": [{"record_id": "x"}, {"record_id": "y"}]}))
+    assert [(r["manifest_no"], r["record_id"]) for r in readers.manifest_json(spark, str(tmp_path / "m.json")).collect()] == [(0, "x"), (1, "y")]
+    assert readers.manifest_summary(spark, str(tmp_path / "m.json")) == {"total_transitions": 2}

@@ -10,11 +10,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def registry():
-    from driftmill.plans import compare_queries, feature_queries, record_queries
+    from driftmill.plans import compare_queries, feature_queries, record_queries, report_queries
     from driftmill.plans.registry import Registry
 
     r = Registry()
-    for m in (compare_queries, feature_queries, record_queries):
+    for m in (compare_queries, feature_queries, record_queries, report_queries):
         m.register(r)
     feature_queries.register_commands(r)
     return r

@@ -93,7 +93,7 @@ def test_candidates():
 
 def test_operations():
     ops = candidates.json_operations({"a": 1, "b": {"c": [1], "d": 1}}, {"b": {"c": [2], "d": 1}, "e": None})
-    assert [(o, p) for o, p, *_ in ops] == [("remove", "/a"), ("change", "/b/c"), ("add", "/e")]
+    assert [(o, p) for o, p, *_ in ops] == [("remove", ["a"]), ("change", ["b", "c"]), ("add", ["e"])]
 
 
 def test_fnv_vectors(spark):
