@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,18 +15,22 @@ _STRAY = re.compile(r'("(?:[^"\\]|\\.)*")|,(?=\s*[,}\]])', re.S)
 
 
 def fnv1a(text: pd.Series, seed: int) -> pd.Series:
-    """FNV-1a of UTF-8 bytes from basis xor seed, as unsigned decimal text."""
-    mask, start = (1 << 64) - 1, (seed ^ FNV_BASIS) & ((1 << 64) - 1)
-
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        h = start
-        for b in t.encode():
-            h = ((h ^ b) * FNV_PRIME) & mask
-        return str(h)
-
-    return text.map(one)
+    """FNV-1a of UTF-8 bytes from basis xor seed, as unsigned decimal text. All texts of a batch advance together, a byte
+    at a time, the longest first; a text that has ended takes no further part."""
+    raw = [None if t is None else t.encode() for t in text]
+    size = np.array([-1 if r is None else len(r) for r in raw])
+    order = np.argsort(-size, kind="stable")
+    joined = np.frombuffer(b"".join(r for r in raw if r), np.uint8)
+    begin = np.concatenate([[0], np.cumsum(np.maximum(size, 0))[:-1]]).astype(np.int64)[order] if len(raw) else np.zeros(0, np.int64)
+    left = size[order]
+    h = np.full(len(raw), np.uint64((seed ^ FNV_BASIS) & ((1 << 64) - 1)))
+    for i in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-left, -i))  # texts of more than i bytes
+        h[:n] = (h[:n] ^ joined[begin[:n] + i]) * np.uint64(FNV_PRIME)
+    out = np.empty(len(raw), object)
+    out[order] = [str(x) for x in h.tolist()]
+    out[size < 0] = None
+    return pd.Series(out, index=text.index, dtype=object)
 
 
 def fnv_rank(text: Column, seed: int = 0) -> Column:

@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 
 def fit(df: DataFrame, features: str, width: int) -> DataFrame:
-    """One row: means, deviations (population; 0 becomes 1), n. No explode: one running aggregate a place."""
-    aggs = [F.avg(F.col(features)[i]).alias(f"m{i}") for i in range(width)] + [F.stddev_pop(F.col(features)[i]).alias(f"s{i}") for i in range(width)]
-    one = df.filter(F.size(features) == width).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    return one.select(F.array(*[F.col(f"m{i}") for i in range(width)]).alias("means"), F.array(*[F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")) for i in range(width)]).alias("deviations"), "n")
+    """One row: means, deviations (population; 0 becomes 1), n. Rows of another width are left aside; without any, there is
+    one row of nulls.
+
+    Values are grouped by place: ``width`` groups with map-side combine and one running mean and deviation, where an
+    aggregate for every place would be one operator of twice as many functions.
+    """
+    rows = df.filter(F.size(features) == width)
+    per = rows.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    at = F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("s"))))  # width entries
+    one = per.agg(at.alias("a"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    none = F.array_repeat(F.lit(None).cast("double"), width)
+    whole = F.size("a") == width
+    return one.select(F.when(whole, F.col("a.m")).otherwise(none).alias("means"), F.when(whole, F.col("a.s")).otherwise(none).alias("deviations"), "n")
 
 
 def transform(df: DataFrame, features: str, scaler: DataFrame, out: str = "scaled") -> DataFrame:

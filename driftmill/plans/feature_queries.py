@@ -151,7 +151,7 @@ def register(r: Registry) -> None:
         ch, st = sided(spark, sf_dir)
         return ch.join(similarity.nearest(ch, st), "key").select("record_no", "distance")
 
-    @r.add("nearest_listing")
+    @r.add("nearest_listing", near + ", m as (select q.v, min(struct_pack(d := list_sum(list_transform(list_zip(q.v, b.v), lambda x: case when x[1] = x[2] then 0 else 1 end)), s := b.v)) as x from q, b group by 1), l as (select c.record_no as query_id, t.record_no as base_id, m.x.d as distance, row_number() over (partition by c.record_no order by t.record_no) as k from s c join m on m.v = c.v join s t on t.v = m.x.s where c.role = 'challenge' and t.role = 'standard') select query_id, base_id, distance::int as distance from l where k <= 5")
     def nearest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return similarity.nearest_listing(*sided(spark, sf_dir), "record_no", "record_no", 5)
 
@@ -223,11 +223,14 @@ def register(r: Registry) -> None:
         label = F.when(F.col("features")[61] > 0, "breaking").when(F.col("features")[60] > 0, "warning").otherwise("safe")
         return x.groupBy("policy_pack", label.alias("label")).agg(F.count(F.lit(1)).alias("n"), F.lit("heuristic").alias("label_source"))
 
-    @r.add("schema_candidates")
+    @r.add("schema_candidates", schema_sql.CANDIDATES)
     def schema_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return candidates.candidate_table(pairs_once(spark, sf_dir), ["pair_no"], "base_schema")
+        """Which changes apply to which schema; the candidates' texts are looked at through their operations."""
+        made = candidates.candidate_table(pairs_once(spark, sf_dir), ["pair_no", "base_schema"], "base_schema")
+        ops = candidates.operation_table(made, ["pair_no", "kind", "variant"], "base_schema", "candidate")
+        return ops.groupBy("pair_no", "kind", "variant").agg(F.count(F.lit(1)).alias("n_operations"))
 
-    @r.add("canonical_json")
+    @r.add("canonical_json", schema_sql.PAIRS + f" select pair_no, sha256({schema_sql.canonical_text('bt::json')}) as base_sha256 from d")
     def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pairs_once(spark, sf_dir).select("pair_no", F.sha2(hashing.canonical_json(F.col("base_schema")), 256).alias("base_sha256"))
 
@@ -257,7 +260,14 @@ def register(r: Registry) -> None:
         made = models.train_models(placed, ["seed"], "record_no", epochs=EPOCHS).filter("model is not null").collect()
         return models.score(rows, ["record_no"], "features", [(m["seed"], m["model"]) for m in made])
 
-    @r.add("external_gate")
+    gate = (
+        _PREP + ", e as (select record_no, max(coalesce(lower(trim(dataset_role)), 'standard')) as role, min(source) as source, min(family_id) as family_id, min(pair_fingerprint) as fp from generation_evidence group by 1), "
+        f"s as (select e.*, list_transform(f, lambda x: case when x = 0 then 0.0 else x end) as v, {_STRUCT} as t from p join e using (record_no)), b as (select * from s where role = 'standard'), "
+        "c as (select *, source in (select source from b where source is not null) or family_id in (select family_id from b where family_id is not null) or fp in (select fp from b where fp is not null) or v in (select v from b) or t in (select t from b) or record_no::varchar > min(record_no::varchar) over (partition by fp) and fp is not null as held from s where role = 'challenge') "
+        "select count(*) as n_transitions, count(*) filter (not coalesce(held, false)) as n_eligible, count(*) filter (coalesce(held, false)) as n_contaminated, 0::bigint as n_not_for_accuracy from c"
+    )
+
+    @r.add("external_gate", gate)
     def external_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = training_rows(spark, sf_dir).join(records(spark, sf_dir).select("record_no", "source", "pair_fingerprint"), "record_no").withColumn("record_id", F.col("record_no").cast("string"))
         gated = external.contamination(rows.filter("role = 'challenge'").withColumn("external_use", F.lit("accuracy-bearing")), rows.filter("role = 'standard'"))
@@ -268,9 +278,13 @@ def register_commands(r: Registry) -> None:
     from driftmill.operators import admission
     from driftmill.plans import commands
 
-    @r.add("isolation_manifest")
+    packs, fields = (", ".join(f"('{x}')" for x in xs) for xs in (policy.NAMED_PACKS, candidates.ADDED))
+
+    @r.add("isolation_manifest", schema_sql.PAIRS + f" select pair_no::varchar || '.' || profile || '.optional-' || name || '-field.' || k.pack as record_id, pair_no::varchar as family_id, profile, 'optional-' || name || '-field' as variant, k.pack as policy_pack, 'traceability-only' as external_use, case when profile = 'open' then 'true' else 'false' end as additional, '{candidates.MADE}_optional_' || name as added from d, (values ('open'), ('closed')) o(profile), (values {fields}) f(name), (values {packs}) k(pack)")
     def isolation_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return admission.isolation_manifest(pairs_once(spark, sf_dir).select(F.col("pair_no").cast("string").alias("family_id"), F.col("base_schema").alias("schema")), list(policy.NAMED_PACKS))
+        rows = admission.isolation_manifest(pairs_once(spark, sf_dir).select(F.col("pair_no").cast("string").alias("family_id"), F.col("base_schema").alias("schema")), list(policy.NAMED_PACKS))
+        there = F.element_at(F.json_object_keys(F.get_json_object("candidate_schema", "$.properties")), -1)
+        return rows.select("record_id", "family_id", "profile", "variant", "policy_pack", "external_use", F.get_json_object("candidate_schema", "$.additionalProperties").alias("additional"), there.alias("added"))
 
     @r.add("generated_records")
     def generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:

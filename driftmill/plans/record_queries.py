@@ -177,7 +177,17 @@ def register(r: Registry) -> None:
     def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         return splitting.ordered_split(records(spark, sf_dir).select("record_no"), ["record_no"], 0.2).select("record_no", "partition")
 
-    @r.add("seeded_split")
+    shuffled = (
+        "with recursive rec as (select distinct record_no from generation_evidence), n as (select count(*) as n from rec), "
+        "e as (select n, floor(0.7 * n) as a, floor(0.15 * n) as b, floor(0.15 * n) as c, 0.7::double * n - floor(0.7::double * n) as ra, 0.15::double * n - floor(0.15::double * n) as rb from n), "
+        "z as (select n, (a + (n - a - b - c > 0 and ra > rb)::int + (n - a - b - c > 2)::int)::bigint as a, (b + (n - a - b - c > 1 + (ra > rb)::int)::int)::bigint as b from e), "
+        "s(i, st, o) as (select n - 1, 20260826::uhugeint, range(0, n) from n union all select i - 1, t, list_transform(o, lambda x, k: case when k = i + 1 then o[j + 1] when k = j + 1 then o[i + 1] else x end) "
+        "from (select i, o, t, (t % (i + 1)::uhugeint)::bigint as j from (select i, o, (st * 6364136223846793005::uhugeint + 1::uhugeint) % 18446744073709551616::uhugeint as t from s where i > 0))), "
+        "w as (select unnest(o) as row_no, generate_subscripts(o, 1) as k from s where i = 0), x as (select record_no, row_number() over (order by record_no) - 1 as row_no from rec) "
+        "select record_no, case when k <= z.a then 'train' when k <= z.a + z.b then 'validation' else 'test' end as partition from x join w using (row_no), z"
+    )
+
+    @r.add("seeded_split", shuffled)
     def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         return splitting.seeded_split(records(spark, sf_dir).select("record_no"), ["record_no"], (0.7, 0.15, 0.15), 20260826).select("record_no", "partition")
 

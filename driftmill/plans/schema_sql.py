@@ -31,6 +31,17 @@ def canonical(x: str) -> str:
     return f"list_sort(list_transform(map_entries({x}), lambda e: e.key || ':' || e.value::varchar))"
 
 
+def canonical_text(x: str, depth: int = 5) -> str:
+    """A JSON value with its members in order of name and no blanks, to ``depth`` levels."""
+    if depth == 0:
+        return f"({x})::varchar"
+    k, m = f"k{depth}", f"e{depth}"
+    members = f"list_transform(list_sort(map_keys(from_json({x}, {_MAP}))), lambda {k}: to_json({k})::varchar || ':' || {canonical_text(f'from_json({x}, {_MAP})[{k}]', depth - 1)})"
+    items = f"list_transform(from_json({x}, '[\"JSON\"]'), lambda {m}: {canonical_text(m, depth - 1)})"
+    joined = lambda v: f"coalesce(list_aggregate({v}, 'string_agg', ','), '')"
+    return f"case json_type({x}) when 'OBJECT' then '{{' || {joined(members)} || '}}' when 'ARRAY' then '[' || {joined(items)} || ']' else ({x})::varchar end"
+
+
 #: Properties both sides have, with what is compared.
 SHARED = (
     f", n as (select pair_no, unnest(list_filter(map_keys(bp), lambda k: list_contains(map_keys(cp), k))) as name, bp, cp from m), "
@@ -102,3 +113,40 @@ def rows(version: str) -> str:
 
 
 ACTIVE_ACTIONS = features("v6") + " select policy_pack, case when v[62] > 0 then 'breaking' when v[61] > 0 then 'warning' else 'safe' end as label, count(*) as n, 'heuristic' as label_source from f group by 1, 2"
+
+
+def _plans() -> str:
+    """Rows (pair_no, kind, variant, n_operations) of the constraints that can be added to the first four properties."""
+    out = []
+    lacks = lambda *ks: " and ".join(f"p['{k}'] is null" for k in ks)
+    room = lambda low, high: f"p['{low}'] is null and coalesce({_number('p', high)}, 1) <> 0"
+    plans = {
+        ("integer", "number"): [("numeric-minimum", lacks("minimum"), 1), ("numeric-maximum", lacks("maximum"), 1), ("numeric-multiple-of", lacks("multipleOf"), 1), ("numeric-minimum-multiple-of", lacks("minimum", "multipleOf"), 2)],
+        ("string",): [("string-min-length", room("minLength", "maxLength"), 1), ("string-max-length", lacks("maxLength"), 1), ("string-pattern", lacks("pattern"), 1), ("string-min-length-pattern", room("minLength", "maxLength") + " and " + lacks("pattern"), 2)],
+        ("array",): [("array-min-items", room("minItems", "maxItems"), 1), ("array-max-items", lacks("maxItems"), 1), ("array-unique-items", "p['uniqueItems']::varchar is distinct from 'true'", 1), ("array-min-items-unique-items", room("minItems", "maxItems") + " and p['uniqueItems']::varchar is distinct from 'true'", 2)],
+        ("object",): [("object-min-properties", room("minProperties", "maxProperties"), 1), ("object-max-properties", lacks("maxProperties"), 1), ("object-min-max-properties", room("minProperties", "maxProperties") + " and " + lacks("maxProperties"), 2)],
+    }
+    for kinds, rows in plans.items():
+        for name, cond, n in rows:
+            out.append(f"select pair_no, 'constraint_tightened', 'tighten-{name}-' || i, {n} from f where p['type']->>'$' in ({', '.join(map(repr, kinds))}) and {cond}")
+    return " union all ".join(out)
+
+
+#: Single changes that apply to a base schema, and the operations each is made of.
+CANDIDATES = (
+    PAIRS
+    + f", s as (select pair_no, b, bp, list_sort(map_keys(bp)) as names, br from m where json_type(b['properties']) = 'OBJECT' and len(map_keys(bp)) > 0), "
+    f"e as (select pair_no, names, bp, unnest(names) as name, generate_subscripts(names, 1) - 1 as i from s), f as (select pair_no, i, name, from_json(bp[name], {_MAP}) as p from e where i < 4 and json_type(bp[name]) = 'OBJECT'), "
+    f"g as (select pair_no, i, name, from_json(bp[name], {_MAP}) as p from e where json_type(bp[name]) = 'OBJECT'), first_enum as (select pair_no, arg_min(json_array_length(p['enum']), i) as n from g where json_type(p['enum']) = 'ARRAY' group by 1), c(pair_no, kind, variant, n_operations) as ("
+    "select pair_no, 'field_removed', 'remove-first-root-property', 1 + (list_contains(br, names[1]))::int from s "
+    "union all select distinct pair_no, 'field_type_changed', 'change-first-supported-root-type', 1 from g where json_type(p['type']) = 'VARCHAR' "
+    "union all select pair_no, 'required_field_added', 'make-first-optional-root-property-required', 1 from s where (b['required'] is null or json_type(b['required']) = 'ARRAY') and len(list_filter(names, lambda k: not list_contains(br, k))) > 0 "
+    "union all select pair_no, 'enum_value_removed', 'remove-last-enum-value', 1 from first_enum where n >= 2 "
+    "union all select pair_no, 'enum_value_added', 'add-type-preserving-enum-value-' || i, 1 from f where json_type(p['enum']) = 'ARRAY' and json_array_length(p['enum']) > 0 "
+    f"union all {_plans()} "
+    "union all select pair_no, 'conditional_restriction_added', 'root-if-then-required', 2 from s where coalesce(json_type(b['if']), '') <> 'OBJECT' and coalesce(json_type(b['then']), '') <> 'OBJECT' "
+    "union all select pair_no, 'schema_restriction_added', 'root-additional-properties-false', 1 from s where b['additionalProperties']::varchar is distinct from 'false' "
+    "union all select pair_no, 'schema_restriction_added', 'root-property-names-pattern', 1 from s where b['propertyNames'] is null "
+    "union all select pair_no, 'schema_restriction_added', 'root-dependent-required', 1 from s where b['dependentRequired'] is null and len(names) >= 2 "
+    "union all select pair_no, 'optional_field_added', 'optional-' || t || '-field', 1 from s, (values ('string'), ('integer'), ('boolean'), ('array')) v(t)) select pair_no, kind, variant, n_operations from c"
+)
