@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,17 @@ select distinct request_no, category from sample_targets t left join n on n.fiel
 where coalesce(have, 0) < round(target_share * sample_rows, 6) or coalesce(have, 0) < min_rows
 """
 
+P2_REPORT_SQL = f"""
+with once as ({_ONCE}), n as (select field, cat, count(*) as have from ({_LONG}) where cat is not null group by 1, 2),
+t as (select request_no, category, target_share, coalesce(have, 0) as available, round(target_share * sample_rows, 6) as quota, coalesce(min_rows, 0)::double as least from sample_targets t left join n on n.field = t.strat_field and n.cat = {_CAT.format(c='t.category')}),
+g as (select *, greatest(quota, least) as floor_at, greatest(quota - least, 0) as above, sum(greatest(quota, least) - quota) over w as over_, sum(greatest(quota - least, 0)) over w as room from t window w as (partition by request_no)),
+x as (select *, round(case when room > 0 then floor_at - above * least(over_ / room, 1) else floor_at end, 6) as exact from g),
+y as (select *, floor(exact) as whole, round(sum(exact) over w) - sum(floor(exact)) over w as spare, row_number() over (partition by request_no order by round(exact - floor(exact), 6) desc, category) as place from x window w as (partition by request_no)),
+z as (select *, (whole + (place <= spare)::int)::bigint as want from y),
+d as (select *, least(want, available) as taken from z)
+select request_no, category, target_share, round(taken / nullif(sum(taken) over (partition by request_no), 0), 6) as actual_share, available, want, taken, greatest(greatest(ceil(quota), least) - available, want - taken, 0)::bigint as deficit from d
+"""
+
 _FP = "regexp_replace(regexp_replace(lower(pair_fingerprint), '\\s', '', 'g'), '^[a-z][a-z0-9_-]*[:=]', '')"
 P3_SQL = f"""
 with e as (select record_no, max(coalesce(lower(trim(dataset_role, E' \\t\\n\\r')), 'standard')) as role, min(nullif({_FP}, '')) as fp from generation_evidence group by record_no),
@@ -61,6 +74,39 @@ select dataset_role, source, count(*) as n_records, count(pairs) as n_overlappin
 from rec left join hit using (record_no) group by 1, 2
 """
 
+
+
+def _folded(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _content(x: str, depth: int = 6) -> str:
+    """A JSON value without what formatting may change, to ``depth`` levels."""
+    if depth == 0:
+        return f"({x})::varchar"
+    k, m = f"k{depth}", f"e{depth}"
+    maps = f"from_json({x}, '\"MAP(VARCHAR,JSON)\"')"
+    members = f"list_sort(list_transform(map_entries({maps}), lambda {k}: {_folded(f'{k}.key')} || ':' || {_content(f'{k}.value', depth - 1)}))"
+    items = f"list_transform(from_json({x}, '[\"JSON\"]'), lambda {m}: {_content(m, depth - 1)})"
+    joined = lambda v: f"coalesce(list_aggregate({v}, 'string_agg', ','), '')"
+    return (
+        f"case json_type({x}) when 'OBJECT' then '{{' || {joined(members)} || '}}' when 'ARRAY' then '[' || {joined(items)} || ']' when 'VARCHAR' then 's' || {_folded(f'({x})->>{chr(39)}${chr(39)}')} "
+        f"when 'DOUBLE' then 'n' || ({x})::double::varchar when 'BIGINT' then 'n' || ({x})::double::varchar when 'UBIGINT' then 'n' || ({x})::double::varchar else ({x})::varchar end"
+    )
+
+
+_ANY = lambda c: f"case when json_valid({c}) then 'j' || {_content(c + '::json')} else 't' || {_folded(c)} end"
+_P4 = f"""with p as (select pair_no, min(struct_pack(a := contract_id, b := policy_pack, c := base_schema, d := candidate_schema)) as x from generated_pairs where pair_no is not null group by 1),
+f as (select pair_no, {_ANY('x.a')} as a, {_ANY('x.b')} as b, {_ANY('x.c')} as c, {_ANY('x.d')} as d from p),
+g as (select pair_no, min(pair_no) over w as kept, count(*) over w as n_copies from f window w as (partition by a, b, c, d))"""
+P4_SQL = _P4 + " select kept as kept_pair_no, pair_no as copy_pair_no from g where pair_no <> kept"
+P4_GROUPS_SQL = _P4 + " select kept as kept_pair_no, n_copies from g where pair_no = kept"
+
+_FACT = "select '{}' as fact, {} as value"
+P1_CHECK_SQL = " union all ".join([_FACT.format("records", "count(distinct record_no)") + " from generation_evidence", *(_FACT.format(f, "0") for f in ("split_families", "split_groups", "split_contracts", "without_split"))])
+P7_CHECK_SQL = " union all ".join([_FACT.format("documents", "count(*)") + " from documents where length(text) > 0", *(_FACT.format(f, "0") for f in ("lost_tokens", "over_capacity", "cut_without_need"))])
+P8_CHECK_SQL = " union all ".join([_FACT.format("targets", "count(distinct source)") + " from mix_targets", *(_FACT.format(f, "0") for f in ("over_repeats", "over_budget", "more_than_a_document_left"))])
+
 P6_SQL = """
 with once as (select vec_id, min(coordinates) as coordinates from feature_vectors group by vec_id),
 v as (select vec_id, u.coord_index as i, sum(u.coord_value) as x from (select vec_id, unnest(coordinates) as u from once) group by 1, 2),
@@ -119,6 +165,17 @@ def register(r: Registry) -> None:
     def p1_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _assigned(spark, sf_dir).select("record_no", "split")
 
+    @r.add("p1_check", P1_CHECK_SQL)
+    def p1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """What must hold of the assignment: every record in one split, no family, group or contract in two."""
+        placed = cut(_assigned(spark, sf_dir).select("record_no", "split"), "p1-placed")
+        rows = _evidence_keys(spark, sf_dir).join(placed, "record_no", "left")
+        told = [placed.agg(F.countDistinct("record_no").alias("value")).select(F.lit("records").alias("fact"), "value"), rows.agg(F.count(F.when(F.col("split").isNull(), 1)).alias("value")).select(F.lit("without_split").alias("fact"), "value")]
+        for name, key in (("split_families", "family_key"), ("split_groups", "split_group_id_key"), ("split_contracts", "contract_id_key")):
+            two = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b")
+            told.append(two.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("fact"), "value"))
+        return reduce(DataFrame.unionByName, told)
+
     @r.add("p1_split_report")
     def p1_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         return splits.split_report(_assigned(spark, sf_dir))
@@ -131,7 +188,7 @@ def register(r: Registry) -> None:
     def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         return quota_sample.sample(table(spark, sf_dir, "generation_evidence"), "record_no", table(spark, sf_dir, "sample_targets"))[0]
 
-    @r.add("p2_report")
+    @r.add("p2_report", P2_REPORT_SQL)
     def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         return quota_sample.sample(table(spark, sf_dir, "generation_evidence"), "record_no", table(spark, sf_dir, "sample_targets"))[1]
 
@@ -158,12 +215,12 @@ def register(r: Registry) -> None:
             F.count(F.lit(1)).alias("n_records"), F.round(F.avg("print_overlap"), 6).alias("print_overlap"), F.round(F.avg("feature_overlap"), 6).alias("feature_overlap"), F.sum(F.when(F.col("feature_overlap") >= 0.5, 1).otherwise(0)).alias("n_half_shared")
         )
 
-    @r.add("p4_found")
+    @r.add("p4_found", P4_SQL)
     def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         groups = format_dedup.format_duplicates(table(spark, sf_dir, "generated_pairs"), "pair_no", PAIR_FIELDS)
         return groups.filter("pair_no <> kept").select(F.col("kept").alias("kept_pair_no"), F.col("pair_no").alias("copy_pair_no"))
 
-    @r.add("p4_groups")
+    @r.add("p4_groups", P4_GROUPS_SQL)
     def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         groups = format_dedup.format_duplicates(table(spark, sf_dir, "generated_pairs"), "pair_no", PAIR_FIELDS)
         return groups.filter("pair_no = kept").select(F.col("kept").alias("kept_pair_no"), "n_copies")
@@ -188,6 +245,33 @@ def register(r: Registry) -> None:
     def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         return packing.fill_report(*_packed(spark, sf_dir, "window-long"))
 
+    @r.add("p7_check", P7_CHECK_SQL)
+    def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """What must hold of the packing: every token in one container, none over its capacity, no cut without need."""
+        capacity = _capacity(spark, sf_dir, "window-short")
+        sizes = cut(packing.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "p7-sizes")
+        boxes = cut(packing.pack(sizes, "doc_id", capacity), "p7-boxes")
+        per = boxes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+        docs = sizes.filter("n_tokens > 0").join(per, "doc_id", "left")
+        wide = boxes.groupBy("container").agg(F.sum("n_tokens").alias("n")).filter(F.col("n") > capacity)
+        facts = docs.agg(F.count("n").alias("documents"), F.sum(F.abs(F.col("n_tokens") - F.coalesce("n", F.lit(0)))).alias("lost_tokens"), F.count(F.when((F.col("pieces") > 1) & (F.col("n_tokens") <= capacity), 1)).alias("cut_without_need"))
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("fact"), F.col(n).cast("long").alias("value")) for n in ("documents", "lost_tokens", "cut_without_need")])).alias("x")
+        return facts.select(each).select("x.*").unionByName(wide.agg(F.count(F.lit(1)).alias("value")).select(F.lit("over_capacity").alias("fact"), "value"))
+
+    @r.add("p8_check", P8_CHECK_SQL)
+    def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """What must hold of the mixture: caps and budget kept, and no room left for the next document in the queue."""
+        sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+        mixed = cut(mixing.mix(sized, "doc_id", "source", targets), "p8-mixed")
+        most = targets.agg(F.max("budget_tokens").alias("budget"), F.max("max_repeats").alias("cap")).first()
+        longest = sized.agg(F.max("n_tokens")).first()[0]
+        total = mixed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"))
+        used = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(mixing._targets(targets).select("source", "max_repeats"), "source").filter("n > max_repeats")
+        reported = mixing.share_report(mixed, sized, "source", targets).agg(F.count(F.lit(1)).alias("value")).select(F.lit("targets").alias("fact"), "value")
+        facts = total.select(F.greatest(F.col("t") - most["budget"], F.lit(0)).alias("over_budget"), F.greatest(F.lit(most["budget"] - longest) - F.col("t"), F.lit(0)).alias("more_than_a_document_left"))
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("fact"), F.col(n).cast("long").alias("value")) for n in facts.columns])).alias("x")
+        return facts.select(each).select("x.*").unionByName(reported).unionByName(used.agg(F.count(F.lit(1)).alias("value")).select(F.lit("over_repeats").alias("fact"), "value"))
+
     @r.add("p8_found")
     def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
