@@ -23,46 +23,110 @@ def signatures(df: DataFrame, id_col: str, features: str, *keep: str) -> DataFra
     return df.select(id_col, *keep, structural(F.col(features)).alias("sig")).filter("sig is not null").withColumn("key", signature_key(F.col("sig")))
 
 
+class Places:
+    """Query rows as ones at (place, value), so the places two rows agree in are one product of matrices. Exact: the
+    products are whole numbers no greater than the number of places."""
+
+    def __init__(self, q: np.ndarray):
+        self.width = q.shape[1]
+        self.values = [np.unique(q[:, p]) for p in range(self.width)]
+        self.start = np.concatenate([[0], np.cumsum([len(v) for v in self.values])])
+        self.q = self.ones(q)
+
+    def ones(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), self.start[-1]), np.float32)
+        for p, known in enumerate(self.values):  # a value no query has agrees with none
+            at = np.minimum(np.searchsorted(known, x[:, p]), len(known) - 1)
+            hit = known[at] == x[:, p]
+            out[np.flatnonzero(hit), self.start[p] + at[hit]] = 1
+        return out
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """(queries, rows): the places in which they differ."""
+        return self.width - (self.q @ self.ones(x).T).astype(np.int16)
+
+
+def _smallest_first(x: np.ndarray) -> np.ndarray:
+    """The order of rows by their values, place by place."""
+    return np.lexsort(x.T[::-1])
+
+
+class Best:
+    """The nearest row seen for each question, the smaller row among equals."""
+
+    def __init__(self, n: int, width: int):
+        self.least, self.rows = np.full(n, width + 1, np.int32), np.full((n, width), np.inf)
+
+    def offer(self, at: np.ndarray, d: np.ndarray, rows: np.ndarray) -> None:
+        now = self.least[at]
+        nearer = d < now
+        tied = np.flatnonzero(d == now)
+        if len(tied):
+            a, b = rows[tied], self.rows[at[tied]]
+            first = (a != b).argmax(1)
+            i = np.arange(len(tied))
+            nearer[tied] = a[i, first] < b[i, first]
+        self.least[at[nearer]], self.rows[at[nearer]] = d[nearer], rows[nearer]
+
+    def found(self) -> np.ndarray:
+        return np.flatnonzero(self.least <= self.rows.shape[1])
+
+
+#: Base rows that are compared at once with a block of queries, and cells of the ones of a block at most.
+CHUNK, CELLS = 512, 1 << 27
+
+
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    """The rows of ``asked`` in blocks of about BLOCK rows, by a hash of their key."""
+    blocks = max(1, -(-asked.count() // BLOCK))
+    for i in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()
+        while part:  # many different values make wide ones: such a block is compared in pieces
+            q = np.array([r["sig"] for r in part], np.float64)
+            wide = sum(len(np.unique(q[:, p])) for p in range(q.shape[1]))
+            take = len(part) if wide * len(part) <= CELLS else max(1, min(len(part) // 2, 4096))
+            yield part[:take]
+            part = part[take:]
+
+
 def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
     """(key, protocol, distance, nearest_key, nearest_sig) for every distinct (key, protocol) of ``queries``: ``nearest``
     among the base signatures whose ``barred`` does not hold the protocol. base: sig, barred (array of protocols), each
     signature once. Pairs without an allowed signature are missing.
 
-    Distances are taken once for each distinct signature, whatever the number of its protocols.
+    Distances are taken once for each distinct signature, whatever the number of its protocols; base rows that are barred
+    for the same protocols are looked at together.
     """
     spark = queries.sparkSession
     asked = cut(queries.groupBy("key").agg(F.first("sig").alias("sig"), F.collect_set("protocol").alias("protocols")), "allowed-q")
     known = cut(spread(base.select("sig", "barred")), "allowed-b")
-    blocks = max(1, -(-asked.count() // BLOCK))
     best = None
-    for i in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()  # about BLOCK rows
-        if not part:
-            continue
+    for part in _blocks(asked):
         names = sorted({p for r in part for p in r["protocols"]})
         pairs = [(j, p) for j, r in enumerate(part) for p in r["protocols"]]
         held = spark.sparkContext.broadcast((np.array([r["sig"] for r in part], np.float64), [r["key"] for r in part], names, np.array([j for j, _ in pairs]), np.array([names.index(p) for _, p in pairs])))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             q, keys, names, of, protocol = held.value
-            at = {p: np.flatnonzero(protocol == c) for c, p in enumerate(names)}
-            none = q.shape[1] + 1
-            least = np.full(len(of), none, np.int32)
-            sig: list = [None] * len(of)
+            places, best = Places(q), Best(len(of), q.shape[1])
+            number = {p: i for i, p in enumerate(names)}
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = np.asarray(b.column("sig").flatten(), np.float64).reshape(b.num_rows, -1)
-                for row, barred in zip(x, b.column("barred").to_pylist()):
-                    d = (q != row).sum(1)[of]
-                    for p in barred:
-                        if p in at:
-                            d[at[p]] = none
-                    for j in np.flatnonzero((d <= least) & (d < none)):
-                        if d[j] < least[j] or tuple(row) < sig[j]:
-                            least[j], sig[j] = d[j], tuple(row)
-            hit = [j for j in range(len(of)) if sig[j] is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[of[j]] for j in hit], pa.string()), pa.array([names[protocol[j]] for j in hit], pa.string()), pa.array(least[hit]), pa.array([list(sig[j]) for j in hit], pa.list_(pa.float64()))], names=["key", "protocol", "distance", "nearest_sig"])
+                groups: dict[tuple, list[int]] = {}
+                for i, barred in enumerate(b.column("barred").to_pylist()):
+                    groups.setdefault(tuple(sorted(number[p] for p in barred if p in number)), []).append(i)
+                for barred, rows in groups.items():
+                    some = x[rows][_smallest_first(x[rows])]
+                    asks = np.flatnonzero(~np.isin(protocol, barred))
+                    for lo in range(0, len(some), CHUNK):
+                        d = places.distances(some[lo : lo + CHUNK])
+                        at = d.argmin(1)
+                        near = d[np.arange(len(d)), at]
+                        best.offer(asks, near[of[asks]], some[lo + at[of[asks]]])
+            hit = best.found()
+            yield pa.RecordBatch.from_arrays([pa.array([keys[of[j]] for j in hit], pa.string()), pa.array([names[protocol[j]] for j in hit], pa.string()), pa.array(best.least[hit]), pa.array(list(best.rows[hit]), pa.list_(pa.float64()))], names=["key", "protocol", "distance", "nearest_sig"])
 
         found = known.mapInArrow(run, "key string, protocol string, distance int, nearest_sig array<double>").groupBy("key", "protocol").agg(F.min(F.struct("distance", "nearest_sig")).alias("x"))
         found = cut(found.select("key", "protocol", "x.distance", "x.nearest_sig"), "allowed-part")
@@ -82,31 +146,25 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
     spark = queries.sparkSession
     asked = cut(queries.select("key", "sig").groupBy("key").agg(F.first("sig").alias("sig")), "nearest-q")
     known = cut(spread(base.select("sig").distinct()), "nearest-b")
-    n = asked.count()
-    blocks = max(1, -(-n // BLOCK))
     best = None
-    for i in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).select("key", "sig").collect()  # about BLOCK rows
-        if not part:
-            continue
+    for part in _blocks(asked):
         keys = [r["key"] for r in part]
         matrix = spark.sparkContext.broadcast(np.array([r["sig"] for r in part], np.float64))
 
         def run(batches: Iterator[pa.RecordBatch], matrix=matrix, keys=keys) -> Iterator[pa.RecordBatch]:
             q = matrix.value
-            least = np.full(len(q), q.shape[1] + 1, np.int32)
-            sig: list = [None] * len(q)
+            places, best, all_ = Places(q), Best(len(q), q.shape[1]), np.arange(len(q))
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = np.asarray(b.column("sig").flatten(), np.float64).reshape(b.num_rows, -1)
-                for row in x:
-                    d = (q != row).sum(1)
-                    for j in np.flatnonzero(d <= least):
-                        if d[j] < least[j] or tuple(row) < sig[j]:
-                            least[j], sig[j] = d[j], tuple(row)
-            hit = [j for j in range(len(q)) if sig[j] is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in hit], pa.string()), pa.array(least[hit]), pa.array([list(sig[j]) for j in hit], pa.list_(pa.float64()))], names=["key", "distance", "nearest_sig"])
+                x = x[_smallest_first(x)]
+                for lo in range(0, len(x), CHUNK):
+                    d = places.distances(x[lo : lo + CHUNK])
+                    at = d.argmin(1)
+                    best.offer(all_, d[all_, at], x[lo + at])
+            hit = best.found()
+            yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in hit], pa.string()), pa.array(best.least[hit]), pa.array(list(best.rows[hit]), pa.list_(pa.float64()))], names=["key", "distance", "nearest_sig"])
 
         found = known.mapInArrow(run, "key string, distance int, nearest_sig array<double>").groupBy("key").agg(F.min(F.struct("distance", "nearest_sig")).alias("x"))
         found = cut(found.select("key", "x.distance", "x.nearest_sig"), "nearest-part")
