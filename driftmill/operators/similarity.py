@@ -72,6 +72,10 @@ class Best:
         return np.flatnonzero(self.least <= self.rows.shape[1])
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 #: Base rows that are compared at once with a block of queries, and cells of the ones of a block at most.
 CHUNK, CELLS = 512, 1 << 27
 
@@ -126,7 +130,7 @@ def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
                         near = d[np.arange(len(d)), at]
                         best.offer(asks, near[of[asks]], some[lo + at[of[asks]]])
             hit = best.found()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[of[j]] for j in hit], pa.string()), pa.array([names[protocol[j]] for j in hit], pa.string()), pa.array(best.least[hit]), pa.array(list(best.rows[hit]), pa.list_(pa.float64()))], names=["key", "protocol", "distance", "nearest_sig"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[of[j]] for j in hit], pa.string()), pa.array([names[protocol[j]] for j in hit], pa.string()), pa.array(best.least[hit]), _lists(best.rows[hit])], names=["key", "protocol", "distance", "nearest_sig"])
 
         found = known.mapInArrow(run, "key string, protocol string, distance int, nearest_sig array<double>").groupBy("key", "protocol").agg(F.min(F.struct("distance", "nearest_sig")).alias("x"))
         found = cut(found.select("key", "protocol", "x.distance", "x.nearest_sig"), "allowed-part")
@@ -164,7 +168,7 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
                     at = d.argmin(1)
                     best.offer(all_, d[all_, at], x[lo + at])
             hit = best.found()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in hit], pa.string()), pa.array(best.least[hit]), pa.array(list(best.rows[hit]), pa.list_(pa.float64()))], names=["key", "distance", "nearest_sig"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in hit], pa.string()), pa.array(best.least[hit]), _lists(best.rows[hit])], names=["key", "distance", "nearest_sig"])
 
         found = known.mapInArrow(run, "key string, distance int, nearest_sig array<double>").groupBy("key").agg(F.min(F.struct("distance", "nearest_sig")).alias("x"))
         found = cut(found.select("key", "x.distance", "x.nearest_sig"), "nearest-part")

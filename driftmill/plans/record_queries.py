@@ -191,7 +191,26 @@ def register(r: Registry) -> None:
     def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         return splitting.seeded_split(records(spark, sf_dir).select("record_no"), ["record_no"], (0.7, 0.15, 0.15), 20260826).select("record_no", "partition")
 
-    @r.add("group_split")
+    #: The greedy assignment, a group at a time: sizes, groups and classes of the three splits so far.
+    ratios, cls = (0.7, 0.15, 0.15), ("safe", "warning", "breaking")
+    gain = lambda p: (
+        f"((size[{p}] + n - want[{p}]) * (size[{p}] + n - want[{p}]) - (size[{p}] - want[{p}]) * (size[{p}] - want[{p}])) / want[{p}]"
+        + "".join(f" + ((held[{3 * p - 2 + k}] + c[{k + 1}] - goal[{3 * p - 2 + k}]) * (held[{3 * p - 2 + k}] + c[{k + 1}] - goal[{3 * p - 2 + k}]) - (held[{3 * p - 2 + k}] - goal[{3 * p - 2 + k}]) * (held[{3 * p - 2 + k}] - goal[{3 * p - 2 + k}])) / goal[{3 * p - 2 + k}]" for k in range(3))
+    )
+    rank = "list_reduce(list_prepend((xor(20260826::ubigint, 14695981039346656037::ubigint))::hugeint, list_transform(range(0, octet_length(encode(family_id))), lambda i: ('0x' || substr(hex(encode(family_id)), i * 2 + 1, 2))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)"
+    greedy = (
+        REC.replace("with rec as", "with recursive rec as") + f", t as (select family_id, {ROLE} as role, coalesce(compatibility_label, 'safe') as l from rec), a as (select count(*) as n, [{', '.join(f'count(*) filter (l = {c!r})' for c in cls)}] as k from t), "
+        f"w as (select [{', '.join(f'greatest({r}::double * n, 1)' for r in ratios)}] as want, [{', '.join(f'greatest({r}::double * k[{i + 1}], 1)' for r in ratios for i in range(3))}] as goal from a), "
+        f"g as (select family_id, count(*) as n, [{', '.join(f'count(*) filter (l = {c!r})' for c in cls)}] as c from t where role = 'standard' and family_id is not null group by 1), "
+        f"o as (select *, row_number() over (order by n desc, {rank}) as i, count(*) over () as m from g), "
+        "s(i, size, used, held, family_id, p) as (select 0::bigint, [0, 0, 0]::bigint[], [0, 0, 0]::bigint[], [0, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], null::varchar, 0::bigint union all "
+        "select i, list_transform(size, lambda v, k: v + case when k = p then n else 0 end), list_transform(used, lambda v, k: v + (k = p)::bigint), list_transform(held, lambda v, k: v + case when (k - 1) // 3 + 1 = p then c[(k - 1) % 3 + 1] else 0 end), family_id, p from ("
+        "select *, list_position(gains, list_min(gains)) as p from (select i, size, used, held, family_id, n, c, list_transform([1, 2, 3], lambda q: case when m - i + 1 <= len(list_filter(used, lambda u: u = 0)) and used[q] > 0 then 'infinity'::double else raw[q] end) as gains from ("
+        f"select o.i, s.size, s.used, s.held, o.family_id, o.n, o.c, o.m, [{gain(1)}, {gain(2)}, {gain(3)}] as raw from s join o on o.i = s.i + 1, w)))) "
+        "select family_id, ['train', 'validation', 'test'][p] as partition from s where p > 0"
+    )
+
+    @r.add("group_split", greedy)
     def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = records(spark, sf_dir)
         return splitting.group_split(rows, "family_id", F.coalesce("compatibility_label", F.lit("safe")), F.coalesce("dataset_role", F.lit("standard")), (0.7, 0.15, 0.15), 20260826)

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmill.operators import audit, candidates, integrity, matrices, models, policy, readiness, reports, retention
+from driftmill.functions import hashing, labels, signatures, vectors
+from driftmill.operators import audit, candidates, external, integrity, matrices, metrics, models, policy, readiness, reports, retention, splitting
 from driftmill.plans import commands, schema_sql
 from driftmill.plans.feature_queries import EPOCHS, MODES, SEEDS, hashed_split, pairs_once, protocol_records
 from driftmill.plans.record_queries import REC, ROLE, records
@@ -212,3 +213,49 @@ def register(r: Registry) -> None:
             return s.map(candidates.root_profile)
 
         return pairs_once(spark, sf_dir).groupBy(profile("base_schema").alias("profile")).agg(F.count(F.lit(1)).alias("n"))
+
+    @r.add("target_encodings", REC + " select record_no, case when compatibility_label = 'breaking' then 1.0::double when compatibility_label is not null then 0.0::double end as binary, case when compatibility_label = 'safe' then 0.0::double when compatibility_label = 'warning' then 0.5::double when compatibility_label = 'breaking' then 1.0::double end as risk, (record_no % 100 / 100.0 >= 0.5)::int as above, lower(trim(policy_pack)) as pack, upper(replace(trim(mutation), '-', '_')) as rule, sha256(coalesce(record_id, '')) as id_sha256, regexp_matches(coalesce(pair_fingerprint, ''), '^[0-9a-f]{64}$') as whole from rec")
+    def target_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = records(spark, sf_dir)
+        label = F.col("compatibility_label")
+        risk = labels.task_target("risk", labels.binary_target(label), labels.binary_target(label), labels.risk_target(label))
+        binary = labels.task_target("breaking", labels.binary_target(label), F.lit(None), F.lit(None))
+        return rows.select(
+            "record_no", binary.alias("binary"), risk.alias("risk"), labels.above_threshold(F.col("record_no") % 100 / 100.0, 0.5).alias("above"), labels.pack_name(F.col("policy_pack")).alias("pack"), labels.rule_key(F.col("mutation")).alias("rule"),
+            hashing.text_sha256(F.coalesce("record_id", F.lit(""))).alias("id_sha256"), hashing.is_sha256(F.coalesce("pair_fingerprint", F.lit(""))).alias("whole"),
+        )
+
+    _v = "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), x as (select vec_id, v, list_transform(v[1:3], lambda a: exp(a - list_max(v[1:3]))) as w from e), s as (select vec_id, v, list_transform(w, lambda a: a / list_sum(w)) as p from x)"
+
+    @r.add("loss_gradients", _v + " select vec_id, round(2 * (v[1] - v[2]) / 4, 6) as squared_first, round(2 * (v[4] - v[5]) / 4, 6) as squared_last, round(-1 / p[1], 4) as cross_first, round(p[2] * 0, 4) as cross_second from s")
+    def loss_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        squared = vectors.squared_error_gradient(F.slice("v", 1, 4), F.slice("v", 2, 4))
+        cross = vectors.cross_entropy_gradient(vectors.softmax(F.slice("v", 1, 3)), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+        return e.select("vec_id", F.round(squared[0], 6).alias("squared_first"), F.round(squared[3], 6).alias("squared_last"), F.round(cross[0], 4).alias("cross_first"), F.round(F.abs(cross[1]), 4).alias("cross_second"))
+
+    @r.add("named_coordinates", "with p as (select record_no, min(features) as f from prepared_records where len(features) = 76 group by 1) select record_no, i::int as place, name, f[i + 1] as value from p, (values (0, 'field_count'), (1, 'fields_added'), (65, 'optional_fields_added')) n(i, name)")
+    def named_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = table(spark, sf_dir, "prepared_records").filter("size(features) = 76").groupBy("record_no").agg(F.min("features").alias("features"))
+        names = spark.createDataFrame([(0, "field_count"), (1, "fields_added"), (65, "optional_fields_added")], "place int, name string")
+        return signatures.named_coordinates(p, "record_no", "features", F.broadcast(names))  # three rows
+
+    @r.add("feature_differences", "with p as (select record_no, min(features) as f from prepared_records where len(features) = 76 group by 1), q as (select min(f) as f from p), d as (select record_no as query_id, 0::bigint as base_id, unnest(range(76)) as i, p.f as a, q.f as b from p, q) select query_id, base_id, i::int as place, 'f' || i as name, a[i + 1] as \"left\", b[i + 1] as \"right\" from d where a[i + 1] is distinct from b[i + 1]")
+    def feature_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Where each record departs from the least feature row."""
+        p = table(spark, sf_dir, "prepared_records").filter("size(features) = 76").groupBy("record_no").agg(F.min("features").alias("a"))
+        least = p.agg(F.min("a").alias("b"))
+        pairs = p.join(F.broadcast(least)).select(F.col("record_no").alias("query_id"), F.lit(0).cast("long").alias("base_id"), "a", "b")  # one row
+        return external.feature_diagnostic(pairs, "a", "b", [f"f{i}" for i in range(76)])
+
+    @r.add("source_priorities", REC + " select contract_id, min(case when mutation = 'enum_value_added' then 0 else 1 end)::int as priority from rec where contract_id is not null and mutation is not null group by 1")
+    def source_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = records(spark, sf_dir).filter("contract_id is not null and mutation is not null").withColumn("kind", F.col("mutation"))
+        return splitting.source_priority(rows, "contract_id")
+
+    @r.add("summed_confusion", "with inv as (select distinct * from invocation_log), x as (select lower(trim(policy_pack)) as policy_pack, lower(trim(expected_v9_outcome)) as actual, lower(trim(actual_v10_outcome)) as predicted, declared_mutation from inv), n as (select policy_pack, declared_mutation, actual, predicted, count(*) as n from x group by 1, 2, 3, 4) select policy_pack, actual, predicted, sum(n)::bigint as n from n group by 1, 2, 3")
+    def summed_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = lambda c, n: F.lower(F.trim(c)).alias(n)
+        x = table(spark, sf_dir, "invocation_log").distinct().select(f("policy_pack", "policy_pack"), f("expected_v9_outcome", "actual"), f("actual_v10_outcome", "predicted"), "declared_mutation")
+        cells = x.groupBy("policy_pack", "declared_mutation", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+        return metrics.summed_confusion(cells, "policy_pack")
