@@ -322,9 +322,9 @@ def protocol_plan(records: DataFrame, group: str) -> list[tuple[str, str, int]]:
     return [*out, (PAIRED, "scored" if pair and pair["labels"] >= 2 else "traceability_only", pair["challenge"] if pair else 0)]
 
 
-def experiment(records: DataFrame, protocols: list[str], split: DataFrame, group: str, order: str, epochs: int = 100, **how) -> DataFrame:
-    """(protocol, n_test, accuracy) of one seed: a model for each protocol, scored on the protocol's own test rows; the
-    paired protocol is scored by the normal model."""
+def protocol_scores(records: DataFrame, protocols: list[str], split: DataFrame, group: str, order: str, epochs: int = 100, **how) -> DataFrame:
+    """(protocol, label, predicted) of the test rows of each protocol under its own model; the paired protocol is scored by
+    the normal model. Targets of 3 are three-way, of 1 binary (predicted is then 0 or 1)."""
     rows = cut(protocol_rows(records, protocols, split, group), "experiment")
     made = train_models(rows, ["protocol"], order, epochs=epochs, **how).filter("model is not null").select("protocol", "model").collect()  # a model each
     by = {m["protocol"]: m["model"] for m in made}
@@ -333,10 +333,29 @@ def experiment(records: DataFrame, protocols: list[str], split: DataFrame, group
     if not by:
         raise ValueError("no protocol has training rows")
     tests = rows.filter(F.col("protocol").isin(list(protocols)) & (F.col("partition") == "test"))
-    scored = score(tests, ["protocol", "label"], "features", sorted(by.items()), "protocol")
+    return score(tests, ["protocol", "label"], "features", sorted(by.items()), "protocol").select("protocol", "label", "predicted")
+
+
+def experiment(records: DataFrame, protocols: list[str], split: DataFrame, group: str, order: str, epochs: int = 100, **how) -> DataFrame:
+    """(protocol, n_test, accuracy) of one seed, three-way."""
+    scored = protocol_scores(records, protocols, split, group, order, epochs, **how)
     return scored.groupBy("protocol").agg(F.count(F.lit(1)).alias("n_test"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
 
 
+def class_metrics(scored: DataFrame, by: str) -> DataFrame:
+    """(by, class, precision, recall, f1, support) of three-way scores (label, predicted)."""
+    cells = scored.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("class"), (F.col("predicted") == c).cast("int").alias("p"), (F.col("label") == c).cast("int").alias("t")) for c in CLASSES])).alias("x")).select(by, "x.*")
+    told = metrics.classification(metrics.confusion(cells, F.col("p"), F.col("t"), by, "class"))
+    return told.select(by, "class", "precision", "recall", "f1", (F.col("tp") + F.col("fn")).alias("support"))
+
+
+def binary_protocols(records: DataFrame, protocols: list[str], split: DataFrame, group: str, order: str, epochs: int = 100, **how) -> DataFrame:
+    """(protocol, tp, fp, tn, fn, accuracy, precision, recall, f1) of one seed, breaking against the rest."""
+    rows = records.withColumn("target", F.array((F.col("label") == "breaking").cast("double")))
+    scored = protocol_scores(rows, protocols, split, group, order, epochs, **how)
+    return metrics.classification(metrics.confusion(scored, F.col("predicted").cast("int"), (F.col("label") == "breaking").cast("int"), "protocol"))
+
+
 def pipeline(records: DataFrame, split: DataFrame, group: str, order: str, thresholds: tuple[float, ...] = (), **how) -> dict[str, DataFrame]:
     """One training run over whole groups: ``model`` (a row), ``scored`` rows of validation and test, ``metrics`` by
     partition, and for binary models the ``thresholds`` over the validation rows and the ``baselines`` on the test rows.

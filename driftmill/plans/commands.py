@@ -10,14 +10,19 @@ from driftmill.operators import admission, audit, candidates, evidence, external
 from driftmill.runtime import cut
 
 
-def generate(schemas: DataFrame, packs: DataFrame, modes: list[str], recorded: DataFrame | None, challenge_ratio: float, seed: int, per_stratum: int | None = None) -> DataFrame:
+def generate(schemas: DataFrame, packs: DataFrame, modes: list[str], recorded: DataFrame | None, challenge_ratio: float, seed: int, per_stratum: int | None = None, kinds: tuple[str, ...] = (), allowed: DataFrame | None = None) -> DataFrame:
     """Labelled, featured records of (unique_id, json_schema): every candidate under every pack and mode.
 
     ``recorded`` (pair_fingerprint, outcome) holds the oracle's answers; without one for a pair, the label is a heuristic
-    from the active rules and says so in label_source. Repeated fingerprints keep their first candidate.
+    from the active rules and says so in label_source. Repeated fingerprints keep their first candidate. ``kinds`` keeps
+    some changes only, ``allowed`` (unique_id, variant) the variants listed for a schema; one that is not listed has none.
     """
     names = [r["pack"] for r in packs.select("pack").distinct().collect()]  # a policy file's packs
     c = candidates.candidate_table(schemas, ["unique_id", "json_schema"], "json_schema")
+    if kinds:
+        c = c.filter(F.col("kind").isin(*kinds))
+    if allowed is not None:
+        c = candidates.allowed_variants(c, allowed)
     # whatever does not depend on pack and mode is made once for a candidate
     c = c.withColumns({"_b": hashing.canonical_json(F.col("json_schema")), "_c": hashing.canonical_json(F.col("candidate"))})
     own = ["unique_id", "ordinal", "kind", "variant"]
@@ -178,7 +183,8 @@ def run_binary_experiment(records: DataFrame, ratios: tuple[float, float, float]
 
 
 def evaluate_protocols(records: DataFrame, protocols: list[str], split: DataFrame, group: str, order: str, **how) -> DataFrame:
-    return models.experiment(records, protocols, split, group, order, **how)
+    """Binary metrics of each protocol under a model of its own."""
+    return models.binary_protocols(records, protocols, split, group, order, **how)
 
 
 def run_experiments(records: DataFrame, protocols: list[str], ratios: tuple[float, float, float], seeds: list[int], group: str, order: str, ready: bool | None, **how) -> DataFrame:

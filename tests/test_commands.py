@@ -22,6 +22,8 @@ def test_generate_and_refeature(spark):
     assert {r["unique_id"] for r in made.collect()} == {"u1"} and made.filter("label_source <> 'heuristic'").count() == 0
     label = {(r["kind"], r["policy_pack"]): r["compatibility_label"] for r in made.collect()}
     assert label["enum_value_added", "p"] == "warning" and label["enum_value_added", "q"] == "safe" and label["field_removed", "p"] == "breaking"
+    some = commands.generate(schemas, packs(spark), ["BACKWARD"], None, 0.0, 1, kinds=("enum_value_added", "field_removed"), allowed=spark.createDataFrame([("u1", "add-type-preserving-enum-value-0"), ("u2", "x")], "unique_id string, variant string"))
+    assert {(r["kind"], r["policy_pack"]) for r in some.collect()} == {("enum_value_added", "p"), ("enum_value_added", "q")}
     one = made.first()["pair_fingerprint"]
     told = commands.generate(schemas, packs(spark), ["BACKWARD"], spark.createDataFrame([(one, "PASS")], "pair_fingerprint string, outcome string"), 0.0, 1)
     assert [r["compatibility_label"] for r in told.filter("label_source = 'recorded'").collect()] == ["safe"]

@@ -116,6 +116,11 @@ def test_all_protocols(spark):
     assert set(got) == set(scored) and all(got[p] == plan[p][1] for p in scored if p != "normal-family-split")
     with pytest.raises(ValueError):
         models.protocol_rows(df, ["held-out:m"], split, "family_id")
+    two = {r["protocol"]: r for r in models.binary_protocols(df, ["normal-family-split", "held-out-mutation:m"], split, "family_id", "n", epochs=1).collect()}
+    assert sum(two["held-out-mutation:m"][c] for c in ("tp", "fp", "tn", "fn")) == 60
+    told = spark.createDataFrame([("a", "safe", "safe"), ("a", "safe", "breaking"), ("a", "breaking", "breaking")], "protocol string, label string, predicted string")
+    per = {r["class"]: r for r in models.class_metrics(told, "protocol").collect()}
+    assert per["safe"]["precision"] == 1.0 and per["safe"]["recall"] == 0.5 and per["breaking"]["precision"] == 0.5 and per["warning"]["support"] == 0
 
 
 def test_metrics_zero_denominators(spark):
