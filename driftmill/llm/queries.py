@@ -118,6 +118,17 @@ select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from t where
 """
 
 
+P6_NEAREST_SQL = """
+with once as (select vec_id, min(coordinates) as coordinates from feature_vectors group by vec_id),
+v as (select vec_id, u.coord_index as i, sum(u.coord_value) as x from (select vec_id, unnest(coordinates) as u from once) group by 1, 2),
+n as (select vec_id, sqrt(sum(x * x)) as norm from v group by 1 having sum(x * x) > 0),
+c as (select a.vec_id as a, b.vec_id as b, sum(a.x * b.x) as dot from v a join v b using (i) where a.vec_id <> b.vec_id and a.vec_id % 50 = 0 group by 1, 2),
+s as (select p.vec_id as a, q.vec_id as b, coalesce(dot, 0) / (p.norm * q.norm) as cosine from n p join n q on p.vec_id <> q.vec_id and p.vec_id % 50 = 0 left join c on c.a = p.vec_id and c.b = q.vec_id),
+t as (select a, b, cosine, row_number() over (partition by a order by round(cosine, 6) desc, b) as k from s)
+select a as vec_id, b as other_id, round(cosine, 4) as cosine, k as rank from t where k <= 5
+"""
+
+
 def _evidence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "generation_evidence")
     named = lambda c: F.when(splits.names_something(F.col(c)), F.col(c)).alias(f"{c}_key")
@@ -229,9 +240,9 @@ def register(r: Registry) -> None:
     def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return knn_forest.similar_pairs(table(spark, sf_dir, "feature_vectors"), "vec_id", "coordinates", 0.98, 5, COORDINATES).toDF("vec_id_a", "vec_id_b")
 
-    @r.add("p6_nearest")
+    @r.add("p6_nearest", P6_NEAREST_SQL)
     def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return knn_forest.nearest(table(spark, sf_dir, "feature_vectors"), "vec_id", "coordinates", 5, queries=F.col("vec_id") % 50 == 0, certain=0.9, places=COORDINATES)
+        return knn_forest.nearest(table(spark, sf_dir, "feature_vectors"), "vec_id", "coordinates", 5, queries=F.col("vec_id") % 50 == 0, certain=0.9, places=COORDINATES).withColumn("cosine", F.round("cosine", 4))
 
     @r.add("p7_found")
     def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
