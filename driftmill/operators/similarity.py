@@ -57,21 +57,32 @@ class Best:
     def __init__(self, n: int, width: int):
         self.least, self.rows = np.full(n, width + 1, np.int32), np.full((n, width), np.inf)
 
-    def offer(self, at: np.ndarray, d: np.ndarray, rows: np.ndarray) -> None:
-        now = self.least[at]
-        nearer = d < now
-        tied = np.flatnonzero(d == now)
+    def offer(self, d: np.ndarray, pick: np.ndarray, rows: np.ndarray) -> None:
+        """``d`` and ``pick``: of each question the distance to, and the place of, its nearest among ``rows``."""
+        nearer = d < self.least
+        tied = np.flatnonzero((d == self.least) & (d <= rows.shape[1]))
         if len(tied):
-            a, b = rows[tied], self.rows[at[tied]]
+            a, b = rows[pick[tied]], self.rows[tied]
             first = (a != b).argmax(1)
             i = np.arange(len(tied))
             nearer[tied] = a[i, first] < b[i, first]
-        self.least[at[nearer]], self.rows[at[nearer]] = d[nearer], rows[nearer]
+        self.least[nearer], self.rows[nearer] = d[nearer], rows[pick[nearer]]
 
     def found(self) -> np.ndarray:
         return np.flatnonzero(self.least <= self.rows.shape[1])
 
 
+def _closest(places: Places, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each query the nearest among x[rows] as distance << 32 | place: the least is the nearest, then the first."""
+    best = np.full(len(places.q), (places.width + 1) << 32, np.int64)
+    for lo in range(0, len(rows), CHUNK):
+        some = rows[lo : lo + CHUNK]
+        d = places.distances(x[some])
+        at = d.argmin(1)
+        best = np.minimum(best, (d[np.arange(len(d)), at].astype(np.int64) << 32) | some[at])
+    return best
+
+
 def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
@@ -118,17 +129,18 @@ def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
                 if not b.num_rows:
                     continue
                 x = np.asarray(b.column("sig").flatten(), np.float64).reshape(b.num_rows, -1)
+                order = _smallest_first(x)
+                x, barred_of = x[order], b.column("barred").take(pa.array(order)).to_pylist()
                 groups: dict[tuple, list[int]] = {}
-                for i, barred in enumerate(b.column("barred").to_pylist()):
+                for i, barred in enumerate(barred_of):
                     groups.setdefault(tuple(sorted(number[p] for p in barred if p in number)), []).append(i)
+                here = np.full(len(of), (q.shape[1] + 1) << 32, np.int64)
                 for barred, rows in groups.items():
-                    some = x[rows][_smallest_first(x[rows])]
-                    asks = np.flatnonzero(~np.isin(protocol, barred))
-                    for lo in range(0, len(some), CHUNK):
-                        d = places.distances(some[lo : lo + CHUNK])
-                        at = d.argmin(1)
-                        near = d[np.arange(len(d)), at]
-                        best.offer(asks, near[of[asks]], some[lo + at[of[asks]]])
+                    near = _closest(places, x, np.array(rows))[of]
+                    if barred:
+                        near[np.isin(protocol, barred)] = (q.shape[1] + 1) << 32
+                    here = np.minimum(here, near)
+                best.offer((here >> 32).astype(np.int32), here & 0xFFFFFFFF, x)
             hit = best.found()
             yield pa.RecordBatch.from_arrays([pa.array([keys[of[j]] for j in hit], pa.string()), pa.array([names[protocol[j]] for j in hit], pa.string()), pa.array(best.least[hit]), _lists(best.rows[hit])], names=["key", "protocol", "distance", "nearest_sig"])
 
@@ -157,16 +169,14 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], matrix=matrix, keys=keys) -> Iterator[pa.RecordBatch]:
             q = matrix.value
-            places, best, all_ = Places(q), Best(len(q), q.shape[1]), np.arange(len(q))
+            places, best = Places(q), Best(len(q), q.shape[1])
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = np.asarray(b.column("sig").flatten(), np.float64).reshape(b.num_rows, -1)
                 x = x[_smallest_first(x)]
-                for lo in range(0, len(x), CHUNK):
-                    d = places.distances(x[lo : lo + CHUNK])
-                    at = d.argmin(1)
-                    best.offer(all_, d[all_, at], x[lo + at])
+                here = _closest(places, x, np.arange(len(x)))
+                best.offer((here >> 32).astype(np.int32), here & 0xFFFFFFFF, x)
             hit = best.found()
             yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in hit], pa.string()), pa.array(best.least[hit]), _lists(best.rows[hit])], names=["key", "distance", "nearest_sig"])
 
