@@ -170,7 +170,20 @@ def register(r: Registry) -> None:
         rows = rows.withColumn("own", audit.held_out_by(rows)).join(pairs, "record_no").withColumn("record_id", F.col("record_no"))
         return similarity.protocol_audit(rows, 100)
 
-    @r.add("near_duplicate_protocols")
+    held = (
+        _PREP + ", e as (select record_no, min(family_id) as family_id, min(lower(trim(mutation))) as mutation, min(lower(trim(mutation_variant))) as variant, min(lower(trim(root_object_profile))) as profile, coalesce(min(lower(trim(dataset_role))), 'standard') as role, min(pair_fingerprint) as fp from generation_evidence group by 1), "
+        "n as (select record_no, role, fp, f, coalesce(family_id, 'record:' || record_no) as family_id, replace(lower(trim(policy_pack)), '_', '-') as pack, replace(mutation, '-', '_') as mutation, replace(variant, '_', '-') as variant, profile from p join e using (record_no)), "
+        "o as (select *, case when mutation = 'optional_field_added' then 'root-' || profile when trim(variant) <> '' then variant end as form from n), "
+        f"s as (select record_no, role, fp, family_id, list_transform(f, lambda x: case when x = 0 then 0.0 else x end) as full_, {_STRUCT} as v, list_filter(['held-out-policy:' || pack, 'held-out-mutation:' || mutation, 'held-out-mutation-variant:' || mutation || ':' || form], lambda x: x is not null) as own from o), "
+        "st as (select * from s where role = 'standard'), ch as (select record_no, family_id, fp, full_, v, unnest(own) as protocol from s where role = 'challenge'), b as (select distinct v, own from st), q as (select distinct v, protocol from ch), "
+        "d as (select q.v, q.protocol, min(list_sum(list_transform(list_zip(q.v, b.v), lambda x: case when x[1] = x[2] then 0 else 1 end))) as distance from q join b on not list_contains(b.own, q.protocol) group by 1, 2), "
+        "m as (select distinct ch.protocol, ch.full_, true as same from ch join st on st.full_ = ch.full_ and not list_contains(st.own, ch.protocol)), r as (select ch.*, distance, coalesce(same, false) as same from ch join d using (v, protocol) left join m using (protocol, full_)) "
+        "select protocol, count(*) as n_challenge, count(*) filter (same) as n_full_match, count(distinct case when same then family_id end) as n_full_families, count(*) filter (distance = 0) as n_structural_match, count(distinct case when distance = 0 then family_id end) as n_structural_families, count(*) filter (distance <= 1) as n_within_one, "
+        "(select count(*) from st where not list_contains(st.own, r.protocol)) as n_training, exists (select 1 from ch join st on st.family_id = ch.family_id and ch.family_id <> '' where ch.protocol = r.protocol and not list_contains(st.own, r.protocol)) as family_id_leakage, "
+        "exists (select 1 from ch join st on st.fp = ch.fp and ch.fp <> '' where ch.protocol = r.protocol and not list_contains(st.own, r.protocol)) as pair_fingerprint_leakage from r group by 1"
+    )
+
+    @r.add("near_duplicate_protocols", held)
     def near_duplicate_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
         return audited_protocols(spark, sf_dir)[0]
 
