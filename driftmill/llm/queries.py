@@ -139,9 +139,8 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["family_key", "split_group_id_key", "contract_id_key"]
     e = _evidence_keys(spark, sf_dir)
     config = table(spark, sf_dir, "split_configs").filter(F.col("config_no") == SPLIT_CONFIG).first()
-    groups = splits.record_components(e, "record_no", keys)
-    labelled = groups.join(e.groupBy("record_no").agg(F.min("label").alias("label")), "record_no", "left")
-    return splits.assign_splits(cut(labelled, "p1-grouped"), "record_no", "label", (config["train_ratio"], config["validation_ratio"], config["test_ratio"]), str(config["seed"]))
+    groups = splits.record_components(e, "record_no", keys, "label")
+    return splits.assign_splits(cut(groups, "p1-grouped"), "record_no", "label", (config["train_ratio"], config["validation_ratio"], config["test_ratio"]), str(config["seed"]))
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,8 @@ def components(records: DataFrame, keys: list[str], max_rounds: int = 200) -> Co
     which meets its own copy of the label; labels that many entities share are looked up apart. A null key names no
     entity.
     """
-    keyed = cut(_entity_ids(records, keys), "p1-keyed")
+    keyed = _entity_ids(records, keys)
+    keyed = cut(keyed.drop(*keys), "p1-keyed")  # names have become ids
     ids = [f"e{i}" for i in range(len(keys))]
     links = keyed.select(*ids).distinct()
     edges = links.select(*ids, F.explode(F.array_compact(F.array(*ids))).alias("entity"))
@@ -112,19 +113,23 @@ def components(records: DataFrame, keys: list[str], max_rounds: int = 200) -> Co
     return Components(keyed, now.df.select("entity", "label"), ids, rounds)
 
 
-def record_components(records: DataFrame, record_id: str, keys: list[str]) -> DataFrame:
-    """(record_id, component): every distinct record with the component it belongs to.
+def record_components(records: DataFrame, record_id: str, keys: list[str], carry: str | None = None) -> DataFrame:
+    """(record_id, component) and the least ``carry``: every distinct record with the component it belongs to.
 
-    A record that names no entity is a component of its own. Repeated rows of a record count once; if they
-    name different entities, all these are joined through the record.
+    A record that names no entity is a component of its own. Repeated rows of a record count once; if they name different
+    entities, all these are joined through the record. Other records with the same entities are one link, however many.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    only = records.select(F.col(record_id).alias("_r"), *[F.col(k).alias(n) for k, n in zip(keys, names)]).distinct()
+    rows = records.select(F.col(record_id).alias("_r"), (F.col(carry) if carry else F.lit(None).cast("string")).alias("_c"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+    only = cut(rows.groupBy("_r", *names).agg(F.min("_c").alias("_c")), "p1-records")
     # an entity of the record itself joins rows of one record that disagree
-    found = components(only.withColumn("_self", F.col("_r").cast("string")), [*names, "_self"])
-    placed = lookup(found.keyed.select("_r", F.coalesce(*found.entities).alias("entity")), found.labels, ["entity"])
-    # a null record id with no entity at all is its own component per row
-    return placed.groupBy("_r").agg(F.min("label").alias("component")).select(F.col("_r").alias(record_id), F.coalesce("component", F.lit(0).cast("long")).alias("component"))
+    torn = only.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _r is not null")
+    marked = lookup(only, torn, ["_r"]).withColumn("_self", F.when(F.col("_n") > 1, F.col("_r").cast("string"))).drop("_n")
+    found = components(marked, [*names, "_self"])
+    placed = lookup(found.keyed.select("_r", "_c", F.coalesce(*found.entities).alias("entity")), found.labels, ["entity"])
+    per = placed.groupBy("_r").agg(F.min("label").alias("component"), F.min("_c").alias("_c"))
+    alone = F.when(F.col("_r").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit("alone"), F.col("_r")))
+    return per.select(F.col("_r").alias(record_id), F.coalesce("component", alone).alias("component"), *([F.col("_c").alias(carry)] if carry else []))
 
 
 def same_component_names(records: DataFrame, written: str, keys: list[str]) -> DataFrame:
@@ -135,7 +140,7 @@ def same_component_names(records: DataFrame, written: str, keys: list[str]) -> D
     """
     own = [f"_k{i}" for i in range(len(keys))]
     found = components(records.select(F.col(written).alias("_w"), *[F.col(k).alias(n) for k, n in zip(keys, own)]).distinct(), own)
-    names = found.keyed.filter("_k0 is not null").select(F.col("_w").alias("name"), F.col("e0").alias("entity")).distinct()
+    names = found.keyed.filter("e0 is not null").select(F.col("_w").alias("name"), F.col("e0").alias("entity")).distinct()
     placed = lookup(names, found.labels, ["entity"]).select("name", F.col("label").alias("component"))
     placed = cut(placed, "p1-names")
     fans = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / NAMES).cast("int").alias("fan")).filter("fan > 1")
