@@ -22,7 +22,7 @@ BUCKETS = 1 << 16  # of hashed words and word pairs
 #: Labelled documents the classifier is fitted on at most; more are thinned by a hash of their id.
 MAX_LABELLED = 5000
 FOLDS = 3
-BEAM = 16
+BEAM = 8
 #: Scores from which a line speaks for its best area; the chain learns what the share of such lines is worth at each.
 SURE = (1.0, 2.0, 4.0)
 #: Cells of the dense part of the term matrix; rarer terms are kept sparse.
@@ -106,13 +106,12 @@ STRUCTURE = len(MARKS) + 4
 def _structure(cp: np.ndarray, ends: np.ndarray, upper: np.ndarray) -> np.ndarray:
     """(documents, STRUCTURE): shares of the lines that begin with each kind of mark, of digits and of capitals, and the
     logarithms of length and lines. ``ends``: place behind the break that closes each text."""
-    begin = np.concatenate([[0], ends[:-1]])
-    size = np.maximum(ends - begin, 1)
-    of_doc = lambda on: np.diff(np.concatenate([[0], np.cumsum(on)])[np.concatenate([begin, ends[-1:]])])
-    starts = np.concatenate([[True], cp[:-1] == 10])
-    lines = np.maximum(of_doc(starts), 1)
-    marked = [of_doc(starts & np.isin(cp, [ord(c) for c in m])) / lines for m in MARKS]
-    return np.stack([*marked, of_doc((cp >= 48) & (cp <= 57)) / size, of_doc(upper) / size, np.log1p(size), np.log1p(lines)], 1)
+    size = np.diff(np.concatenate([[0], ends]))
+    of_doc = lambda at: np.bincount(np.searchsorted(ends, at, "right"), minlength=len(ends))
+    starts = np.concatenate([[0], np.flatnonzero(cp[:-1] == 10) + 1])
+    first, lines = cp[starts], np.maximum(of_doc(starts), 1)
+    marked = [of_doc(starts[np.isin(first, [ord(c) for c in m])]) / lines for m in MARKS]
+    return np.stack([*marked, of_doc(np.flatnonzero((cp >= 48) & (cp <= 57))) / size, of_doc(np.flatnonzero(upper)) / size, np.log1p(size), np.log1p(lines)], 1)
 
 
 def _distinct(key: np.ndarray) -> np.ndarray:
