@@ -107,28 +107,40 @@ class Optimizer:
                 p -= self.rate * (m / (1 - self.beta1**self.steps)) / (np.sqrt(v / (1 - self.beta2**self.steps)) + self.epsilon)
 
 
-def loss(net: Network, x: np.ndarray, t: np.ndarray) -> float:
-    y = net.predict(x)
+def _row_losses(net: Network, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     if net.activations[-1] == "softmax":
-        return float(-(t * np.log(np.clip(y, 1e-15, 1 - 1e-15))).sum(1).mean())
-    return float(((y - t) ** 2).mean())
+        return -(t * np.log(np.clip(y, 1e-15, 1 - 1e-15))).sum(1)
+    return ((y - t) ** 2).mean(1)
+
+
+def loss(net: Network, x: np.ndarray, t: np.ndarray) -> float:
+    return float(_row_losses(net, net.predict(x), t).mean())
 
 
 def gradients(net: Network, x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
     """Mean gradients of a batch: softmax with cross-entropy (p - t), else squared error."""
-    outs = net.forward(x)
-    y = outs[-1]
-    if net.activations[-1] == "softmax":
-        if np.abs(t.sum(1) - 1).max(initial=0) > 1e-9:
-            raise ValueError("targets are no distribution")
-        delta = y - t
-    else:
-        delta = 2 * (y - t) / y.shape[1] * _slope(net.activations[-1], y)
+    _distributions(net, t)
+    return _backward(net, net.forward(x), t)
+
+
+def _distributions(net: Network, t: np.ndarray) -> None:
+    if net.activations[-1] == "softmax" and np.abs(t.sum(1) - 1).max(initial=0) > 1e-9:
+        raise ValueError("targets are no distribution")
+
+
+def _backward(net: Network, outs: list[np.ndarray], t: np.ndarray) -> list[np.ndarray]:
+    """Mean gradients from the outputs of all layers."""
+    y, n = outs[-1], len(t)
+    delta = y - t
+    if net.activations[-1] != "softmax":
+        delta *= 2 / y.shape[1]
+        delta *= _slope(net.activations[-1], y)
     out: list[np.ndarray] = []
     for i in range(len(net.weights) - 1, -1, -1):
-        out = [delta.T @ outs[i] / len(x), delta.mean(0), *out]
+        out[:0] = (delta.T @ outs[i]) / n, delta.sum(0) / n
         if i:
-            delta = (delta @ net.weights[i]) * _slope(net.activations[i - 1], outs[i])
+            delta = delta @ net.weights[i]
+            delta *= outs[i] > 0 if net.activations[i - 1] == "relu" else _slope(net.activations[i - 1], outs[i])
     return out
 
 
@@ -136,15 +148,20 @@ def train(net: Network, x: np.ndarray, t: np.ndarray, epochs: int, batch: int, o
     """Batches in row order, no shuffling; (mean loss before the updates, validation loss after) of each epoch."""
     if not len(x):
         raise ValueError("no training rows")
+    _distributions(net, t)
     parameters = [p for pair in zip(net.weights, net.biases) for p in pair]
+    starts = np.arange(0, len(x), batch)
+    sizes = np.diff(np.append(starts, len(x)))
+    batches = [(x[a : a + batch], t[a : a + batch]) for a in starts]
+    said = np.empty(t.shape)  # every batch as it was answered before its update
     history = []
     for _ in range(epochs):
-        losses = []
-        for at in range(0, len(x), batch):
-            bx, bt = x[at : at + batch], t[at : at + batch]
-            losses.append(loss(net, bx, bt))
-            optimizer.update(parameters, gradients(net, bx, bt))
-        history.append((float(np.mean(losses)), loss(net, *validation) if validation else None))
+        for a, (bx, bt) in zip(starts, batches):
+            outs = net.forward(bx)
+            said[a : a + batch] = outs[-1]
+            optimizer.update(parameters, _backward(net, outs, bt))
+        per_row = _row_losses(net, said, t)
+        history.append((float((np.add.reduceat(per_row, starts) / sizes).mean()), loss(net, *validation) if validation else None))
     return history
 
 
