@@ -72,14 +72,13 @@ class Best:
         return np.flatnonzero(self.least <= self.rows.shape[1])
 
 
-def _closest(places: Places, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of each query the nearest among x[rows] as distance << 32 | place: the least is the nearest, then the first."""
+def _closest(places: Places, x: np.ndarray) -> np.ndarray:
+    """Of each query the nearest row of ``x`` as distance << 32 | place: the least is the nearest, then the first."""
     best = np.full(len(places.q), (places.width + 1) << 32, np.int64)
-    for lo in range(0, len(rows), CHUNK):
-        some = rows[lo : lo + CHUNK]
-        d = places.distances(x[some])
+    for lo in range(0, len(x), CHUNK):
+        d = places.distances(x[lo : lo + CHUNK])
         at = d.argmin(1)
-        best = np.minimum(best, (d[np.arange(len(d)), at].astype(np.int64) << 32) | some[at])
+        best = np.minimum(best, (d[np.arange(len(d)), at].astype(np.int64) << 32) | (lo + at))
     return best
 
 
@@ -109,8 +108,7 @@ def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
     among the base signatures whose ``barred`` does not hold the protocol. base: sig, barred (array of protocols), each
     signature once. Pairs without an allowed signature are missing.
 
-    Distances are taken once for each distinct signature, whatever the number of its protocols; base rows that are barred
-    for the same protocols are looked at together.
+    Distances are taken once for each distinct signature, whatever the number of its protocols.
     """
     spark = queries.sparkSession
     asked = cut(queries.groupBy("key").agg(F.first("sig").alias("sig"), F.collect_set("protocol").alias("protocols")), "allowed-q")
@@ -131,14 +129,23 @@ def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
                 x = np.asarray(b.column("sig").flatten(), np.float64).reshape(b.num_rows, -1)
                 order = _smallest_first(x)
                 x, barred_of = x[order], b.column("barred").take(pa.array(order)).to_pylist()
-                groups: dict[tuple, list[int]] = {}
+                bars = np.zeros((len(x), len(names)), bool)
                 for i, barred in enumerate(barred_of):
-                    groups.setdefault(tuple(sorted(number[p] for p in barred if p in number)), []).append(i)
-                here = np.full(len(of), (q.shape[1] + 1) << 32, np.int64)
-                for barred, rows in groups.items():
-                    near = _closest(places, x, np.array(rows))[of]
-                    if barred:
-                        near[np.isin(protocol, barred)] = (q.shape[1] + 1) << 32
+                    bars[i, [number[p] for p in barred if p in number]] = True
+                none = (q.shape[1] + 1) << 32
+                here = np.full(len(of), none, np.int64)
+                for lo in range(0, len(x), CHUNK):
+                    d, bar = places.distances(x[lo : lo + CHUNK]), bars[lo : lo + CHUNK]
+                    at = d.argmin(1)
+                    near = ((d[np.arange(len(d)), at].astype(np.int64) << 32) | (lo + at))[of]
+                    barred = bar[at[of], protocol]  # where the nearest of all is barred, the others are looked at again
+                    near[barred] = none
+                    for p in np.unique(protocol[barred]):
+                        ask, rows = np.flatnonzero(barred & (protocol == p)), np.flatnonzero(~bar[:, p])
+                        if len(rows):
+                            some = d[of[ask]][:, rows]
+                            first = some.argmin(1)
+                            near[ask] = (some[np.arange(len(ask)), first].astype(np.int64) << 32) | (lo + rows[first])
                     here = np.minimum(here, near)
                 best.offer((here >> 32).astype(np.int32), here & 0xFFFFFFFF, x)
             hit = best.found()
@@ -175,7 +182,7 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
                     continue
                 x = np.asarray(b.column("sig").flatten(), np.float64).reshape(b.num_rows, -1)
                 x = x[_smallest_first(x)]
-                here = _closest(places, x, np.arange(len(x)))
+                here = _closest(places, x)
                 best.offer((here >> 32).astype(np.int32), here & 0xFFFFFFFF, x)
             hit = best.found()
             yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in hit], pa.string()), pa.array(best.least[hit]), _lists(best.rows[hit])], names=["key", "distance", "nearest_sig"])
