@@ -133,7 +133,7 @@ def register(r: Registry) -> None:
         d = table(spark, sf_dir, "near_duplicate_samples").select(F.col("challenge_record_id").alias("record_id"), F.col("structural_coordinate_distance").alias("distance"))
         return reports.projection_summary(reports.projection(d))
 
-    @r.add("raw_traces", schema_sql.PAIRS + " select pair_no::varchar as record_id, json_extract_string(bt, '$.additionalProperties') as before, json_extract_string(ct, '$.additionalProperties') as after, length(ct) as candidate_length, 'traceability-only' as use from d")
+    @r.add("raw_traces", schema_sql.PAIRS + " select pair_no::varchar as record_id, json_extract_string(bt, '$.additionalProperties') as before, json_extract_string(ct, '$.additionalProperties') as after, length(ct)::int as candidate_length, 'traceability-only' as use from d")
     def raw_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = pairs_once(spark, sf_dir).select(F.col("pair_no").cast("string").alias("record_id"), "base_schema", "candidate_schema")
         plain = lambda c: F.regexp_replace(c, r",(\s*[}\]])", "$1").alias(c)

@@ -148,5 +148,5 @@ CANDIDATES = (
     "union all select pair_no, 'schema_restriction_added', 'root-additional-properties-false', 1 from s where b['additionalProperties']::varchar is distinct from 'false' "
     "union all select pair_no, 'schema_restriction_added', 'root-property-names-pattern', 1 from s where b['propertyNames'] is null "
     "union all select pair_no, 'schema_restriction_added', 'root-dependent-required', 1 from s where b['dependentRequired'] is null and len(names) >= 2 "
-    "union all select pair_no, 'optional_field_added', 'optional-' || t || '-field', 1 from s, (values ('string'), ('integer'), ('boolean'), ('array')) v(t)) select pair_no, kind, variant, n_operations from c"
+    "union all select pair_no, 'optional_field_added', 'optional-' || t || '-field', 1 from s, (values ('string'), ('integer'), ('boolean'), ('array')) v(t)) select pair_no, kind, variant, n_operations::bigint as n_operations from c"
 )
