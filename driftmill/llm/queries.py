@@ -125,7 +125,7 @@ n as (select vec_id, sqrt(sum(x * x)) as norm from v group by 1 having sum(x * x
 c as (select a.vec_id as a, b.vec_id as b, sum(a.x * b.x) as dot from v a join v b using (i) where a.vec_id <> b.vec_id and a.vec_id % 50 = 0 group by 1, 2),
 s as (select p.vec_id as a, q.vec_id as b, coalesce(dot, 0) / (p.norm * q.norm) as cosine from n p join n q on p.vec_id <> q.vec_id and p.vec_id % 50 = 0 left join c on c.a = p.vec_id and c.b = q.vec_id),
 t as (select a, b, cosine, row_number() over (partition by a order by round(cosine, 6) desc, b) as k from s)
-select a as vec_id, b as other_id, round(cosine, 4) as cosine, k as rank from t where k <= 5
+select a as vec_id, b as other_id, round(cosine, 4) as cosine, k::int as rank from t where k <= 5
 """
 
 
