@@ -144,6 +144,52 @@ def _backward(net: Network, outs: list[np.ndarray], t: np.ndarray) -> list[np.nd
     return out
 
 
+class Descent:
+    """Plain gradient descent over relu layers and a softmax or sigmoid head, as few array operations a batch as can be:
+    a bias is the weight of an input that is always 1, and the step's rate goes in with the head's error."""
+
+    def __init__(self, net: Network, x: np.ndarray, t: np.ndarray, batch: int, rate: float):
+        self.net, self.rate = net, rate
+        one = lambda a: np.concatenate([a, np.ones((len(a), 1))], 1)
+        self.weights = [np.concatenate([w, b[:, None]], 1) for w, b in zip(net.weights, net.biases)]
+        inputs = one(x)
+        self.batches = [(at, inputs[at : at + batch], t[at : at + batch]) for at in range(0, len(x), batch)]
+        self.hidden = [np.ones((batch, w.shape[0] + 1)) for w in self.weights[:-1]]
+        self.softmax = net.activations[-1] == "softmax"
+
+    def epoch(self, said: np.ndarray) -> None:
+        """One pass; ``said`` takes every batch's answer before its update. The network's parameters follow."""
+        weights, last = self.weights, len(self.weights) - 1
+        for at, a, t in self.batches:
+            m = len(a)
+            seen = [a]
+            for w, h in zip(weights, self.hidden):
+                h = h[:m]
+                np.maximum(seen[-1] @ w.T, 0, out=h[:, :-1])
+                seen.append(h)
+            y = seen[-1] @ weights[-1].T
+            if self.softmax:
+                y -= y.max(1, keepdims=True)
+                np.exp(y, out=y)
+                y /= y.sum(1, keepdims=True)
+                delta = y - t
+                delta *= self.rate / m
+            else:
+                y = activate("sigmoid", y)
+                delta = (y - t) * y * (1 - y)
+                delta *= 2 * self.rate / (y.shape[1] * m)
+            said[at : at + m] = y
+            for i in range(last, -1, -1):
+                w, h = weights[i], seen[i]
+                step = delta.T @ h
+                if i:
+                    delta = delta @ w[:, :-1]
+                    delta *= h[:, :-1] > 0
+                w -= step
+        for own, b, w in zip(self.net.weights, self.net.biases, weights):
+            own[:], b[:] = w[:, :-1], w[:, -1]
+
+
 def train(net: Network, x: np.ndarray, t: np.ndarray, epochs: int, batch: int, optimizer: Optimizer, validation: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[float, float | None]]:
     """Batches in row order, no shuffling; (mean loss before the updates, validation loss after) of each epoch."""
     if not len(x):
@@ -155,8 +201,12 @@ def train(net: Network, x: np.ndarray, t: np.ndarray, epochs: int, batch: int, o
     batches = [(x[a : a + batch], t[a : a + batch]) for a in starts]
     said = np.empty(t.shape)  # every batch as it was answered before its update
     history = []
+    plain = optimizer.kind == "sgd" and net.activations[-1] in ("softmax", "sigmoid") and set(net.activations[:-1]) <= {"relu"}
+    descent = Descent(net, x, t, batch, optimizer.rate) if plain else None
     for _ in range(epochs):
-        for a, (bx, bt) in zip(starts, batches):
+        if descent is not None:
+            descent.epoch(said)
+        for a, (bx, bt) in zip(starts, batches) if descent is None else ():
             outs = net.forward(bx)
             said[a : a + batch] = outs[-1]
             optimizer.update(parameters, _backward(net, outs, bt))

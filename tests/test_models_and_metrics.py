@@ -64,6 +64,18 @@ def test_gradients_match_differences():
         assert abs((up - down) / (2 * eps) - g[0][1, 2]) < 1e-5
 
 
+@pytest.mark.parametrize("head", ["softmax", "sigmoid"])
+def test_descent_is_the_general_rule(head):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((70, 5))
+    t = np.eye(3)[rng.integers(0, 3, 70)] if head == "softmax" else (x[:, :1] > 0).astype(float)
+    a, b = (models.initial([5, 7, 4, t.shape[1]], head) for _ in range(2))
+    told = models.train(a, x, t, 9, 16, models.Optimizer("sgd", 0.3), (x[:9], t[:9]))
+    rates = models.Optimizer("momentum", 0.3, momentum=0.0)  # the same rule by the general way
+    again = models.train(b, x, t, 9, 16, rates, (x[:9], t[:9]))
+    assert np.allclose(told, again) and all(np.allclose(p, q) for p, q in zip([*a.weights, *a.biases], [*b.weights, *b.biases]))
+
+
 def test_artifact_round_trip(spark):
     net = models.initial([2, 3, 3], "softmax")
     text = models.artifact(net, np.zeros(2), np.ones(2), "w2", "three-way")
