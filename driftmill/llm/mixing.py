@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftmill.runtime import bounded_broadcast, cut, parallelism, unit_hash
+from driftmill.runtime import Cut, bounded_broadcast, cut, parallelism, unit_hash
 
 #: Documents of a source (and round) that are ordered in one task, and rows of one stretch of the mixture.
 PART_ROWS = 50_000
@@ -85,10 +85,11 @@ def mix(sized: DataFrame, doc_id: str, source: str, targets: DataFrame, seed: in
     totals = queued.groupBy("_key", "part").agg(F.sum("n_tokens").alias("_t"), F.first("share").alias("_share"))
     chain = Window.partitionBy("_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_before", F.coalesce(F.sum("_t").over(chain), F.lit(0))).filter(F.col("_before") / F.col("_share") <= F.lit(until))
-    starts = cut(starts.select("_key", "part", "_before"), "p8-parts")
+    kept = Cut(starts.select("_key", "part", "_before"), "p8-parts")
     inner = Window.partitionBy("_key", "part").orderBy("u", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    timed = queued.join(starts, ["_key", "part"]).withColumn("finish", (F.col("_before") + F.sum("n_tokens").over(inner)) / F.col("share"))
-    timed = cut(timed.filter(F.col("finish") <= F.lit(until)).select("_id", "_source", "repeat", "n_tokens", "finish"), "p8-timed")
+    timed = queued.join(kept.df, ["_key", "part"]).withColumn("finish", (F.col("_before") + F.sum("n_tokens").over(inner)) / F.col("share"))
+    written = Cut(timed.filter(F.col("finish") <= F.lit(until)).select("_id", "_source", "repeat", "n_tokens", "finish"), "p8-timed")
+    timed = written.df
     order = ["finish", "_source", "repeat", "_id", "n_tokens"]
     stretches = max(1, min(parallelism(spark), timed.count() // 5000), -(-timed.count() // STRETCH_ROWS))
     ordered = timed.repartitionByRange(stretches, *order).sortWithinPartitions(*order).withColumn("stretch", F.spark_partition_id())
@@ -101,6 +102,8 @@ def mix(sized: DataFrame, doc_id: str, source: str, targets: DataFrame, seed: in
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto, pa.int64())], names=[*b.schema.names, "upto"])
 
     ordered = cut(ordered.mapInArrow(run, f"_id {kind}, _source string, repeat int, n_tokens bigint, finish double, stretch int, upto bigint"), "p8-ordered")
+    kept.drop()
+    written.drop()
     sums = ordered.groupBy("stretch").agg(F.max("upto").alias("_t"))  # one row for each stretch
     offset = F.coalesce(F.sum("_t").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ordered.join(F.broadcast(sums.select("stretch", offset.alias("_before"))), "stretch").withColumn("position", F.col("upto") + F.col("_before"))

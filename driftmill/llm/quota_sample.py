@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftmill.runtime import cut, unit_hash
+from driftmill.runtime import Cut, cut, unit_hash
 
 #: Parts into which a category's accepted rows are cut by their draw; only one part of each is ever ranked.
 PARTS = 4096
@@ -89,20 +89,24 @@ def sample(records: DataFrame, record_id: str, targets: DataFrame, seed: int | s
     if not fields:
         empty = known.filter("false").select("request_no", F.col("category"), F.lit(None).cast(records.schema[record_id].dataType).alias(record_id))
         return empty, _report(known, empty)
-    keyed = cut(_keyed(records, record_id, fields), "p2-keyed")
+    held = [Cut(_keyed(records, record_id, fields), "p2-keyed")]  # superseded by the sample
+    keyed = held[0].df
 
     def accepted(goals: DataFrame) -> DataFrame:
         drawn = keyed.join(goals, ["field", "key"]).withColumn("u", unit_hash(seed, F.col("request_no"), F.col("_id")))
         return drawn.filter(F.col("u") < F.col("rate")).select("request_no", "category", "want", "_id", "u", F.least(F.floor(F.col("u") / F.col("rate") * PARTS), F.lit(PARTS - 1)).cast("int").alias("part"))
 
-    first = cut(accepted(take), "p2-accepted")
+    held.append(Cut(accepted(take), "p2-accepted"))
+    first = held[-1].df
     got = first.groupBy("request_no", "category").agg(F.count(F.lit(1)).alias("got"))
     few = take.join(got, ["request_no", "category"], "left").filter(F.coalesce("got", F.lit(0)) < F.least("want", "available")).drop("got").withColumn("rate", F.lit(1.0))
-    few = cut(few, "p2-few")
+    held.append(Cut(few, "p2-few"))
+    few = held[-1].df
     if few.isEmpty():
         pool = first
     else:
-        pool = cut(first.join(few.select("request_no", "category"), ["request_no", "category"], "left_anti").unionByName(accepted(few)), "p2-pool")
+        held.append(Cut(first.join(few.select("request_no", "category"), ["request_no", "category"], "left_anti").unionByName(accepted(few)), "p2-pool"))
+        pool = held[-1].df
     parts = pool.groupBy("request_no", "category", "part").agg(F.count(F.lit(1)).alias("n"))
     chain = Window.partitionBy("request_no", "category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(chain), F.lit(0)))
@@ -112,6 +116,8 @@ def sample(records: DataFrame, record_id: str, targets: DataFrame, seed: int | s
     edge = placed.filter(F.col("before") + F.col("n") > F.col("want")).withColumn("rank", rank).filter(F.col("before") + F.col("rank") <= F.col("want"))
     drawn = full.select("request_no", "category", F.col("_id").alias(record_id)).unionByName(edge.select("request_no", "category", F.col("_id").alias(record_id)))
     drawn = cut(drawn, "p2-sample")  # the sample is drawn once; the report counts what was drawn
+    for table in held:
+        table.drop()
     return drawn, _report(known, drawn)
 
 

@@ -82,14 +82,17 @@ def components(records: DataFrame, keys: list[str], max_rounds: int = 200) -> Co
     ids = [f"e{i}" for i in range(len(keys))]
     links = keyed.select(*ids).distinct()
     edges = links.select(*ids, F.explode(F.array_compact(F.array(*ids))).alias("entity"))
-    edges = cut(edges, "p1-edges")
+    held = [Cut(edges, "p1-edges")]  # superseded by the labels
+    edges = held[0].df
     degree = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    fans = cut(degree.select("entity", F.ceil(F.col("n") / SLICE).cast("int").alias("fan")), "p1-fans")
+    held.append(Cut(degree.select("entity", F.ceil(F.col("n") / SLICE).cast("int").alias("fan")), "p1-fans"))
+    fans = held[-1].df
     wide = fans.filter("fan > 1")
     if wide.isEmpty():
         edges = edges.withColumn("slice", F.lit(0))
     else:
-        edges = cut(lookup(edges, wide, ["entity"]).select(*ids, "entity", F.pmod(F.xxhash64(*ids), F.coalesce("fan", F.lit(1))).cast("int").alias("slice")), "p1-slices")
+        held.append(Cut(lookup(edges, wide, ["entity"]).select(*ids, "entity", F.pmod(F.xxhash64(*ids), F.coalesce("fan", F.lit(1))).cast("int").alias("slice")), "p1-slices"))
+        edges = held[-1].df
     now = Cut(fans.select("entity", "fan", F.col("entity").alias("label")), "p1-labels")
     for rounds in range(1, max_rounds + 1):
         labels = now.df
@@ -110,6 +113,8 @@ def components(records: DataFrame, keys: list[str], max_rounds: int = 200) -> Co
             break
     else:
         raise ValueError(f"labels still change after {max_rounds} rounds")
+    for table in held:
+        table.drop()
     return Components(keyed, now.df.select("entity", "label"), ids, rounds)
 
 
@@ -121,11 +126,13 @@ def record_components(records: DataFrame, record_id: str, keys: list[str], carry
     """
     names = [f"_k{i}" for i in range(len(keys))]
     rows = records.select(F.col(record_id).alias("_r"), (F.col(carry) if carry else F.lit(None).cast("string")).alias("_c"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
-    only = cut(rows.groupBy("_r", *names).agg(F.min("_c").alias("_c")), "p1-records")
+    written = Cut(rows.groupBy("_r", *names).agg(F.min("_c").alias("_c")), "p1-records")
+    only = written.df
     # an entity of the record itself joins rows of one record that disagree
     torn = only.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _r is not null")
     marked = lookup(only, torn, ["_r"]).withColumn("_self", F.when(F.col("_n") > 1, F.col("_r").cast("string"))).drop("_n")
     found = components(marked, [*names, "_self"])
+    written.drop()  # all is in found.keyed
     placed = lookup(found.keyed.select("_r", "_c", F.coalesce(*found.entities).alias("entity")), found.labels, ["entity"])
     per = placed.groupBy("_r").agg(F.min("label").alias("component"), F.min("_c").alias("_c"))
     alone = F.when(F.col("_r").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit("alone"), F.col("_r")))
