@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftmill.functions.signatures import signature_key, structural
-from driftmill.runtime import cut, spread
+from driftmill.runtime import Cut, cut, spread
 
 #: Query signatures sent to the tasks at once: 20,000 rows of 49 doubles are 8 MB whatever the data's size.
 BLOCK = 20_000
@@ -111,8 +111,8 @@ def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
     Distances are taken once for each distinct signature, whatever the number of its protocols.
     """
     spark = queries.sparkSession
-    asked = cut(queries.groupBy("key").agg(F.first("sig").alias("sig"), F.collect_set("protocol").alias("protocols")), "allowed-q")
-    known = cut(spread(base.select("sig", "barred")), "allowed-b")
+    held_q, held_b = Cut(queries.groupBy("key").agg(F.first("sig").alias("sig"), F.collect_set("protocol").alias("protocols")), "allowed-q"), Cut(spread(base.select("sig", "barred")), "allowed-b")
+    asked, known = held_q.df, held_b.df
     best = None
     for part in _blocks(asked):
         names = sorted({p for r in part for p in r["protocols"]})
@@ -154,6 +154,8 @@ def nearest_allowed(queries: DataFrame, base: DataFrame) -> DataFrame:
         found = known.mapInArrow(run, "key string, protocol string, distance int, nearest_sig array<double>").groupBy("key", "protocol").agg(F.min(F.struct("distance", "nearest_sig")).alias("x"))
         found = cut(found.select("key", "protocol", "x.distance", "x.nearest_sig"), "allowed-part")
         best = found if best is None else best.unionByName(found)
+    held_q.drop()
+    held_b.drop()
     if best is None:
         best = spark.createDataFrame([], "key string, protocol string, distance int, nearest_sig array<double>")
     return best.withColumn("nearest_key", signature_key(F.col("nearest_sig")))
@@ -167,8 +169,8 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
     base signatures; only each task's best is merged. An empty side gives an empty result.
     """
     spark = queries.sparkSession
-    asked = cut(queries.select("key", "sig").groupBy("key").agg(F.first("sig").alias("sig")), "nearest-q")
-    known = cut(spread(base.select("sig").distinct()), "nearest-b")
+    held_q, held_b = Cut(queries.select("key", "sig").groupBy("key").agg(F.first("sig").alias("sig")), "nearest-q"), Cut(spread(base.select("sig").distinct()), "nearest-b")
+    asked, known = held_q.df, held_b.df
     best = None
     for part in _blocks(asked):
         keys = [r["key"] for r in part]
@@ -190,6 +192,8 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
         found = known.mapInArrow(run, "key string, distance int, nearest_sig array<double>").groupBy("key").agg(F.min(F.struct("distance", "nearest_sig")).alias("x"))
         found = cut(found.select("key", "x.distance", "x.nearest_sig"), "nearest-part")
         best = found if best is None else best.unionByName(found)
+    held_q.drop()
+    held_b.drop()
     if best is None:
         best = spark.createDataFrame([], "key string, distance int, nearest_sig array<double>")
     return best.withColumn("nearest_key", signature_key(F.col("nearest_sig")))
