@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftmill.runtime import cut
+
 #: At most this many keys can each hold more than 1/HOT_KEYS of the rows: the bound of what is broadcast.
 HOT_KEYS = 1000
+#: Nodes of a plan that are dearer than reading a table twice.
+DEAR = re.compile(r"\b(Aggregate|Join|Window|MapInArrow|MapInPandas|FlatMapGroupsInPandas|Distinct|Sort)\b")
 
 
 def _same(a: str, left: DataFrame, right: DataFrame) -> Column:
@@ -20,11 +25,14 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     """Join ``left`` to ``right``, which is unique on ``on`` (nulls match nothing).
 
     Keys with more than 1/1000 of the rows of ``left`` (and more than ``least`` rows), of which there can be
-    no more than 1000, take a broadcast join with their rows of ``right``; all others a shuffle join.
+    no more than 1000, take a broadcast join with their rows of ``right``; all others a shuffle join. ``left`` is read
+    once to count it and three times beyond ``least``: it is written first where that would repeat more than a scan.
     """
     total = left.count()
     if total <= least:
         return left.join(right, on, how)
+    if DEAR.search(left._jdf.queryExecution().optimizedPlan().toString()):
+        left = cut(left, "lookup")
     counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     hot = counted.filter(F.col("_n") > max(least, total // HOT_KEYS)).select(*on)
     keys = hot.limit(HOT_KEYS).collect()

@@ -15,6 +15,9 @@ def test_lookup_with_hot_key(spark):
         assert len(got) == 3001 and got[-1] is None and got[1] == 1 and got[3] == 3 and got[48] is None
     assert lookup(left, right, ["k"], "inner", least=10).count() == sum(1 for i in range(3000) if i % 3 or i % 50 < 40)
 
+    dear = left.groupBy("i").agg(F.max("k").alias("k"))
+    assert {r["i"]: r["x"] for r in lookup(dear, right, ["k"], least=10).collect()} == got
+
 
 def test_prefix_sum(spark):
     rnd = random.Random(1)
