@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from driftmill.runtime import bounded_broadcast, cut
 
@@ -98,18 +98,9 @@ def _slim(side: DataFrame, fields: list[T.StructField], right: bool) -> DataFram
     return current.select("_key", F.lit(right).alias("right"), "hi.d1", "hi.d2", (F.col("hi.d1") != F.bitwise_not("lo.d")).alias("unsure"))
 
 
-def _starts(keys: pa.Array) -> np.ndarray:
-    """Where a key differs from the one before it (null equals null, NaN equals NaN); the first is True."""
-    if len(keys) < 2:
-        return np.ones(len(keys), bool)
-    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
-    if pa.types.is_nested(keys.type):
-        return np.array([True, *(x != y for x, y in zip(a.to_pylist(), b.to_pylist()))])
-    unequal = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
-    na, nb = a.is_null().to_numpy(zero_copy_only=False), b.is_null().to_numpy(zero_copy_only=False)
-    if pa.types.is_floating(keys.type):
-        unequal = unequal & ~(pc.fill_null(pc.is_nan(a), False).to_numpy(zero_copy_only=False) & pc.fill_null(pc.is_nan(b), False).to_numpy(zero_copy_only=False))
-    return np.concatenate([[True], np.where(na | nb, na != nb, unequal)])
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a key begins."""
+    return rows.column("place").to_numpy() == 1
 
 
 def diff_tables(
@@ -138,7 +129,9 @@ def diff_tables(
     a, b, kinds = _aligned(left, right, key, version, fields)
     kind = a.schema["_key"].dataType
     sides = _slim(a, kinds, False).unionByName(_slim(b, kinds, True))
-    dictionary = sides.repartition("_key").sortWithinPartitions("_key", "right")
+    # a window, unlike repartition, demands that a key's rows share a task: Spark keeps the union's two shuffles where both
+    # are by key, and the adaptive plan then cuts them apart each in its own way unless an operator needs the key whole
+    dictionary = sides.withColumn("place", F.row_number().over(Window.partitionBy("_key").orderBy("right")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -148,18 +141,18 @@ def diff_tables(
             size += batch.num_rows
             if size > 2 * CONTAINER:  # two rows at most have one key: a container is full
                 whole = pa.Table.from_batches(held).combine_chunks()
-                done = int(np.flatnonzero(_starts(whole.column("_key").combine_chunks()))[CONTAINER])
+                done = int(np.flatnonzero(_starts(whole))[CONTAINER])
                 yield container(whole.slice(0, done))
                 held, size = whole.slice(done).to_batches(), whole.num_rows - done
         if size:
             whole = pa.Table.from_batches(held).combine_chunks()
-            first = np.flatnonzero(_starts(whole.column("_key").combine_chunks()))[::CONTAINER]
+            first = np.flatnonzero(_starts(whole))[::CONTAINER]
             for lo, hi in zip(first, [*first[1:], whole.num_rows]):
                 yield container(whole.slice(int(lo), int(hi - lo)))
 
     def container(rows: pa.Table) -> pa.RecordBatch:
         keys = rows.column("_key").combine_chunks()
-        starts = _starts(keys)
+        starts = _starts(rows)
         ordinal, names = np.cumsum(starts) - 1, keys.take(pa.array(np.flatnonzero(starts)))
         on_right = rows.column("right").to_numpy()
         here = [np.flatnonzero(~on_right), np.flatnonzero(on_right)]

@@ -88,3 +88,19 @@ def test_clashing_names_and_long_text(spark):
     left = spark.createDataFrame([(1, "a", long, "x", "y", 1)], schema)
     right = spark.createDataFrame([(1, "a", long + "!", "X", "y", 2)], schema).selectExpr("*", "1 as extra")
     assert found(diff_tables(left, right, "k", "v")) == [(True, 1, "_l")]
+
+
+def test_sides_of_unlike_size_under_small_partitions(spark):
+    """Each side's shuffle is coalesced by its own size; a key's two rows must meet all the same."""
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    left = spark.range(20_000).selectExpr("id ^ 1 as k", "'a' as a", "id as v")
+    right = spark.range(500, 8_000).selectExpr("id ^ 1 as k", "if(id = 777, 'b', 'A') as a", "id as v")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["field_name"]: r["n_rows"] for r in diff_summary(diff_tables(left, right, "k", "v")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {"missing_in_right": 12_500, "a": 1}
