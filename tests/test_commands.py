@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmill.operators import admission, models, policy
+from driftmill import runtime
+from driftmill.operators import admission, candidates, models, policy
 from driftmill.plans import commands
 
 SCHEMA = json.dumps({"type": "object", "properties": {"a": {"type": "string", "enum": ["x", "y"]}, "b": {"type": "integer"}}})
@@ -45,6 +46,22 @@ def test_generate_and_refeature(spark):
         commands.refeature(rows.withColumn("variant", F.lit("gone")), schemas, packs(spark)).collect()
 
 
+def test_generate_drops_repeats_before_packs_and_modes(spark):
+    """A schema in another layout is the same; nothing is written aside, and no row is moved once packs and modes multiply it."""
+    laid_out = '{ "properties": {"b": {"type": "integer"}, "a": {"enum": ["x", "y"], "type": "string"}}, "type": "object" }'
+    schemas = spark.createDataFrame([("u2", SCHEMA), ("u1", laid_out), ("u3", SCHEMA.replace('"b"', '"c"'))], "unique_id string, json_schema string")
+    before = list(runtime.OPEN_CUTS)
+    made = commands.generate(schemas, packs(spark), ["BACKWARD", "FULL"], None, 0.0, 1)
+    rows = made.collect()
+    assert runtime.OPEN_CUTS == before and "Join Inner" not in made._jdf.queryExecution().optimizedPlan().toString()
+    n = len(candidates.candidates(SCHEMA))
+    assert len({x for _, _, x in candidates.candidates(SCHEMA)}) == n and {r["unique_id"] for r in rows} == {"u1", "u3"}
+    assert len(rows) == len({r["pair_fingerprint"] for r in rows}) == 2 * 2 * 2 * n
+    allowed = spark.createDataFrame([("u2", "remove-first-root-property"), ("u2", "optional-array-field"), ("u1", "optional-array-field"), ("u3", "x")], "unique_id string, variant string")
+    some = commands.generate(schemas, packs(spark), ["BACKWARD"], None, 0.0, 1, allowed=allowed).collect()
+    assert {(r["unique_id"], r["variant"]) for r in some} == {("u2", "remove-first-root-property"), ("u1", "optional-array-field")} and len(some) == 4
+
+
 def test_admission():
     good = [SCHEMA, '{"type": ["string", "null"]}', '{"type": "object", "x-any": 1, "minProperties": 2.0, "patternProperties": {"^a": true}}']
     wrong = {'{"type": "string", "minLength": -1}': "$.minLength", '{"type": "number", "multipleOf": 0}': "$.multipleOf", '{"type": "string", "pattern": "("}': "$.pattern", '{"type": "object", "required": ["a", "a"]}': "$.required", '{"type": "object", "allOf": []}': "$.allOf", '{"type": "object", "properties": {"a": 3}}': "$.properties.a"}
