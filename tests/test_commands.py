@@ -1,6 +1,7 @@
 """Commands composed of operators: generation, refeaturing, admission, removal audit, serving, gates."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -62,6 +63,18 @@ def test_generate_drops_repeats_before_packs_and_modes(spark):
     assert {(r["unique_id"], r["variant"]) for r in some} == {("u2", "remove-first-root-property"), ("u1", "optional-array-field")} and len(some) == 4
 
 
+def test_refeature_parses_a_candidate_once(spark):
+    """Records are joined with what was measured of their candidate, not each parsed again."""
+    schemas = spark.createDataFrame([("u1", SCHEMA), ("u1", SCHEMA)], "unique_id string, json_schema string")
+    records = spark.createDataFrame([(f"{p}{i}", "u1", "field_removed", "remove-first-root-property", p) for p in "pq" for i in range(3)], "record_id string, family_id string, kind string, variant string, policy_pack string")
+    again = commands.refeature(records, schemas, packs(spark))
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftOuter,.*family_id", plan).start() < plan.index("MapInArrow")
+    rows = again.collect()
+    assert sorted(r["record_id"] for r in rows) == sorted(r["record_id"] for r in records.collect())
+    assert len({(r["policy_pack"], tuple(r["features"])) for r in rows}) == 2
+
+
 def test_admission():
     good = [SCHEMA, '{"type": ["string", "null"]}', '{"type": "object", "x-any": 1, "minProperties": 2.0, "patternProperties": {"^a": true}}']
     wrong = {'{"type": "string", "minLength": -1}': "$.minLength", '{"type": "number", "multipleOf": 0}': "$.multipleOf", '{"type": "string", "pattern": "("}': "$.pattern", '{"type": "object", "required": ["a", "a"]}': "$.required", '{"type": "object", "allOf": []}': "$.allOf", '{"type": "object", "properties": {"a": 3}}': "$.properties.a"}
