@@ -75,6 +75,35 @@ def test_refeature_parses_a_candidate_once(spark):
     assert len({(r["policy_pack"], tuple(r["features"])) for r in rows}) == 2
 
 
+def test_refeature_sends_no_candidates_to_the_driver(spark, tmp_path):
+    """The planner takes the measured candidates of a file for few; they are joined by a shuffle all the same."""
+    spark.createDataFrame([("u1", SCHEMA)], "unique_id string, json_schema string").write.parquet(str(tmp_path / "schemas"))
+    records = spark.createDataFrame([("r", "u1", "field_removed", "remove-first-root-property", "p")], "record_id string, family_id string, kind string, variant string, policy_pack string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        again = commands.refeature(records, spark.read.parquet(str(tmp_path / "schemas")), packs(spark))
+        plan = again._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [family_id" in plan and "BroadcastHashJoin [family_id" not in plan
+        assert again.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_refeature_multiplies_by_packs_after_the_join(spark):
+    """A record with several packs is moved once and stands for one under each; one without any is an error."""
+    schemas = spark.createDataFrame([("u1", SCHEMA)], "unique_id string, json_schema string")
+    one = spark.createDataFrame([(v, "u1", k, v, ["p", "q"]) for k, v, _ in candidates.candidates(SCHEMA)], "record_id string, family_id string, kind string, variant string, policy_pack array<string>")
+    again = commands.refeature(one, schemas, packs(spark))
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < re.search(r"Join LeftOuter,.*family_id", plan).start()
+    each = commands.refeature(one.withColumn("policy_pack", F.explode("policy_pack")), schemas, packs(spark))
+    listed = lambda df: sorted((r["record_id"], r["policy_pack"], tuple(r["features"])) for r in df.collect())
+    assert listed(again) == listed(each) and len(listed(again)) == 2 * one.count()
+    with pytest.raises(Exception, match="unknown policy pack"):
+        commands.refeature(one.withColumn("policy_pack", F.array().cast("array<string>")), schemas, packs(spark)).collect()
+
+
 def test_admission():
     good = [SCHEMA, '{"type": ["string", "null"]}', '{"type": "object", "x-any": 1, "minProperties": 2.0, "patternProperties": {"^a": true}}']
     wrong = {'{"type": "string", "minLength": -1}': "$.minLength", '{"type": "number", "multipleOf": 0}': "$.multipleOf", '{"type": "string", "pattern": "("}': "$.pattern", '{"type": "object", "required": ["a", "a"]}': "$.required", '{"type": "object", "allOf": []}': "$.allOf", '{"type": "object", "properties": {"a": 3}}': "$.properties.a"}
