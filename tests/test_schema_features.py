@@ -100,3 +100,11 @@ def test_fnv_vectors(spark):
     df = spark.createDataFrame([("a",), ("foobar",), (None,)], "t string")
     got = [None if r[0] is None else int(r[0]) for r in df.select(hashing.fnv_rank(df.t)).collect()]
     assert got == [0xAF63DC4C8601EC8C, 0x85944171F73967E8, None]
+
+
+def test_nodes_are_shared_by_bytes_only():
+    """A node is made once for all texts that hold it, and never taken for one that only compares equal."""
+    made = [schema_diff.flatten('{"properties": {"a": {"const": %s}}}' % x)["nodes"]["a"] for x in ("1", "1.0", "true", "1")]
+    assert [n["other"][4] for n in made] == ["1", "1.0", "true", "1"] and made[0] is made[3]
+    deep = schema_diff.flatten('{"properties": {"a": ' + "[" * 2500 + "]" * 2500 + "}}")
+    assert deep is None or deep["nodes"]["a"]["type"] is None
